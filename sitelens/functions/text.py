@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -34,6 +35,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def cached_by_name(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Let ``build`` take column names too, and keep what it built for them.
+
+    Long expressions cost a second of driver time to put together; the same
+    expression over the same columns can be used in many plans.
+    """
+    kept = functools.lru_cache(maxsize=256)(
+        lambda *names: build(*[F.col(n) if isinstance(n, str) else n for n in names])
+    )
+
+    @functools.wraps(build)
+    def call(*args):
+        plain = all(a is None or isinstance(a, str) for a in args)
+        if plain:
+            return kept(*args)
+        return build(*[F.col(a) if isinstance(a, str) else a for a in args])
+
+    return call
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitelens.functions.text import let, strip
+from sitelens.functions.text import cached_by_name, let, strip
 
 SEP = "\x01"
 _SPLIT = (
@@ -194,6 +194,7 @@ def _normalize_absolute(value: Column) -> Column:
     )
 
 
+@cached_by_name
 def normalize_url(value: Column, base: Column | None = None, origin: Column | None = None) -> Column:
     """Canonical form of a URL; null for blank or invalid input.
 
@@ -228,6 +229,7 @@ def hostname(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _HOST, 1))
 
 
+@cached_by_name
 def canonical_domain(url: Column) -> Column:
     """Host without one leading ``www.``."""
     return F.lower(F.regexp_extract(url, _DOMAIN, 1))
@@ -254,11 +256,13 @@ def root_domain(host: Column) -> Column:
     )
 
 
+@cached_by_name
 def normalize_domain(value: Column) -> Column:
     """Registered domain of a website value; "" when there is none."""
     return F.coalesce(root_domain(canonical_domain(normalize_url(value))), F.lit(""))
 
 
+@cached_by_name
 def normalize_url_value(value: Column) -> Column:
     """Normalized URL, or the lower-cased text where it is not a URL."""
     return F.when(value == "", F.lit("")).otherwise(
@@ -266,6 +270,7 @@ def normalize_url_value(value: Column) -> Column:
     )
 
 
+@cached_by_name
 def page_label(url: Column, number: Column) -> Column:
     """File label of a stored page: number, last path parts, query pairs."""
 
@@ -329,6 +334,7 @@ def _ipv4_number(text: str) -> int:
     return number
 
 
+@cached_by_name
 def is_public_target(value: Column) -> Column:
     """Whether a submitted URL may be visited; false for blank or invalid input."""
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
