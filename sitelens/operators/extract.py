@@ -47,7 +47,7 @@ class Page:
 def node_text(texts: Column, node: Column) -> Column:
     """Element text: pieces joined by single spaces."""
     pieces = F.slice(texts, node.t0 + 1, node.t1 - node.t0)
-    joined = F.array_join(F.transform(pieces, F.trim), " ")
+    joined = F.array_join(F.transform(pieces, lambda x: F.trim(x)), " ")
     return F.when(node.tag.isin(sorted(OWN_TEXT_TAGS)), F.coalesce(node.raw, F.lit(""))).otherwise(
         joined
     )
