@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.catalog import inputs as I
+from sitelens.catalog.registry import Registry, flatten_lists, scratch
+from sitelens.catalog.sql import EMAILS, HOST, PHONES, UNESCAPED, distinct_list, norm, tidy
 from sitelens.functions import text, urls
 from sitelens.operators.context import join_context
 from sitelens.operators.extract import Page, extract_fields, shred_for
@@ -17,52 +19,9 @@ from sitelens.plans.spec import read_fields
 from sitelens.sources.pages import gate_pages
 from sitelens.sources.seeds import assemble_targets, csv_seeds, read_csv, read_text_seeds
 from sitelens.sources.sinks import write_csv, write_json
-from sitelens.operators.skew import checkpoint_dir
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(run):
-        QUERIES[name] = run
-        if oracle is not None:
-            ORACLE[name] = oracle
-        return run
-
-    return register
-
-
-def scratch(df: DataFrame, name: str) -> str:
-    """A new folder next to the checkpoints, which all executors can reach."""
-    import uuid
-
-    return f"{checkpoint_dir(df)}/{name}-{uuid.uuid4().hex}"
-
-
-# SQL pieces for the oracle: page URLs are lower-case and carry at most a query,
-# a fragment or a trailing slash.
-NORM = "regexp_replace(regexp_replace({u}, '#.*$', ''), '/+$', '')"
-HOST = "regexp_extract({u}, '^https?://([^/?#]+)', 1)"
-UNESCAPED = (
-    "replace(replace(regexp_replace(regexp_replace({c}, '&amp;?', '&', 'g'), '&quot;?', '\"', 'g'),"
-    " '&lt;', '<'), '&gt;', '>')"
-)
-CLEAN = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
-
-
-def norm(u: str) -> str:
-    return NORM.format(u=u)
-
-
-def distinct_list(expression: str) -> str:
-    """Ordered distinct of a list expression that is a plain column name."""
-    return f"list_filter({expression}, lambda x, i: list_position({expression}, x) = i)"
-
-
-def tidy(expression: str) -> str:
-    return CLEAN.format(c=UNESCAPED.format(c=expression))
 
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 _DOMAIN = f"regexp_replace({HOST.format(u='url')}, '^www[.]', '')"
 
@@ -280,18 +239,6 @@ def selector_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_lists(found.drop("url", "shred_error"))
 
 
-def flatten_lists(df: DataFrame) -> DataFrame:
-    """Arrays joined by "; "; other columns unchanged."""
-    return df.select(
-        *[
-            text.csv_text(F.col(f.name), True).alias(f.name)
-            if f.dataType.typeName() == "array"
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
 @query(
     "xpath_fields",
     f"""
@@ -347,11 +294,6 @@ _MERGE_FIELDS = [
     {"name": "phones", "type": "phones", "many": True, "default": []},
     {"name": "contact_pages", "type": "contact_links", "many": True, "default": []},
 ]
-_EMAIL_SQL = "regexp_extract_all({c}, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+[.][A-Z]{{2,}}')"
-_PHONE_SQL = (
-    "list_transform(regexp_extract_all({c}, '(?:[+]?1[\\s\\-.]?)?(?:[(]?\\d{{3}}[)]?[\\s\\-.]?)\\d{{3}}[\\s\\-.]?\\d{{4}}'), lambda x: trim(x))"
-)
-
 
 def _seed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processed page rows of seeds: eight consecutive pages are one seed's visits."""
@@ -384,7 +326,7 @@ _SEED_SQL = f"""
 src AS ({I.as_sql(I.CONTACT_PAGES)}),
 pg AS (
   SELECT page_id, seed_no, {norm('url')} AS url, {tidy("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
-    {_EMAIL_SQL.format(c='html')} AS emails, {_PHONE_SQL.format(c='html')} AS phones FROM src),
+    {EMAILS.format(c='html')} AS emails, {PHONES.format(c='html')} AS phones FROM src),
 {_NAV_LINKS.format(source='SELECT * FROM src')},
 contact AS (
   SELECT page_id, link_url AS item, pos FROM links
