@@ -49,7 +49,8 @@ def doc_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT doc_id, lang, source, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents)
 SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN 'Other' ELSE upper(lang) END AS lang,
   concat('Source ', regexp_extract(source, '(\\d+)$', 1)) AS source,
-  md5(lower(flat)) AS text_md5, nullif(regexp_extract(flat, '^(\\S+) (\\S+)', 2), '') AS second_word,
+  md5(lower(flat)) AS text_md5, CASE WHEN lower(regexp_extract(flat, '^(\\S+) (\\S+)', 2)) NOT IN ('', 'de', 'es', 'n/a')
+    THEN regexp_extract(flat, '^(\\S+) (\\S+)', 2) END AS second_word,
   CASE WHEN ends_with(flat, '.') THEN md5(substr(flat, 1, len(flat) - 1)) ELSE md5(flat) END AS no_dot_md5
 FROM d
 """,
