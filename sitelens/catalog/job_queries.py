@@ -1,2 +1,317 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries on the job ledger, the throttle, and the streaming variants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelens.catalog import inputs as I
+from sitelens.catalog.registry import Registry, flatten_lists, scratch
+from sitelens.catalog.sql import EMAILS, distinct_list, tidy
+from sitelens.operators import jobs as J
+from sitelens.operators.throttle import throttle
+from sitelens.plans.spec import read_fields
+from sitelens.streaming.jobs import extract_stream, stats_stream, throttle_stream
+
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
+
+_JOBS = I.as_sql(I.JOBS)
+_REPORTS = I.as_sql(I.REPORTS)
+NOW = "2024-01-20 12:00:00"
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.derive(spark, sf_dir, I.JOBS)
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.derive(spark, sf_dir, I.REPORTS)
+
+
+@query(
+    "job_status",
+    f"""
+SELECT j.job_id, j.status, CASE WHEN j.status IN ('queued', 'running', 'completed') THEN j.status ELSE 'failed' END AS current_phase,
+  CASE WHEN r.output_dir IS NOT NULL OR j.status <> 'queued' THEN coalesce(r.pages_visited, r.pages_crawled, 0) END AS progress_pages_scanned,
+  CASE WHEN r.output_dir IS NOT NULL OR j.status <> 'queued' THEN coalesce(r.row_count, 0) END AS progress_records_extracted,
+  CASE WHEN r.output_dir IS NOT NULL OR j.status <> 'queued' THEN coalesce(r.pagination_urls_followed, 0) END AS progress_pagination_pages,
+  r.pages_visited, r.pagination_urls_followed, r.row_count AS records_extracted, r.pages_crawled AS crawl_pages_scanned,
+  r.duration AS run_duration
+FROM ({_JOBS}) j LEFT JOIN ({_REPORTS}) r ON r.output_dir = j.output_dir
+""",
+)
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.job_status(jobs(spark, sf_dir), reports(spark, sf_dir))
+
+
+@query(
+    "job_durations",
+    f"""
+SELECT job_id, CASE WHEN finished_at IS NOT NULL AND started_at IS NOT NULL
+  THEN printf('%.3fs', epoch(finished_at) - epoch(started_at)) END AS run_duration FROM ({_JOBS}) j
+""",
+)
+def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs(spark, sf_dir).select(
+        "job_id", J.duration_text(F.col("started_at"), F.col("finished_at")).alias("run_duration")
+    )
+
+
+@query(
+    "job_stats",
+    f"""
+SELECT count(*) AS jobs_run, count(*) FILTER (j.status = 'completed') AS completed_scrapes,
+  CAST(coalesce(sum(greatest(coalesce(r.row_count, 0), 0)) FILTER (j.status = 'completed'), 0) AS BIGINT) AS records_extracted
+FROM ({_JOBS}) j LEFT JOIN ({_REPORTS}) r ON r.output_dir = j.output_dir WHERE j.status NOT IN ('queued', 'running')
+""",
+)
+def job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.job_stats(jobs(spark, sf_dir), reports(spark, sf_dir))
+
+
+@query(
+    "job_failures",
+    f"""
+SELECT output_dir, CASE WHEN row_count > 0 THEN NULL WHEN max_records_hit THEN 'max_records_reached'
+  WHEN stop_reason = 'max_pages_reached' THEN 'max_pages_reached'
+  WHEN stop_reason = 'duplicate_next_page_detected' THEN 'pagination_loop_detected'
+  WHEN stop_reason = 'no_next_page_found' AND mode <> 'site_scan' THEN 'pagination_selector_not_found'
+  WHEN error_text = 'GET: 403 Forbidden' THEN 'blocked_by_site' WHEN error_text = 'Read TIMED OUT' THEN 'timeout'
+  WHEN error_text = 'DNS failure' THEN 'connection_failed'
+  WHEN issue = 'page_extraction_failed' OR (issue = 'detail_page_fetch_failed' AND listing_count > 0) THEN 'extraction_failed'
+  ELSE 'no_results_found' END AS reason
+FROM ({_REPORTS}) r
+""",
+)
+def job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports(spark, sf_dir).select(
+        "output_dir",
+        J.report_failure(
+            F.col("row_count"), F.col("mode"), F.col("listing_count"), F.array("stop_reason"),
+            F.array(F.lit("first"), F.col("error_text")), F.create_map("issue", F.lit(2)),
+            F.col("max_records_hit"),
+        ).alias("reason"),
+    )
+
+
+@query(
+    "error_classes",
+    f"""
+SELECT output_dir, CASE WHEN error_text = 'GET: 403 Forbidden' THEN 'blocked_by_site' WHEN error_text = 'Read TIMED OUT' THEN 'timeout'
+  WHEN error_text = 'DNS failure' THEN 'connection_failed' ELSE 'extraction_failed' END AS reason FROM ({_REPORTS}) r
+""",
+)
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports(spark, sf_dir).select("output_dir", J.error_class(F.col("error_text")).alias("reason"))
+
+
+@query(
+    "job_runtime",
+    f"""
+SELECT job_id, CASE WHEN status = 'running' AND epoch(TIMESTAMP '{NOW}') - epoch(started_at) > 86400 THEN 'failed' ELSE status END AS status,
+  CASE WHEN status = 'running' AND epoch(TIMESTAMP '{NOW}') - epoch(started_at) > 86400 THEN 'limit_exceeded' END AS failure_reason
+FROM ({_JOBS}) j
+""",
+)
+def job_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = J.refresh_status(jobs(spark, sf_dir), _now(), 86400)
+    return checked.select("job_id", "status", "failure_reason")
+
+
+@query(
+    "job_stale",
+    f"""
+SELECT job_id, CASE WHEN status = 'queued' OR (status = 'running' AND NOT worker_alive) THEN 'failed' ELSE status END AS status,
+  CASE WHEN status = 'queued' THEN 'service_restarted' WHEN status = 'running' AND NOT worker_alive THEN 'interrupted_run' END AS failure_reason,
+  CASE WHEN status = 'queued' OR (status = 'running' AND NOT worker_alive) THEN '{NOW}' ELSE strftime(finished_at, '%Y-%m-%d %H:%M:%S') END AS finished_at
+FROM ({_JOBS}) j
+""",
+)
+def job_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = J.recover_stale(jobs(spark, sf_dir), _now())
+    return found.select(
+        "job_id", "status", "failure_reason",
+        F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"),
+    )
+
+
+@query(
+    "job_expired",
+    f"""
+SELECT job_id FROM ({_JOBS}) j WHERE status NOT IN ('queued', 'running')
+  AND epoch(TIMESTAMP '{NOW}') - epoch(coalesce(finished_at, created_at)) > 48 * 3600
+""",
+)
+def job_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.expired_jobs(jobs(spark, sf_dir), _now()).select("job_id")
+
+
+_REQUESTS = """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE user_id % 30 END AS crawl_max_pages,
+  user_id % 25 AS pagination_max_pages, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id * 10 END AS max_records,
+  event_type = 'click' AS pagination_enabled
+FROM {events}
+"""
+
+
+@query(
+    "job_limits",
+    f"""
+WITH q AS ({I.as_sql(_REQUESTS)}),
+c AS (
+  SELECT event_id, least(coalesce(nullif(crawl_max_pages, 0), 10), 10) AS crawl_max_pages, least(coalesce(nullif(pagination_max_pages, 0), 10), 10) AS pagination_max_pages,
+    least(coalesce(max_records, 500), 500) AS max_records, pagination_enabled FROM q)
+SELECT event_id, crawl_max_pages, pagination_max_pages, max_records, CASE WHEN pagination_enabled THEN pagination_max_pages ELSE crawl_max_pages END AS max_pages FROM c
+""",
+)
+def job_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clamped = J.clamp_limits(I.derive(spark, sf_dir, _REQUESTS))
+    return J.preset_limits(clamped).drop("pagination_enabled")
+
+
+_SUBMITTED = """
+SELECT event_id, CASE event_type
+    WHEN 'click' THEN concat('http://', CAST(event_id % 256 AS STRING), '.', CAST(user_id % 256 AS STRING), '.', CAST(event_id % 7 AS STRING), '.9/x')
+    WHEN 'view' THEN concat('https://site', CAST(user_id AS STRING), '.org/')
+    WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'ftp://example.com' ELSE 'localhost/x' END
+    WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN '' ELSE 'http://[fe80::1]/' END
+    ELSE CASE WHEN event_id % 2 = 0 THEN 'Example.com/a' ELSE 'http://[2606:4700::1]/' END END AS target_url,
+  event_id % 256 AS o1, user_id % 256 AS o2, event_id % 7 AS o3, event_type
+FROM {events}
+"""
+
+
+@query(
+    "safe_targets",
+    f"""
+WITH s AS ({I.as_sql(_SUBMITTED)})
+SELECT event_id, CASE
+  WHEN event_type = 'click' AND (o1 IN (0, 10, 127) OR o1 >= 240 OR (o1 = 100 AND o2 BETWEEN 64 AND 127) OR (o1 = 169 AND o2 = 254)
+    OR (o1 = 172 AND o2 BETWEEN 16 AND 31) OR (o1 = 192 AND o2 = 0 AND o3 = 2) OR (o1 = 192 AND o2 = 168)
+    OR (o1 = 198 AND o2 IN (18, 19))) THEN 'invalid_target'
+  WHEN event_type = 'error' THEN 'invalid_target' WHEN event_type = 'signup' THEN 'invalid_target' END AS reject_reason
+FROM s
+""",
+)
+def safe_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.screen_targets(I.derive(spark, sf_dir, _SUBMITTED)).select("event_id", "reject_reason")
+
+
+# -- throttle -----------------------------------------------------------------------
+
+_N, _WINDOW = 2, 24 * 3600
+_THROTTLE = f"""
+WITH RECURSIVE s AS (
+  SELECT submission_id, coalesce(client_ip, 'unknown') AS client, epoch_us(ts) AS t,
+    row_number() OVER (PARTITION BY coalesce(client_ip, 'unknown') ORDER BY ts, submission_id) AS n FROM ({I.as_sql(I.SUBMISSIONS)}) q),
+w AS (
+  SELECT client, n, submission_id, true AS accepted, [t] AS taken FROM s WHERE n = 1
+  UNION ALL
+  SELECT client, n, submission_id, len(live) < {_N}, CASE WHEN len(live) < {_N} THEN list_append(live, t) ELSE live END FROM (
+    SELECT s.client, s.n, s.submission_id, s.t, list_filter(w.taken, lambda x: x >= s.t - {_WINDOW}::BIGINT * 1000000) AS live
+    FROM w JOIN s ON s.client = w.client AND s.n = w.n + 1) x)
+SELECT submission_id, accepted FROM w
+"""
+
+
+@query("throttle_batch", _THROTTLE)
+def throttle_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    submitted = I.derive(spark, sf_dir, I.SUBMISSIONS)
+    return throttle(submitted, _N, _WINDOW).select("submission_id", "accepted")
+
+
+@query("throttle_long_runs", _THROTTLE)
+def throttle_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts with every busy run treated as too long for one task."""
+    submitted = I.derive(spark, sf_dir, I.SUBMISSIONS)
+    return throttle(submitted, _N, _WINDOW, run_rows=0).select("submission_id", "accepted")
+
+
+# -- streams ------------------------------------------------------------------------
+
+
+def _drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there now and read its output table."""
+    path = scratch(stream, name)
+    started = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{path}/out")
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = I.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query(
+    "pages_stream",
+    f"""
+WITH p AS (SELECT page_id, {tidy("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {EMAILS.format(c='html')} AS e FROM pages)
+SELECT page_id, nullif(title, '') AS page_title, array_to_string({distinct_list('e')}, '; ') AS emails FROM p
+""",
+)
+def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = read_fields(
+        [{"name": "page_title", "type": "page_title"}, {"name": "emails", "type": "emails", "many": True}]
+    )
+    found = extract_stream(_stream(spark, sf_dir, "pages"), fields, ["page_id"])
+    return _drain(flatten_lists(found.select("page_id", "page_title", "emails")), "pages")
+
+
+@query(
+    "stats_stream",
+    """
+SELECT count(*) AS jobs_run, count(*) FILTER (event_type IN ('purchase', 'signup')) AS completed_scrapes,
+  CAST(sum(greatest(CAST(floor(value) AS BIGINT) - 5, 0)) FILTER (event_type IN ('purchase', 'signup')) AS BIGINT) AS records_extracted
+FROM events WHERE event_type NOT IN ('view', 'click')
+""",
+)
+def stats_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stream(spark, sf_dir, "events").filter("event_type NOT IN ('view', 'click')")
+    finished = events.select(
+        F.when(F.col("event_type").isin("purchase", "signup"), "completed").otherwise("failed").alias("status"),
+        (F.floor("value") - 5).alias("row_count"),
+    )
+    totals = stats_stream(finished)
+    path = scratch(totals, "stats")
+    # Running totals are one row per batch; every batch replaces the last.
+    started = (
+        totals.writeStream.outputMode("complete")
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out"))
+        .start()
+    )
+    started.awaitTermination()
+    return spark.read.schema(totals.schema).parquet(f"{path}/out")
+
+
+@query("throttle_stream", _THROTTLE)
+def throttle_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    events = _stream(spark, sf_dir, "events")
+    submitted = events.select(
+        F.col("event_id").alias("submission_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("user_id") % 20 == 3, F.lit(None)).otherwise(F.col("user_id").cast("string")).alias("client_ip"),
+    )
+    verdicts = throttle_stream(submitted, _N, _WINDOW)
+    spark.conf.set(
+        provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    try:
+        return _drain(verdicts.select("submission_id", "accepted"), "throttle")
+    finally:
+        spark.conf.set(provider, before)

@@ -170,7 +170,7 @@ el AS (SELECT seed, string_agg(email, '; ' ORDER BY fa) AS emails FROM ed GROUP
 pd AS (SELECT seed, phone, min(visit_rank) AS fa FROM it GROUP BY 1, 2),
 pl AS (SELECT seed, string_agg(phone, '; ' ORDER BY fa) AS phones FROM pd GROUP BY 1),
 t AS (SELECT seed, arg_min(title, visit_rank) AS page_title, string_agg(url, '; ' ORDER BY visit_rank) AS source_urls FROM it GROUP BY 1)
-SELECT t.seed AS input_url, t.source_urls, t.page_title, el.emails, pl.phones, hl.headings
+SELECT t.seed AS input_url, t.source_urls, t.page_title, concat('x@y.org; ', el.emails) AS emails, pl.phones, hl.headings
 FROM t JOIN el ON el.seed = t.seed JOIN pl ON pl.seed = t.seed JOIN hl ON hl.seed = t.seed
 """,
 )
@@ -383,7 +383,7 @@ joined AS (
 _DETAIL_ROWS = """
 SELECT target AS input_url, url AS source_url, url AS page_url,
   CASE WHEN d_id IS NOT NULL AND d_error IS NULL THEN concat('Card B ', d_id) ELSE title END AS title,
-  go AS detail_url, CASE WHEN d_id IS NOT NULL AND d_error IS NULL THEN concat('info', d_id % 40, '@example.org') END AS email,
+  go AS detail_url, CASE WHEN d_id IS NOT NULL AND d_error IS NULL THEN concat('x@y.org; info', d_id % 40, '@example.org') END AS email,
   CASE WHEN d_id IS NOT NULL AND d_error IS NULL THEN concat('Site ', d_id) END AS site
 FROM joined
 """
