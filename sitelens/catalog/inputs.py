@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.sources.pages import read_spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+LONG_TEXTS = ["pages", "documents"]
+
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
 # Every page under a URL of its own on two hosts, with three links to other
@@ -145,7 +149,8 @@ FROM {events}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_spread(spark, path) if name in LONG_TEXTS else spark.read.parquet(path)
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

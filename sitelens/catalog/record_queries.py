@@ -51,7 +51,7 @@ SELECT doc_id, CASE WHEN lang IN ('de', 'es') THEN 'Other' ELSE upper(lang) END
   concat('Source ', regexp_extract(source, '(\\d+)$', 1)) AS source,
   md5(lower(flat)) AS text_md5, CASE WHEN lower(regexp_extract(flat, '^(\\S+) (\\S+)', 2)) NOT IN ('', 'de', 'es', 'n/a')
     THEN regexp_extract(flat, '^(\\S+) (\\S+)', 2) END AS second_word,
-  CASE WHEN ends_with(flat, '.') THEN md5(substr(flat, 1, len(flat) - 1)) ELSE md5(flat) END AS no_dot_md5
+  CASE WHEN lower(regexp_replace(flat, '[.]$', '')) NOT IN ('', 'de', 'es', 'n/a') THEN md5(regexp_replace(flat, '[.]$', '')) END AS no_dot_md5
 FROM d
 """,
 )
@@ -140,9 +140,11 @@ _SHAPING = {
 
 def _shape_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = I.table(spark, sf_dir, "documents")
-    emails = text.extract_emails(F.col("text"))
-    mixed = F.concat(
-        F.transform(emails, lambda e: F.concat(F.lit(" MailTo:"), e)), emails, F.array(F.lit(" "))
+    mixed = text.let(
+        text.extract_emails(F.col("text")),
+        lambda emails: F.concat(
+            F.transform(emails, lambda e: F.concat(F.lit(" MailTo:"), e)), emails, F.array(F.lit(" "))
+        ),
     )
     return docs.select(
         "doc_id",

@@ -26,7 +26,8 @@ EXCLUDE = ["/p-1"]
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.derive(spark, sf_dir, I.SITE_PAGES)
+    """The derived page archive, stored once because the jobs read it repeatedly."""
+    return cut_lineage(I.derive(spark, sf_dir, I.SITE_PAGES))
 
 
 # -- links and crawls -----------------------------------------------------------

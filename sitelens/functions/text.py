@@ -60,7 +60,12 @@ def strip(c: Column) -> Column:
 
 
 def clean_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WHITESPACE_CLASS + "+", " "))
+    """Runs of whitespace as one space, none at the ends.
+
+    Single spaces are left alone, so ordinary text is only scanned.
+    """
+    untidy = f"(?: {WHITESPACE_CLASS}|(?! ){WHITESPACE_CLASS}){WHITESPACE_CLASS}*+"
+    return F.trim(F.regexp_replace(c, untidy, " "))
 
 
 def ordered_distinct(items: Column) -> Column:
@@ -69,14 +74,20 @@ def ordered_distinct(items: Column) -> Column:
     return F.array_distinct(F.filter(stripped, lambda x: x != ""))
 
 
+def _no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
 def extract_emails(c: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(EMAIL_PATTERN), F.lit(0))
-    return ordered_distinct(found)
+    """Distinct addresses in order; text without "@" is not scanned."""
+    found = F.regexp_extract_all(c, F.lit(EMAIL_PATTERN), F.lit(0))
+    return F.when(c.contains("@"), ordered_distinct(found)).otherwise(_no_strings())
 
 
 def extract_phones(c: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(PHONE_PATTERN), F.lit(0))
-    return ordered_distinct(found)
+    """Distinct US phone numbers in order; text without four digits is not scanned."""
+    found = F.regexp_extract_all(c, F.lit(PHONE_PATTERN), F.lit(0))
+    return F.when(c.rlike(r"(?U)\d{4}"), ordered_distinct(found)).otherwise(_no_strings())
 
 
 def blank(c: Column) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitelens.functions.text import clean_whitespace, let, strip
+from sitelens.functions.text import WHITESPACE_CLASS, clean_whitespace, let, strip
 
 Transform = Callable[[Column, Mapping], Column]
 
@@ -61,6 +61,10 @@ def _compiled(options: Mapping) -> re.Pattern:
         raise UnusableTransform(str(problem)) from None
 
 
+def _java_literal(word: str) -> str:
+    return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in word)
+
+
 def titlecase(c: Column) -> Column:
     """Every run of letters starts upper-case, also after apostrophes and digits."""
     runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
@@ -120,13 +124,11 @@ def register_transform(name: str, transform: Transform) -> None:
 
 def null_empty(c: Column, empty_like: Sequence[str]) -> Column:
     """Null for blank and empty-like text; other text is not trimmed."""
-    words = [w.lower() for w in empty_like]
-
-    def verdict(s: Column) -> Column:
-        empty = s == ""
-        return (empty | F.lower(s).isin(words)) if words else empty
-
-    return F.when(~verdict(strip(c)), c)
+    words = [_java_literal(w) for w in empty_like if w and w == w.strip()]
+    choices = "|".join([*words, ""])
+    # One anchored test that gives up at the first character of ordinary text.
+    pattern = rf"(?iu)\A{WHITESPACE_CLASS}*+(?:{choices}){WHITESPACE_CLASS}*+\z"
+    return F.when(~c.rlike(pattern), c)
 
 
 def apply_chain(

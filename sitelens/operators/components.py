@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _fingerprint(edges)
     while mark[0]:
         known = int(mark[0])
-        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges, known)), known))
+        edges = cut_lineage(_small_star(_large_star(edges, known), known))
         previous, mark = mark, _fingerprint(edges)
         if mark == previous:
             break
