@@ -8,15 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.sources.pages import read_spread
+from sitelens.sources.pages import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-LONG_TEXTS = ["pages", "documents"]
-
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
 # Every page under a URL of its own on two hosts, with three links to other
@@ -149,13 +147,17 @@ FROM {events}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return read_spread(spark, path) if name in LONG_TEXTS else spark.read.parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts that are about to be parsed."""
+    return spread(table(spark, sf_dir, name))
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, sql: str, read=table) -> DataFrame:
     """Run a derived input on the tables of ``sf_dir``."""
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: read(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 

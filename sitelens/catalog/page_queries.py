@@ -92,13 +92,13 @@ links AS (
     f"WITH {_NAV_LINKS.format(source='SELECT * FROM pages')} SELECT page_id, pos, link_url, anchor_text FROM links",
 )
 def links_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = I.table(spark, sf_dir, "pages").withColumn("url", urls.normalize_url("url"))
+    pages = I.texts(spark, sf_dir, "pages").withColumn("url", urls.normalize_url("url"))
     found = explode_links(with_links(pages, ["page_id"]), ["page_id"])
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _contact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = I.derive(spark, sf_dir, I.CONTACT_PAGES)
+    pages = I.derive(spark, sf_dir, I.CONTACT_PAGES, I.texts)
     return pages.withColumn("url", urls.normalize_url("url"))
 
 
@@ -193,7 +193,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"name": "business_name", "type": "business_name"},
         ]
     )
-    found = extract_fields(I.table(spark, sf_dir, "pages"), fields, ["page_id"])
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
     return found.select(
         "page_id", "page_title", text.csv_text(F.col("headings"), True).alias("headings"),
         "meta_description", "business_name",
@@ -203,7 +203,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_addresses")
 def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = read_fields([{"name": "address", "type": "address", "default": "none"}])
-    found = extract_fields(I.table(spark, sf_dir, "pages"), fields, ["page_id"])
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
     return found.select("page_id", "address")
 
 
@@ -235,7 +235,7 @@ def selector_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"name": "nothing", "selector": "#main .none", "default": "missing"},
         ]
     )
-    found = extract_fields(I.table(spark, sf_dir, "pages"), fields, ["page_id"])
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
     return flatten_lists(found.drop("url", "shred_error"))
 
 
@@ -258,7 +258,7 @@ def xpath_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"name": "n_links", "xpath": "count(//nav//a)"},
         ]
     )
-    found = extract_fields(I.table(spark, sf_dir, "pages"), fields, ["page_id"])
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
     found = found.withColumn("n_links", F.regexp_replace("n_links", r"\.0$", ""))
     return flatten_lists(found.drop("url", "shred_error"))
 
@@ -279,7 +279,7 @@ def listing_records_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"name": "note", "selector": ".note", "default": "n/a"},
         ]
     )
-    pages = I.table(spark, sf_dir, "pages").withColumn("url", urls.normalize_url("url"))
+    pages = I.texts(spark, sf_dir, "pages").withColumn("url", urls.normalize_url("url"))
     shredded = shred_for(pages, listing_needs("nav li", fields), ["page_id", "url"])
     page = Page(F.col("url"), F.col("nodes"), F.col("texts"), F.col("xhtml"), {}, F.lit(None))
     records = shredded.select("page_id", listing_records(page, "nav li", fields).alias("records"))
@@ -317,7 +317,7 @@ _LISTS = ["source_urls", "email_source_urls", "phone_source_urls", "emails", "ph
 def _merged_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _seed_pages(spark, sf_dir)
     fields = {**{n: True for n in _LISTS}, "page_title": False}
-    merged = merge_pages(pages, "seed_no", ["page_id"], fields, read_fields(_MERGE_FIELDS))
+    merged = merge_pages(pages, "seed_no", "page_id", fields, read_fields(_MERGE_FIELDS))
     seeds = pages.groupBy("seed_no").agg(F.min_by("url", "page_id").alias("input_url"))
     return merged.join(seeds, "seed_no")
 
@@ -421,10 +421,10 @@ FROM di JOIN t ON t.domain = di.domain
 def domain_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge by whole domain, in long form: a domain may hold any share of the pages."""
     pages = domain_pages(spark, sf_dir)
-    items = merge_items(pages, ["domain"], ["page_id"], ["emails", "phones", "contact_pages"])
-    heads = merge_scalars(pages, ["domain"], ["page_id"], ["page_title"])
+    items = merge_items(pages, ["domain"], "page_id", ["emails", "phones", "contact_pages"])
+    heads = merge_scalars(pages, ["domain"], "page_id", ["page_title"])
     return items.join(heads, "domain").select(
-        "domain", "pages_merged", "page_title", "field", "item", F.col("first_at.page_id").alias("first_page")
+        "domain", "pages_merged", "page_title", "field", "item", F.col("first_rank").alias("first_page")
     )
 
 
@@ -448,7 +448,7 @@ def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     contexts = I.derive(spark, sf_dir, _WEBSITES).select(
         urls.normalize_url("website").alias("input_url"), "c_custkey", "c_name", "website"
     )
-    pages = I.table(spark, sf_dir, "pages").withColumn("input_url", urls.normalize_url("url"))
+    pages = I.texts(spark, sf_dir, "pages").withColumn("input_url", urls.normalize_url("url"))
     # The title column shares a name with a context column: the result wins.
     fields = read_fields([{"name": "c_name", "type": "page_title"}])
     rows = extract_fields(pages, fields, ["page_id", "input_url"]).select("page_id", "input_url", "c_name")
@@ -519,7 +519,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = read_fields(
         [{"name": "nav", "selector": "nav a", "many": True}, {"name": "page_title", "type": "page_title"}]
     )
-    found = extract_fields(I.table(spark, sf_dir, "pages"), fields, ["page_id"])
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
     path = scratch(found, "csv")
     write_csv(found.select("page_id", "nav", "page_title"), path, ["page_title", "extra"])
     back = read_csv(spark, path)
@@ -532,7 +532,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = read_fields([{"name": "nav", "selector": "nav a", "many": True}])
-    found = extract_fields(I.table(spark, sf_dir, "pages"), fields, ["page_id"])
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
     path = scratch(found, "json")
     write_json(found.select("page_id", "nav"), path)
     return flatten_lists(spark.read.schema("page_id bigint, nav array<string>").json(path))

@@ -33,13 +33,13 @@ SELECT doc_id, array_to_string({distinct_list('found')}, '; ') AS found, len({di
 
 @query("doc_emails", _values(EMAILS))
 def doc_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", text.extract_emails(F.col("text")).alias("found"))
+    docs = I.texts(spark, sf_dir, "documents").select("doc_id", text.extract_emails(F.col("text")).alias("found"))
     return flatten_lists(docs.withColumn("n", F.size("found").cast("bigint")))
 
 
 @query("doc_phones", _values(PHONES))
 def doc_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", text.extract_phones(F.col("text")).alias("found"))
+    docs = I.texts(spark, sf_dir, "documents").select("doc_id", text.extract_phones(F.col("text")).alias("found"))
     return flatten_lists(docs.withColumn("n", F.size("found").cast("bigint")))
 
 
@@ -56,7 +56,7 @@ FROM d
 """,
 )
 def transform_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents").select(
+    docs = I.texts(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", F.col("text").alias("body"),
         F.col("text").alias("second_word"), F.col("text").alias("no_dot"),
     )
@@ -123,7 +123,7 @@ def transform_warnings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"name": "source", "transforms": [{"name": "regex_extract", "pattern": "1", "group": 3}]},
         ]
     )
-    return transform_warnings(I.table(spark, sf_dir, "documents"), fields, ["de"])
+    return transform_warnings(I.texts(spark, sf_dir, "documents"), fields, ["de"])
 
 
 # -- shaping ------------------------------------------------------------------
@@ -139,7 +139,7 @@ _SHAPING = {
 
 
 def _shape_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents")
+    docs = I.texts(spark, sf_dir, "documents")
     mixed = text.let(
         text.extract_emails(F.col("text")),
         lambda emails: F.concat(
@@ -192,7 +192,7 @@ _QUALITY_FIELDS = ["emails", "phones", "lang", "fax"]
 
 
 def _quality_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents")
+    docs = I.texts(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
         text.extract_emails(F.col("text")).alias("emails"),

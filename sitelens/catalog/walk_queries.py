@@ -408,8 +408,8 @@ def detail_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {_DETAILED.format(cap=120)}
 SELECT 'detail_page_fetch_failed' AS category, count(*) AS count FROM joined WHERE d_error IS NOT NULL
-UNION ALL SELECT 'detail_page_limit_skipped', count(*) FROM joined WHERE attempt > 120
-UNION ALL SELECT 'max_detail_pages_reached', CAST(1 AS BIGINT)
+UNION ALL SELECT 'detail_page_limit_skipped', count(*) FILTER (attempt > 120) FROM joined HAVING count(*) FILTER (attempt > 120) > 0
+UNION ALL SELECT 'max_detail_pages_reached', CAST(1 AS BIGINT) FROM joined HAVING count(*) FILTER (attempt > 120) > 0
 UNION ALL SELECT 'directory_page_fetch_failed', count(*) FROM site WHERE error IS NOT NULL
 """,
 )

@@ -31,6 +31,14 @@ _DOMAIN = (
 )
 _SIMPLE_PATH = r"^/(?![/.])(?:[^\s\p{C}?#;/]+(?:/(?![/.])|(?=$)))*$"
 
+# An absolute URL or bare host that normalization only has to trim: lower-case
+# host, no port, plain path, encoded-looking query. Group 1 ends before the final
+# slash, group 2 is the query.
+_SIMPLE_URL = (
+    r"^((?:https?://)?[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:/[^\s\p{C}?#;/]+)*)/?"
+    r"(\?[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*(?:&[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*)*)?(?:#\P{C}*)?$"
+)
+
 # Link prefixes that never lead to a page.
 SKIPPED_PREFIXES = r"(?i)^(#|mailto:|tel:|javascript:|data:)"
 # Suffix parts that make a registered name three labels long.
@@ -194,6 +202,16 @@ def _normalize_absolute(value: Column) -> Column:
     )
 
 
+def _trim_simple(v: Column) -> Column:
+    kept = F.regexp_extract(v, _SIMPLE_URL, 1)
+    return F.concat(
+        F.when(v.rlike("^https?://"), F.lit("")).otherwise("https://"),
+        kept,
+        F.when(kept.rlike("^(?:https?://)?[^/]+$"), F.lit("/")).otherwise(""),
+        F.regexp_extract(v, _SIMPLE_URL, 2),
+    )
+
+
 @cached_by_name
 def normalize_url(value: Column, base: Column | None = None, origin: Column | None = None) -> Column:
     """Canonical form of a URL; null for blank or invalid input.
@@ -202,7 +220,12 @@ def normalize_url(value: Column, base: Column | None = None, origin: Column | No
     """
     stripped = strip(value)
     if base is None:
-        return F.when(stripped != "", _normalize_absolute(stripped))
+        return let(
+            stripped,
+            lambda v: F.when(v == "", F.lit(None).cast("string"))
+            .when(v.rlike(_SIMPLE_URL), _trim_simple(v))
+            .otherwise(_normalize_absolute(v)),
+        )
     origin = url_origin(base) if origin is None else origin
     return let(
         stripped,

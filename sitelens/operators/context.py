@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.skew import salted_join
+from sitelens.operators.skew import cut_lineage, salted_join
 
 
 def join_context(
-    rows: DataFrame, contexts: DataFrame, key: str = "input_url", known_rows: int | None = None
+    rows: DataFrame, contexts: DataFrame, key: str = "input_url"
 ) -> DataFrame:
     """Every result row with every context of its URL; unmatched rows stay.
 
@@ -18,8 +18,9 @@ def join_context(
     side is the salted one; unmatched rows come from an anti join on its keys.
     """
     added = [c for c in contexts.columns if c != key and c not in rows.columns]
-    narrow = contexts.select(key, *added)
-    matched = salted_join(narrow, rows, [key], known_rows=known_rows)
+    # Read more than once below, and its key is costly to normalize.
+    narrow = cut_lineage(contexts.select(key, *added))
+    matched = salted_join(narrow, rows, [key], known_rows=narrow.count())
     alone = rows.join(narrow.select(key).distinct(), key, "left_anti")
     ordered = [key, *added, *[c for c in rows.columns if c != key]]
     return matched.select(*ordered).unionByName(

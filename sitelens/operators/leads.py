@@ -102,11 +102,36 @@ def lead_status(df: DataFrame, settings: LeadSettings) -> Column:
     )
 
 
+def url_texts(df: DataFrame, settings: LeadSettings, skip: Sequence[str] = ()) -> list[str]:
+    """String columns that hold URLs after renaming."""
+    return [
+        n
+        for n in _text_fields(df, [c for c in df.columns if c not in skip])
+        if settings.rename_fields.get(n, n) in URL_FIELDS
+    ]
+
+
+def with_urls(df: DataFrame, settings: LeadSettings, skip: Sequence[str] = ()) -> DataFrame:
+    """Add ``__urls``: the normalized URL columns, then the URL of the domain key.
+
+    One pass of one expression normalizes all of them.
+    """
+    values = [F.col(n) for n in url_texts(df, settings, skip)]
+    return df.withColumn(
+        "__urls",
+        F.transform(F.array(*values, _first_text(df, DOMAIN_KEY_FIELDS)), lambda u: urls.normalize_url(u)),
+    )
+
+
 def project_columns(df: DataFrame, settings: LeadSettings, skip: Sequence[str] = ()) -> dict[str, Column]:
-    """Renamed, normalized output columns; later columns win a shared name."""
+    """Renamed, normalized output columns; later columns win a shared name.
+
+    ``df`` has stripped values and ``__urls``.
+    """
     columns: dict[str, Column] = {}
+    places = {n: i for i, n in enumerate(url_texts(df, settings, skip))}
     for f in df.schema.fields:
-        if f.name in skip:
+        if f.name in skip or f.name == "__urls":
             continue
         target = settings.rename_fields.get(f.name, f.name)
 
@@ -118,7 +143,10 @@ def project_columns(df: DataFrame, settings: LeadSettings, skip: Sequence[str] =
             return text.strip(c)
 
         c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
+        if f.name in places:
+            found = F.coalesce(F.get("__urls", F.lit(places[f.name])), F.lower(c))
+            columns[target] = F.when(c == "", c).when(c.isNotNull(), found)
+        elif isinstance(f.dataType, T.StringType):
             columns[target] = F.when(c.isNotNull(), normalize(c))
         elif is_list(df, f.name):
             kept = F.filter(c, lambda x: ~text.blank(x))
@@ -131,12 +159,14 @@ def project_columns(df: DataFrame, settings: LeadSettings, skip: Sequence[str] =
 
 
 def dedupe_keys(df: DataFrame, company: Column) -> Column:
-    """struct(class, keys): the first key class that a row can fill.
+    """struct(kind, keys): the first key class that a row can fill.
 
-    ``company`` is the company text of the projected row.
+    ``df`` has stripped values and ``__urls``; ``company`` is the company text of
+    the projected row.
     """
     email = contacts.normalize_email(_first_text(df, EMAIL_KEY_FIELDS))
-    domain = urls.normalize_domain(_first_text(df, DOMAIN_KEY_FIELDS))
+    host = urls.canonical_domain(F.element_at("__urls", -1))
+    domain = F.coalesce(urls.root_domain(host), F.lit(""))
     values = [
         F.col(n) if is_list(df, n) else F.array(F.col(n))
         for n in PHONE_KEY_FIELDS
@@ -178,8 +208,9 @@ def completeness(columns: Mapping[str, tuple[Column, bool]]) -> Column:
 def prepare_leads(leads: DataFrame, settings: LeadSettings, idx: str = "idx") -> DataFrame:
     """idx, status, kind, keys, score and the projected row as a struct."""
     stripped = strip_strings(leads)
-    source = stripped.withColumn("__status", lead_status(stripped.drop(idx), settings))
-    projected = project_columns(stripped, settings, skip=[idx])
+    located = with_urls(stripped, settings, skip=[idx])
+    source = located.withColumn("__status", lead_status(stripped.drop(idx), settings))
+    projected = project_columns(located, settings, skip=[idx])
     staged = source.withColumn("__row", F.struct(*[c.alias(n) for n, c in projected.items()]))
     row_schema = staged.schema["__row"].dataType
     listed = {f.name: isinstance(f.dataType, T.ArrayType) for f in row_schema.fields}

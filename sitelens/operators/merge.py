@@ -20,12 +20,12 @@ from sitelens.plans.spec import FieldSpec
 
 
 def merge_items(
-    pages: DataFrame, keys: Sequence[str], order: Sequence[str], lists: Sequence[str]
+    pages: DataFrame, keys: Sequence[str], order: str, lists: Sequence[str]
 ) -> DataFrame:
-    """Distinct list items per key and field with the position of their first use.
+    """Distinct list items per key and field, with the page and place of first use.
 
     Grouping is on key, field and item, so a hot key spreads over its items and
-    repeated items shrink on the map side.
+    repeated items shrink on the map side. ``order`` is unique within a key.
     """
     entries = F.flatten(
         F.array(
@@ -41,33 +41,30 @@ def merge_items(
         )
     )
     return (
-        pages.select(*keys, *order, F.inline(entries))
+        pages.select(*keys, F.col(order).alias("__rank"), F.inline(entries))
         .filter(F.col("item") != "")
         .groupBy(*keys, "field", "item")
-        .agg(F.min(F.struct(*order, "pos")).alias("first_at"))
+        # Primitive buffers keep this a hash aggregate.
+        .agg(F.min("__rank").alias("first_rank"), F.min_by("pos", "__rank").alias("first_pos"))
     )
 
 
 def merge_scalars(
-    pages: DataFrame, keys: Sequence[str], order: Sequence[str], scalars: Sequence[str]
+    pages: DataFrame, keys: Sequence[str], order: str, scalars: Sequence[str]
 ) -> DataFrame:
     """First non-empty value of every scalar field per key, in page order."""
-    rank = F.struct(*order)
     return pages.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pages_merged"),
         *[
-            F.min(
-                F.when(~text.blank(F.col(n)), F.struct(rank.alias("r"), F.col(n).alias("v")))
-            ).alias(n)
-            for n in scalars
+            F.min_by(n, F.when(~text.blank(F.col(n)), F.col(order))).alias(n) for n in scalars
         ],
-    ).select(*keys, "pages_merged", *[F.col(n).v.alias(n) for n in scalars])
+    )
 
 
 def merge_pages(
     pages: DataFrame,
     key: str,
-    order: Sequence[str],
+    order: str,
     fields: Mapping[str, bool],
     specs: Sequence[FieldSpec] = (),
 ) -> DataFrame:
@@ -88,7 +85,7 @@ def merge_pages(
                         F.collect_list(
                             F.when(
                                 F.col("field") == name,
-                                F.struct(F.col("first_at"), F.col("item")),
+                                F.struct("first_rank", "first_pos", "item"),
                             )
                         )
                     ),

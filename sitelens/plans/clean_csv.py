@@ -17,7 +17,9 @@ def clean_csv(df: DataFrame, steps: Sequence[Mapping]) -> tuple[Result, list]:
     rows, observed = run_modules(df, steps)
     names = rows.columns
     return Result(
-        rows=rows, coverage=field_coverage(rows, names), summary=quality_summary(rows, names)
+        rows=rows,
+        coverage=lambda: field_coverage(rows, names),
+        summary=lambda: quality_summary(rows, names),
     ), observed
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,19 +235,23 @@ def _issues(
 
 
 def _finish(spec, walked, visits, budget, rows, names, details, rendered) -> Result:
-    pages = cut_lineage(_processed(visits, budget))
     shaped = shape_records(rows, spec.shaping)
     fields = [*spec.fields, *spec.detail_fields]
+
+    @cache
+    def pages() -> DataFrame:
+        return cut_lineage(_processed(visits, budget))
+
     return Result(
         rows=shaped,
         visits=visits,
-        targets=_target_report(walked, pages, budget, details),
-        issues=_issues(spec, pages, budget, walked, details, rendered),
-        warnings=transform_warnings(rows, fields, spec.empty_like),
-        cleanup=cleanup_counters(rows, spec.shaping),
-        coverage=field_coverage(shaped, names),
-        summary=quality_summary(shaped, names),
-        limits=limits_report(budget, spec.max_records, spec.max_detail_pages, details),
+        targets=lambda: _target_report(walked, pages(), budget, details),
+        issues=lambda: _issues(spec, pages(), budget, walked, details, rendered),
+        warnings=lambda: transform_warnings(rows, fields, spec.empty_like),
+        cleanup=lambda: cleanup_counters(rows, spec.shaping),
+        coverage=lambda: field_coverage(shaped, names),
+        summary=lambda: quality_summary(shaped, names),
+        limits=lambda: limits_report(budget, spec.max_records, spec.max_detail_pages, details),
     )
 
 

@@ -1,22 +1,43 @@
-"""What a job returns: its rows and its report tables, all DataFrames."""
+"""What a job returns: its rows and its report tables, all DataFrames.
+
+Report tables are planned when they are first asked for, so a caller that only
+wants the rows does not pay for the rest.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+TABLES = [
+    "rows",  # the output records
+    "visits",  # pages in the order they were visited
+    "frontier",  # URLs still queued when a crawl ended
+    "targets",  # counters per target
+    "issues",  # category, message
+    "warnings",  # transforms that could not be applied
+    "cleanup",  # cleanup counters
+    "coverage",  # filled and empty values per field
+    "summary",  # totals over the output records
+    "limits",  # limits and what they cost
+    "stats",  # lead cleaning counters
+]
+
 
-@dataclass
 class Result:
-    rows: DataFrame
-    visits: DataFrame | None = None
-    targets: DataFrame | None = None
-    issues: DataFrame | None = None  # category, message
-    warnings: DataFrame | None = None  # transform warnings
-    cleanup: DataFrame | None = None  # cleanup counters
-    coverage: DataFrame | None = None
-    summary: DataFrame | None = None
-    limits: DataFrame | None = None
-    stats: DataFrame | None = None
-    frontier: DataFrame | None = None
+    """``result.rows``, ``result.targets`` and so on; None for tables a job lacks."""
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        unknown = set(tables) - set(TABLES)
+        if unknown:
+            raise TypeError(f"Unknown result tables: {sorted(unknown)}")
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in TABLES:
+            raise AttributeError(name)
+        table = self._tables.get(name)
+        if callable(table) and not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table

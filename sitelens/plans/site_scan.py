@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitelens.functions import text
@@ -85,7 +86,7 @@ def site_scan(
         fields = {
             "source_urls": True, "email_source_urls": True, "phone_source_urls": True, **listed,
         }
-        merged = merge_pages(usable, "seed", ["visit_rank"], fields, spec.fields)
+        merged = merge_pages(usable, "seed", "visit_rank", fields, spec.fields)
         rows = merged.join(seeds.withColumnRenamed("url", "seed"), "seed").select(
             "target_idx", F.lit(1).alias("visit_rank"), F.col("seed").alias("input_url"),
             *[n for n in fields],
@@ -107,7 +108,7 @@ def site_scan(
     if spec.max_records is not None:
         kept = rows.join(budget.select("target_idx", "kept_records"), "target_idx")
         # Rows of one target are at most crawl.max_pages.
-        place = F.row_number().over(_per_target())
+        place = F.row_number().over(W.partitionBy("target_idx").orderBy("visit_rank"))
         rows = kept.withColumn("__n", place).filter(F.col("__n") <= F.col("kept_records")).drop(
             "__n", "kept_records"
         )
@@ -115,26 +116,23 @@ def site_scan(
     shaped = shape_records(ordered, spec.shaping)
     if contexts is not None:
         shaped = join_context(shaped, contexts)
-    reached = budget.filter("reached").select("target_idx")
-    report = _target_report(visits.join(reached, "target_idx", "left_semi"), page_rows)
+    reached = visits.join(
+        budget.filter("reached").select("target_idx"), "target_idx", "left_semi"
+    )
     return Result(
         rows=shaped,
         visits=visits,
-        targets=report,
-        issues=_issues(spec, visits.join(reached, "target_idx", "left_semi"), page_rows, budget),
-        warnings=transform_warnings(usable, spec.fields, spec.empty_like),
-        cleanup=cleanup_counters(rows.drop("target_idx", "visit_rank"), spec.shaping),
-        coverage=field_coverage(shaped, names),
-        summary=quality_summary(shaped, names),
-        limits=limits_report(budget, spec.max_records),
+        targets=lambda: _target_report(reached, page_rows),
+        issues=lambda: _issues(spec, reached, page_rows, budget),
+        warnings=lambda: transform_warnings(usable, spec.fields, spec.empty_like),
+        cleanup=lambda: cleanup_counters(rows.drop("target_idx", "visit_rank"), spec.shaping),
+        coverage=lambda: field_coverage(shaped, names),
+        summary=lambda: quality_summary(shaped, names),
+        limits=lambda: limits_report(budget, spec.max_records),
         frontier=scanned.frontier,
     )
 
 
-def _per_target():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("target_idx").orderBy("visit_rank")
 
 
 def _target_report(visits: DataFrame, page_rows: DataFrame) -> DataFrame:

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls
 
 
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table of long texts with at least one scan task per core.
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of long texts at least one task per core.
 
-    Parsing costs far more than reading, so an input that has fewer splits than
-    the cluster has cores is spread out first. Larger inputs are read as they are.
+    Parsing costs far more than reading, so an input with fewer splits than the
+    cluster has cores is spread out first. Larger inputs stay as they are. Meant
+    for plain scans: other plans would be run to count their partitions.
     """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

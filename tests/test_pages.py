@@ -163,11 +163,11 @@ def test_merge(spark):
     )
     specs = read_fields([{"name": "social", "many": True, "default": []}, {"name": "title", "default": "none"}])
     fields = {"emails": True, "phones": True, "title": False, "social": True}
-    got = {r["seed"]: r for r in merge_pages(rows, "seed", ["rank"], fields, specs).collect()}
+    got = {r["seed"]: r for r in merge_pages(rows, "seed", "rank", fields, specs).collect()}
     assert got["s"]["emails"] == ["h@e.com", "t@e.com"] and got["s"]["phones"] == ["111", "222"]
     assert got["s"]["title"] == "B" and got["s"]["social"] == [] and got["r"]["emails"] is None
-    items = merge_items(rows, ["seed"], ["rank"], ["emails"]).collect()
-    assert {(r["item"], r["first_at"]["rank"]) for r in items} == {("h@e.com", 1), ("t@e.com", 2)}
+    items = merge_items(rows, ["seed"], "rank", ["emails"]).collect()
+    assert {(r["item"], r["first_rank"]) for r in items} == {("h@e.com", 1), ("t@e.com", 2)}
 
 
 def test_contact_email_choice(spark):

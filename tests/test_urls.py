@@ -25,7 +25,7 @@ def expected_query(url):
 @pytest.mark.parametrize(
     "value,base,want",
     [
-        ("Example.COM", None, "https://example.com/" if False else "https://example.com/"),
+        ("Example.COM", None, "https://example.com/"),
         ("https://A.com:443/x//?b=1&a#f", None, "https://a.com/x?b=1&a="),
         ("http://a.com:443/", None, "http://a.com:443/"),
         ("http://a.com:80", None, "http://a.com/"),
@@ -86,6 +86,40 @@ def test_query_encoding_matches_the_standard_library(spark, queries):
         assert mine == "https://a.com/x" + (f"?{want}" if want else ""), query
 
 
+plain = st.builds(
+    lambda scheme, host, path, query, frag: scheme + host + path + query + frag,
+    st.sampled_from(["", "http://", "https://", "HTTP://", "http:", "ftp://"]),
+    st.sampled_from(["a.com", "www.b-c.co.uk", "A.com", "a.com:443", "x", "a..b", "u@h.org"]),
+    st.sampled_from(["", "/", "/x", "/x/", "/x//", "/a/b.c/../d", "/é,", "/a;p", "/%41"]),
+    st.sampled_from(["", "?", "?a=1", "?a=1&b=", "?a", "?a=%41", "?a=b~c&&d=1", "?a=x y"]),
+    st.sampled_from(["", "#", "#top", "#a/b?c"]),
+)
+
+
+def by_the_book(value):
+    value = value.strip()
+    if not value.startswith(("http://", "https://")):
+        value = "https://" + value
+    parts = urlsplit(value)
+    path, _, params = parts.path.partition(";") if ";" in parts.path.rsplit("/", 1)[-1] else (parts.path, "", "")
+    netloc = parts.netloc.lower()
+    default = ":80" if parts.scheme == "http" else ":443"
+    if netloc.count(":") == 1 and netloc.endswith(default):
+        netloc = netloc[: -len(default)]
+    path = "/" if path in ("", "/") else path.rstrip("/")
+    query = expected_query(value)
+    return f"{parts.scheme}://{netloc}{path}" + (f";{params}" if params else "") + (f"?{query}" if query else "")
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(plain, min_size=150, max_size=200))
+def test_normalization_rules_on_random_urls(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "u string")
+    got = [r.u for r in df.select(U.normalize_url("u").alias("u")).collect()]
+    for value, mine in zip(values, got):
+        assert mine == by_the_book(value), value
+
+
 def test_domains_and_labels(spark):
     rows = [
         ("https://www.a.com/", "a.com", "a.com"),
