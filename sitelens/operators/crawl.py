@@ -8,14 +8,15 @@ and only the popped page's links move back; the state stays where it is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import text, urls
-from sitelens.operators.links import rank_links, with_links
+from sitelens.operators.extract import LINK_NEEDS, Page, extract_fields
+from sitelens.operators.links import rank_links
+from sitelens.operators.records import process_records
 from sitelens.operators.skew import cut_lineage, salted_join
 from sitelens.plans.spec import JobSpec
 
@@ -30,39 +31,41 @@ _VISITS = "array<struct<rank:int,url:string,final_url:string,depth:int,status_co
 class CrawlResult:
     visits: DataFrame  # seed, visit_rank, url, final_url, depth, status_code, error
     frontier: DataFrame  # seed, queue_rank, url, score, depth
+    archive: DataFrame  # what link_archive returns
 
 
 def link_archive(pages: DataFrame, spec: JobSpec) -> DataFrame:
-    """Per requested URL: final URL, status, error and ranked links, HTML dropped.
+    """Per requested URL: final URL, status, error, ranked links and page fields.
 
-    ``pages`` holds requested_url, url, status_code, error and html. If a URL was
-    archived more than once the first row in URL, status and error order counts.
+    ``pages`` holds requested_url, url, status_code, error and html, one row per
+    requested URL. Links and the fields of the spec (``f_`` names, with ``issues``)
+    come from the same parse, so the HTML is read once and never shuffled.
     """
-    linked = with_links(pages, ["requested_url", "status_code", "error"])
-    ranked = rank_links(
-        F.col("links"), spec.priority_keywords, spec.include_url_keywords, spec.exclude_url_keywords
-    )
-    narrow = linked.select(
-        F.col("requested_url").alias("pop_url"),
-        F.col("url").alias("final_url"),
-        "status_code",
-        "error",
-        F.when(
-            F.col("error").isNull(),
-            F.transform(
-                ranked,
-                lambda k: F.struct(
-                    k.url.alias("url"),
-                    k.score.alias("score"),
-                    urls.canonical_domain(k.url).alias("domain"),
-                ),
+
+    def links(page: Page) -> dict[str, Column]:
+        ranked = rank_links(
+            page.links, spec.priority_keywords, spec.include_url_keywords, spec.exclude_url_keywords
+        )
+        followed = F.transform(
+            ranked,
+            lambda k: F.struct(
+                k.url.alias("url"),
+                k.score.alias("score"),
+                urls.canonical_domain(k.url).alias("domain"),
             ),
-        ).alias("links"),
-    )
-    rest = ["final_url", "status_code", "error", "links"]
-    return narrow.groupBy("pop_url").agg(F.min(F.struct(*rest)).alias("p")).select(
-        "pop_url", *[F.col(f"p.{c}").alias(c) for c in rest]
+        )
+        return {"links": F.when(F.col("error").isNull(), followed)}
+
+    found = extract_fields(
+        pages,
+        spec.fields,
+        ["requested_url", "url", "status_code", "error"],
+        prefix="f_",
+        also=LINK_NEEDS,
+        extra=links,
     )
+    renamed = found.withColumnsRenamed({"requested_url": "pop_url", "url": "final_url"})
+    return process_records(renamed, spec.fields, spec.empty_like, "f_", "issues")
 
 
 def _advance(round_no: int, same_domain_only: bool) -> list[Column]:
@@ -110,6 +113,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, spec: JobSpec) -> CrawlResult:
     count as error pages.
     """
     archive = cut_lineage(link_archive(pages, spec))
+    hops = archive.select(
+        "pop_url", "final_url", "status_code", "error", "links", F.lit(True).alias("found")
+    )
     start = F.struct(
         F.lit(-SEED_SCORE).cast("int").alias("minus"),
         F.lit(0).cast("bigint").alias("seq"),
@@ -132,9 +138,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, spec: JobSpec) -> CrawlResult:
         pops = state.filter(F.size("queue") > 0).select(
             "seed", F.array_min("queue").url.alias("pop_url")
         )
-        answers = salted_join(
-            pops, archive.withColumn("found", F.lit(True)), ["pop_url"], "left", known_rows=active
-        ).drop("pop_url")
+        answers = salted_join(pops, hops, ["pop_url"], "left", known_rows=active).drop("pop_url")
         popped = state.withColumn("popped", F.array_min("queue")).withColumn(
             "queue", F.filter("queue", lambda q: q != F.col("popped"))
         )
@@ -152,4 +156,5 @@ def crawl(pages: DataFrame, seeds: DataFrame, spec: JobSpec) -> CrawlResult:
             (-F.col("q.minus")).alias("score"),
             F.col("q.depth").alias("depth"),
         ),
+        archive,
     )

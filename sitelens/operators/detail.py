@@ -27,7 +27,7 @@ def with_detail_url(rows: DataFrame, url_field: str) -> DataFrame:
 
 
 def cap_attempts(
-    rows: DataFrame, order: Sequence[str], max_detail_pages: int | None, buckets: int = 4096
+    rows: DataFrame, order: Sequence[str], max_detail_pages: int | None
 ) -> DataFrame:
     """Add ``detail_status``: none, attempt or skipped, counting rows in order."""
     wanted = F.col("detail_key").isNotNull()
@@ -35,7 +35,7 @@ def cap_attempts(
         return rows.withColumn(
             "detail_status", F.when(wanted, F.lit("attempt")).otherwise(F.lit("none"))
         )
-    counted = running_total(rows, order, wanted.cast("int"), "__attempts", buckets)
+    counted = running_total(rows, order, wanted.cast("int"), "__attempts")
     return counted.withColumn(
         "detail_status",
         F.when(~wanted, F.lit("none"))

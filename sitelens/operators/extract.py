@@ -325,9 +325,16 @@ def extract_fields(
     fields: Sequence[FieldSpec],
     keep: Sequence[str] = ("url",),
     url: str = "url",
+    prefix: str = "",
+    also: NodeNeeds = NodeNeeds(),
+    extra: Callable[[Page], dict[str, Column]] | None = None,
 ) -> DataFrame:
-    """``keep`` columns, one column per field and ``shred_error``."""
-    needs, raw, links = NodeNeeds(), {}, False
+    """``keep`` columns, one column per field (name behind ``prefix``), ``shred_error``.
+
+    ``extra`` may add columns made from the same parse; ``also`` is what they need.
+    """
+    needs, raw = also, {}
+    links = also | LINK_NEEDS == also  # enough is parsed to list the links
     for field in fields:
         needs |= field_needs(field)
         if field.type:
@@ -336,9 +343,7 @@ def extract_fields(
     keep = list(dict.fromkeys([*keep, url]))
     shredded = shred_for(pages, needs, keep, raw)
     if links:
-        shredded = shredded.withColumn(
-            "__links", page_links(url, "nodes", "texts")
-        )
+        shredded = shredded.withColumn("__links", page_links(url, "nodes", "texts"))
     page = Page(
         url=F.col(url),
         nodes=F.col("nodes"),
@@ -347,8 +352,10 @@ def extract_fields(
         raw={name: F.col(f"__raw_{name}") for name in raw},
         links=F.col("__links"),
     )
+    added = extra(page) if extra else {}
     return shredded.select(
         *keep,
-        *[field_value(page, field).alias(field.name) for field in fields],
+        *[field_value(page, field).alias(prefix + field.name) for field in fields],
+        *[c.alias(name) for name, c in added.items()],
         "shred_error",
     )

@@ -1,9 +1,9 @@
 """Record and detail-page caps over ordered pages and records.
 
 Both caps are global, so they need running totals. A total over all rows in one
-task would not scale; totals are built in two levels instead: target order is cut
-into at most BUCKETS ranges, one small table holds a total per range, and windows
-only ever run inside a range.
+task would not scale; totals are built in two levels instead: rows are split into
+balanced ranges of the order, one small table holds a total per range, and windows
+only run inside a range.
 """
 
 from __future__ import annotations
@@ -14,55 +14,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from sitelens.operators.skew import cut_lineage
 
 
 def running_total(
-    df: DataFrame, order: Sequence[str], value: Column, name: str, buckets: int = BUCKETS
+    df: DataFrame, order: Sequence[str], value: Column, name: str, ranges: int | None = None
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over all rows before this one.
 
-    The first order column must be an integer; ranges are cut on it.
+    Ranges follow all order columns, so neither uneven numbers nor a target with
+    very many rows makes a range large. The split is checkpointed: a range must
+    mean the same rows in both uses below.
     """
-    lead = order[0]
-    bounds = df.agg(
-        F.min(lead).alias("__lo"), F.max(lead).alias("__hi"), F.lit(1).alias("__all")
+    split = [ranges] if ranges else []
+    ranged = cut_lineage(
+        df.withColumn("__v", value.cast("bigint"))
+        .repartitionByRange(*split, *order)
+        .withColumn("__range", F.spark_partition_id())
     )
-    ranged = (
-        df.withColumns({"__v": value.cast("bigint"), "__all": F.lit(1)})
-        .join(F.broadcast(bounds), "__all")
-        .drop("__all")
-        .withColumn(
-            "__bucket",
-            F.floor(
-                (F.col(lead) - F.col("__lo")) * buckets / (F.col("__hi") - F.col("__lo") + 1)
-            ),
-        )
-        .drop("__lo", "__hi")
-    )
-    # At most one row per bucket, so this window and the broadcast are bounded.
-    totals = ranged.groupBy("__bucket").agg(F.sum("__v").alias("__t"))
+    # At most one row per shuffle partition, so this window and the broadcast are small.
+    totals = ranged.groupBy("__range").agg(F.sum("__v").alias("__t"))
+    earlier = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(
-        "__bucket",
-        F.coalesce(
-            F.sum("__t").over(
-                W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__before"),
+        "__range", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before")
     )
-    inside = W.partitionBy("__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
         ranged.withColumn("__inside", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-        .join(F.broadcast(before), "__bucket")
+        .join(F.broadcast(before), "__range")
         .withColumn(name, F.col("__before") + F.col("__inside"))
-        .drop("__v", "__bucket", "__inside", "__before")
+        .drop("__v", "__range", "__inside", "__before")
     )
 
 
 def page_budget(
     pages: DataFrame, order: Sequence[str], records: str, max_records: int | None,
-    buckets: int = BUCKETS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per page: records kept and cut, and whether the walk still reached it.
 
@@ -70,31 +57,33 @@ def page_budget(
     cap is noticed is the last one processed; a cap met exactly is noticed on the
     next page, even an empty one.
     """
+    n = F.col(records).cast("bigint")
     if max_records is None:
         return pages.withColumns(
             {
                 "reached": F.lit(True),
-                "kept_records": F.col(records).cast("bigint"),
+                "kept_records": n,
                 "cut_records": F.lit(0).cast("bigint"),
                 "cap_noticed": F.lit(False),
             }
         )
-    counted = running_total(pages, order, F.col(records), "__seen", buckets)
-    noticed = (F.col("__seen") >= max_records) | (
-        F.col("__seen") + F.col(records) > max_records
+    seen = F.col("__seen")
+    counted = running_total(pages, order, n, "__seen", ranges).withColumn(
+        "__noticed", (seen >= max_records) | (seen + n > max_records)
     )
-    marked = running_total(
-        counted.withColumn("cap_noticed", noticed), order, noticed.cast("int"), "__earlier", buckets
+    at = F.struct(*order)
+    first = counted.agg(
+        F.min(F.when(F.col("__noticed"), at)).alias("__cut"), F.lit(1).alias("__all")
     )
-    left = F.greatest(F.lit(max_records) - F.col("__seen"), F.lit(0))
-    reached = F.col("__earlier") == 0
-    kept = F.least(F.col(records).cast("bigint"), left)
+    marked = counted.withColumn("__all", F.lit(1)).join(F.broadcast(first), "__all")
+    reached = F.col("__cut").isNull() | (at <= F.col("__cut"))
+    kept = F.least(n, F.greatest(F.lit(max_records) - seen, F.lit(0)))
     return marked.select(
         *pages.columns,
         reached.alias("reached"),
         F.when(reached, kept).otherwise(0).cast("bigint").alias("kept_records"),
-        F.when(reached, F.col(records) - kept).otherwise(0).cast("bigint").alias("cut_records"),
-        (reached & F.col("cap_noticed")).alias("cap_noticed"),
+        F.when(reached, n - kept).otherwise(0).cast("bigint").alias("cut_records"),
+        (reached & F.col("__noticed")).alias("cap_noticed"),
     )
 
 

@@ -64,51 +64,64 @@ def transform_issues(
     return [(message, total(i)) for i, message in enumerate(messages)]
 
 
+ISSUES = "array<struct<field:string,message:string,n:int>>"
+
+
 def process_records(
-    df: DataFrame, fields: Sequence[FieldSpec], empty_like: Sequence[str] = ()
+    df: DataFrame,
+    fields: Sequence[FieldSpec],
+    empty_like: Sequence[str] = (),
+    prefix: str = "",
+    issues: str | None = None,
 ) -> DataFrame:
-    """Apply the transforms of every configured field; other columns pass through."""
-    by_name = {f.name: f for f in fields}
-    columns = []
+    """Apply the transforms of every configured field; other columns pass through.
+
+    The column of a field is its name behind ``prefix``. With ``issues`` a column
+    of that name lists the transforms that could not be applied to the record.
+    """
+    by_name = {prefix + f.name: f for f in fields}
+    columns, found = [], []
     for name in df.columns:
         field = by_name.pop(name, None)
         if field is None:
             columns.append(F.col(name))
-        else:
-            value = processed_value(F.col(name), field, is_list(df, name), empty_like)
-            columns.append(value.alias(name))
+            continue
+        listed = is_list(df, name)
+        columns.append(processed_value(F.col(name), field, listed, empty_like).alias(name))
+        for message, count in transform_issues(F.col(name), field, listed, empty_like):
+            found.append(
+                F.struct(
+                    F.lit(field.name).alias("field"),
+                    F.lit(f"{field.name}: {message}").alias("message"),
+                    count.cast("int").alias("n"),
+                )
+            )
     for name, field in by_name.items():
         missing = F.lit(None).cast("array<string>" if field.many else "string")
         columns.append(processed_value(missing, field, field.many, empty_like).alias(name))
+    if issues:
+        listed_issues = F.filter(F.array(*found), lambda i: i.n > 0) if found else F.array()
+        columns.append(listed_issues.cast(ISSUES).alias(issues))
     return df.select(*columns)
 
 
+def count_warnings(records: DataFrame, *issues: str) -> DataFrame:
+    """Warnings by category, field and message from the issue columns of records."""
+    entries = F.flatten(
+        F.array(*[F.coalesce(F.col(c), F.array().cast(ISSUES)) for c in issues])
+    )
+    return (
+        records.select(F.inline(entries))
+        .groupBy(F.lit("field_transform").alias("category"), "field", "message")
+        .agg(F.sum("n").alias("count"))
+    )
+
+
 def transform_warnings(
     df: DataFrame, fields: Sequence[FieldSpec], empty_like: Sequence[str] = ()
 ) -> DataFrame:
-    """Warnings by category, field and message, counted over all records."""
-    counters = []
-    for field in fields:
-        if field.name in df.columns:
-            listed = is_list(df, field.name)
-            for message, count in transform_issues(F.col(field.name), field, listed, empty_like):
-                counters.append((field.name, f"{field.name}: {message}", count))
-    schema = "category string, field string, message string, count bigint"
-    if not counters:
-        return df.sparkSession.createDataFrame([], schema)
-    totals = df.agg(*[F.sum(c.cast("bigint")).alias(f"c{i}") for i, (_, _, c) in enumerate(counters)])
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit("field_transform").alias("category"),
-                F.lit(name).alias("field"),
-                F.lit(message).alias("message"),
-                F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("count"),
-            )
-            for i, (name, message, _) in enumerate(counters)
-        ]
-    )
-    return totals.select(F.inline(entries)).filter("count > 0")
+    """Warnings of unprocessed records."""
+    return count_warnings(process_records(df, fields, empty_like, issues="__issues"), "__issues")
 
 
 # -- shaping ------------------------------------------------------------------

@@ -4,48 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitelens.functions import text
 from sitelens.operators.context import join_context
-from sitelens.operators.crawl import crawl
-from sitelens.operators.extract import extract_fields, is_list_field
+from sitelens.operators.crawl import CrawlResult, crawl
+from sitelens.operators.extract import is_list_field
 from sitelens.operators.limits import limits_report, page_budget
 from sitelens.operators.merge import contact_summary, merge_pages
 from sitelens.operators.quality import field_coverage, quality_summary
 from sitelens.operators.records import (
     cleanup_counters,
-    process_records,
+    count_warnings,
     shape_records,
-    transform_warnings,
 )
 from sitelens.operators.skew import cut_lineage, salted_join
 from sitelens.plans.result import Result
 from sitelens.plans.spec import JobSpec, read_spec
 
 
-def page_records(pages: DataFrame, spec: JobSpec) -> DataFrame:
-    """Processed fields and provenance per archived page without an error."""
-    found = extract_fields(
-        pages.filter(F.col("error").isNull()), spec.fields, ["requested_url", "url", "status_code"]
+def page_rows_of(scanned: CrawlResult, visits: DataFrame, spec: JobSpec) -> DataFrame:
+    """One row per visit of a good page: lineage, provenance and processed fields."""
+    good = visits.filter(F.col("error").isNull()).select(
+        "target_idx", "seed", "visit_rank", F.col("url").alias("pop_url")
     )
-    records = process_records(found, spec.fields, spec.empty_like)
-    empty = F.array().cast("array<string>")
     listed = {f.name: is_list_field(f) for f in spec.fields}
+    empty = F.array().cast("array<string>")
 
-    def provenance(name: str):
+    def provenance(name: str) -> Column:
         if name not in listed:
             return empty
-        return F.when(text.is_empty(F.col(name), listed[name]), empty).otherwise(F.array("url"))
-
-    return records.withColumns(
-        {
-            "source_urls": F.array("url"),
-            "email_source_urls": provenance("emails"),
-            "phone_source_urls": provenance("phones"),
-        }
+        missing = text.is_empty(F.col(f"f_{name}"), listed[name])
+        return F.when(missing, empty).otherwise(F.array("final_url"))
+
+    lineage = {
+        "page_url": F.col("final_url"),
+        "status_code": F.col("status_code"),
+        "source_urls": F.array("final_url"),
+        "email_source_urls": provenance("emails"),
+        "phone_source_urls": provenance("phones"),
+    }
+    # A field of the same name replaces a lineage column.
+    columns = {**lineage, **{n: F.col(f"f_{n}") for n in listed}}
+    joined = salted_join(
+        good, scanned.archive.drop("links", "error"), ["pop_url"], known_rows=good.count()
+    )
+    return joined.select(
+        F.col("target_idx").alias("__target"),
+        F.col("seed").alias("__seed"),
+        F.col("visit_rank").alias("__rank"),
+        F.col("shred_error").alias("__error"),
+        F.col("issues").alias("__issues"),
+        F.col("final_url").alias("__url"),
+        *[c.alias(n) for n, c in columns.items()],
     )
 
 
@@ -63,81 +76,79 @@ def site_scan(
     spec = read_spec(spec)
     seeds = cut_lineage(seeds.select("target_idx", "url"))
     scanned = crawl(pages, seeds, spec)
-    visits = scanned.visits.join(
-        seeds.withColumnRenamed("url", "seed"), "seed"
-    )
-    wanted = visits.filter(F.col("error").isNull()).select(F.col("url").alias("requested_url"))
-    needed = pages.join(wanted.distinct(), "requested_url", "left_semi")
-    records = page_records(needed, spec)
-    rest = [c for c in records.columns if c != "requested_url"]
-    one_each = records.groupBy("requested_url").agg(F.min(F.struct(*rest)).alias("p")).select(
-        F.col("requested_url").alias("visited_url"), *[F.col(f"p.{c}").alias(c) for c in rest]
-    )
-    good = visits.filter(F.col("error").isNull()).select(
-        "target_idx", "seed", "visit_rank", F.col("url").alias("visited_url")
-    )
-    page_rows = cut_lineage(
-        salted_join(good, one_each, ["visited_url"], known_rows=good.count())
-    )
-    usable = page_rows.filter(F.col("shred_error").isNull())
+    visits = scanned.visits.join(seeds.withColumnRenamed("url", "seed"), "seed")
+    page_rows = cut_lineage(page_rows_of(scanned, visits, spec))
+    usable = page_rows.filter(F.col("__error").isNull())
     listed = {f.name: is_list_field(f) for f in spec.fields}
-    names = [f.name for f in spec.fields]
+    names = list(listed)
+    arrays = ["source_urls", "email_source_urls", "phone_source_urls"]
     if spec.merge_rows:
-        fields = {
-            "source_urls": True, "email_source_urls": True, "phone_source_urls": True, **listed,
-        }
-        merged = merge_pages(usable, "seed", "visit_rank", fields, spec.fields)
-        rows = merged.join(seeds.withColumnRenamed("url", "seed"), "seed").select(
-            "target_idx", F.lit(1).alias("visit_rank"), F.col("seed").alias("input_url"),
-            *[n for n in fields],
+        fields = {**{n: True for n in arrays}, **listed}
+        merged = merge_pages(usable, "__seed", "__rank", fields, spec.fields)
+        owners = seeds.select(F.col("target_idx").alias("__target"), F.col("url").alias("__seed"))
+        rows = merged.join(owners, "__seed").select(
+            "__target", F.lit(1).alias("__rank"), F.col("__seed").alias("input_url"), *fields
         )
     else:
+        own = [n for n in ["page_url", "status_code", *arrays] if n not in listed]
         rows = usable.select(
-            "target_idx", "visit_rank", F.col("seed").alias("input_url"),
-            F.col("url").alias("page_url"), "status_code", "source_urls",
-            "email_source_urls", "phone_source_urls", *names,
+            "__target", "__rank", F.col("__seed").alias("input_url"), *own, *names
         )
     discovery = spec.metadata.get("contact_discovery", {})
     if isinstance(discovery, Mapping) and discovery.get("enabled"):
         rows = contact_summary(rows)
     rows = cut_lineage(rows)
-    per_target = seeds.join(
-        rows.groupBy("target_idx").agg(F.count(F.lit(1)).alias("n_records")), "target_idx", "left"
-    ).select("target_idx", "url", F.coalesce("n_records", F.lit(0)).alias("n_records"))
-    budget = cut_lineage(page_budget(per_target, ["target_idx"], "n_records", spec.max_records))
-    if spec.max_records is not None:
-        kept = rows.join(budget.select("target_idx", "kept_records"), "target_idx")
+    if spec.max_records is None:
+        kept, budget = rows, None
+    else:
+        budget = cut_lineage(_budget(rows, seeds, spec))
+        limited = rows.join(
+            budget.select(F.col("target_idx").alias("__target"), "kept_records"), "__target"
+        )
         # Rows of one target are at most crawl.max_pages.
-        place = F.row_number().over(W.partitionBy("target_idx").orderBy("visit_rank"))
-        rows = kept.withColumn("__n", place).filter(F.col("__n") <= F.col("kept_records")).drop(
+        place = F.row_number().over(W.partitionBy("__target").orderBy("__rank"))
+        kept = limited.withColumn("__n", place).filter("__n <= kept_records").drop(
             "__n", "kept_records"
         )
-    ordered = rows.orderBy("target_idx", "visit_rank").drop("target_idx", "visit_rank")
+    ordered = kept.orderBy("__target", "__rank").drop("__target", "__rank")
     shaped = shape_records(ordered, spec.shaping)
     if contexts is not None:
         shaped = join_context(shaped, contexts)
-    reached = visits.join(
-        budget.filter("reached").select("target_idx"), "target_idx", "left_semi"
-    )
+    reached = visits
+    if budget is not None:
+        reached = visits.join(
+            budget.filter("reached").select("target_idx"), "target_idx", "left_semi"
+        )
     return Result(
         rows=shaped,
         visits=visits,
         targets=lambda: _target_report(reached, page_rows),
         issues=lambda: _issues(spec, reached, page_rows, budget),
-        warnings=lambda: transform_warnings(usable, spec.fields, spec.empty_like),
-        cleanup=lambda: cleanup_counters(rows.drop("target_idx", "visit_rank"), spec.shaping),
+        warnings=lambda: count_warnings(usable, "__issues"),
+        cleanup=lambda: cleanup_counters(ordered, spec.shaping),
         coverage=lambda: field_coverage(shaped, names),
         summary=lambda: quality_summary(shaped, names),
-        limits=lambda: limits_report(budget, spec.max_records),
+        limits=lambda: limits_report(
+            _budget(rows, seeds, spec) if budget is None else budget, spec.max_records
+        ),
         frontier=scanned.frontier,
     )
 
 
+def _budget(rows: DataFrame, seeds: DataFrame, spec: JobSpec) -> DataFrame:
+    """Records per target against the record cap."""
+    counts = rows.groupBy(F.col("__target").alias("target_idx")).agg(
+        F.count(F.lit(1)).alias("n_records")
+    )
+    per_target = seeds.join(counts, "target_idx", "left").select(
+        "target_idx", "url", F.coalesce("n_records", F.lit(0)).alias("n_records")
+    )
+    return page_budget(per_target, ["target_idx"], "n_records", spec.max_records)
 
 
 def _target_report(visits: DataFrame, page_rows: DataFrame) -> DataFrame:
-    broken = page_rows.filter(F.col("shred_error").isNotNull()).select(
-        "seed", "visit_rank", F.lit(True).alias("broken")
+    broken = page_rows.filter(F.col("__error").isNotNull()).select(
+        F.col("__seed").alias("seed"), F.col("__rank").alias("visit_rank"), F.lit(True).alias("broken")
     )
     marked = visits.join(broken, ["seed", "visit_rank"], "left")
     failed = F.col("error").isNotNull() | F.col("broken").isNotNull()
@@ -149,15 +160,19 @@ def _target_report(visits: DataFrame, page_rows: DataFrame) -> DataFrame:
     )
 
 
-def _issues(spec: JobSpec, visits: DataFrame, page_rows: DataFrame, budget: DataFrame) -> DataFrame:
+def _issues(
+    spec: JobSpec, visits: DataFrame, page_rows: DataFrame, budget: DataFrame | None
+) -> DataFrame:
     fetch = visits.filter(F.col("error").isNotNull()).select(
         F.lit("page_fetch_failed").alias("category"),
         F.concat_ws(": ", "final_url", "error").alias("message"),
     )
-    parse = page_rows.filter(F.col("shred_error").isNotNull()).select(
+    parse = page_rows.filter(F.col("__error").isNotNull()).select(
         F.lit("page_extraction_failed").alias("category"),
-        F.concat(F.col("url"), F.lit(": extraction error: "), F.col("shred_error")).alias("message"),
+        F.concat(F.col("__url"), F.lit(": extraction error: "), F.col("__error")).alias("message"),
     )
+    if budget is None:
+        return fetch.unionByName(parse)
     capped = budget.filter("cap_noticed").select(
         F.lit("max_records_reached").alias("category"),
         F.concat(

@@ -109,7 +109,7 @@ def test_salted_join_equals_plain_join(spark):
 def test_running_total(spark):
     rows = [(i * 7 % 50, i, i % 5) for i in range(200)]
     df = spark.createDataFrame(rows, "t bigint, i bigint, v int")
-    got = {r["i"]: r["s"] for r in running_total(df, ["t", "i"], F.col("v"), "s", buckets=7).collect()}
+    got = {r["i"]: r["s"] for r in running_total(df, ["t", "i"], F.col("v"), "s", ranges=7).collect()}
     total = 0
     for t, i, v in sorted(rows):
         assert got[i] == total
