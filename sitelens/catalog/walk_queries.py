@@ -11,7 +11,7 @@ from sitelens.functions import urls
 from sitelens.operators import quality
 from sitelens.operators.crawl import crawl
 from sitelens.operators.links import rank_links, should_follow, with_links
-from sitelens.operators.paginate import walk
+from sitelens.operators.paginate import Walk, next_page_links, walk
 from sitelens.operators.skew import cut_lineage
 from sitelens.plans.directory import directory_detail, directory_list
 from sitelens.plans.site_scan import site_scan
@@ -245,6 +245,11 @@ def _targets(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("target_idx"), F.col("url").alias("target"))
 
 
+def _walked(pages: DataFrame) -> Walk:
+    spec = read_spec(_WALK_SPEC)
+    return walk(cut_lineage(next_page_links(pages, spec)), _targets(pages), spec)
+
+
 @query(
     "pagination_walk",
     f"""
@@ -255,7 +260,7 @@ SELECT s.target_idx, s.target, s.stop_reason, s.pages_visited, f.urls_followed F
 )
 def pagination_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = archive(spark, sf_dir)
-    found = walk(pages, _targets(pages), read_spec(_WALK_SPEC)).targets.drop("errors")
+    found = _walked(pages).targets.drop("errors")
     return flatten_lists(found.withColumn("pages_visited", F.col("pages_visited").cast("bigint")))
 
 
@@ -265,7 +270,7 @@ def pagination_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stop_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = archive(spark, sf_dir)
-    return quality.stop_reason_counts(walk(pages, _targets(pages), read_spec(_WALK_SPEC)).targets)
+    return quality.stop_reason_counts(_walked(pages).targets)
 
 
 # -- directories --------------------------------------------------------------------

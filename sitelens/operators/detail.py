@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text, urls
 from sitelens.operators.crawl import MISSING_PAGE
-from sitelens.operators.extract import extract_fields, is_list_field
+from sitelens.operators.extract import is_list_field
 from sitelens.operators.limits import running_total
-from sitelens.operators.records import is_list, process_records
+from sitelens.operators.records import is_list
 from sitelens.operators.skew import salted_join
 from sitelens.plans.spec import FieldSpec
 
@@ -44,26 +44,6 @@ def cap_attempts(
     ).drop("__attempts")
 
 
-def detail_archive(
-    pages: DataFrame, wanted: DataFrame, fields: Sequence[FieldSpec], empty_like: Sequence[str] = ()
-) -> DataFrame:
-    """Processed detail fields per requested URL that some row points to.
-
-    Only pages that are wanted are parsed; error pages are kept without fields.
-    """
-    keys = wanted.select(F.col("detail_key").alias("requested_url")).distinct()
-    needed = pages.join(keys, "requested_url", "left_semi")
-    found = extract_fields(needed, fields, ["requested_url", "url", "error"])
-    processed = process_records(found, fields, empty_like)
-    rest = ["url", "error", "shred_error", *[f.name for f in fields]]
-    # One row per requested URL, errors after good pages.
-    return processed.groupBy("requested_url").agg(
-        F.min(
-            F.struct(F.col("error").isNotNull().alias("bad"), *[F.col(c).alias(f"d_{c}") for c in rest])
-        ).alias("p")
-    ).select(F.col("requested_url").alias("detail_key"), F.lit(True).alias("d_found"), "p.*").drop("bad")
-
-
 def enrich(
     rows: DataFrame,
     details: DataFrame,
@@ -72,13 +52,14 @@ def enrich(
 ) -> DataFrame:
     """Let non-empty detail values override base values where the page is good.
 
-    Adds ``detail_url``, ``detail_error`` and the final ``detail_status``. Many
+    ``details`` has detail_key, d_url, d_error, d_shred_error, d_issues and one
+    ``d_`` column per field. Adds ``detail_url``, ``detail_error``, ``detail_issues`` and the final status. Many
     rows may point to one detail page, so the rows are the salted side.
     """
     base = rows.withColumn(
         "__join", F.when(F.col("detail_status") == "attempt", F.col("detail_key"))
     ).withColumn("__join", F.coalesce("__join", F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))))
-    lookup = details.withColumnRenamed("detail_key", "__join")
+    lookup = details.withColumnRenamed("detail_key", "__join").withColumn("d_found", F.lit(True))
     joined = salted_join(base, lookup, ["__join"], "left", known_rows=known_rows)
     attempted = F.col("detail_status") == "attempt"
     failure = F.when(F.col("d_found").isNull(), F.lit(MISSING_PAGE)).otherwise(
@@ -109,5 +90,6 @@ def enrich(
     columns["detail_status"] = F.when(
         attempted, F.when(failure.isNull(), F.lit("success")).otherwise(F.lit("failed"))
     ).otherwise(F.col("detail_status"))
+    columns["detail_issues"] = F.when(good, F.col("d_issues"))
     columns["detail_page_url"] = F.when(attempted, F.coalesce("d_url", "detail_key"))
     return joined.select(*[c.alias(n) for n, c in columns.items()])

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls
+from sitelens.functions.text import first_item
 from sitelens.operators.crawl import MISSING_PAGE
 from sitelens.operators.css import compile_selector
-from sitelens.operators.extract import Page, css_values, shred_for, value_needs
-from sitelens.functions.text import first_item
+from sitelens.operators.extract import Page, css_values, extract_fields, value_needs
+from sitelens.operators.shred import NodeNeeds
 from sitelens.operators.skew import cut_lineage, salted_join
 from sitelens.plans.spec import JobSpec
 
@@ -22,36 +23,41 @@ class Walk:
     targets: DataFrame  # target_idx, target, stop_reason, pages_visited, urls_followed, errors
 
 
+def next_page(page: Page, spec: JobSpec) -> Column:
+    """The raw next-page URL of a page, made absolute."""
+    if not (spec.pagination_enabled and spec.next_page_css):
+        return F.lit(None).cast("string")
+    selector = compile_selector(spec.next_page_css)
+    return first_item(css_values(page, selector, spec.next_page_attribute, page.url))
+
+
+def next_page_needs(spec: JobSpec) -> NodeNeeds:
+    if not (spec.pagination_enabled and spec.next_page_css):
+        return NodeNeeds()
+    return compile_selector(spec.next_page_css).needs() | value_needs(spec.next_page_attribute)
+
+
 def next_page_links(pages: DataFrame, spec: JobSpec) -> DataFrame:
-    """Per requested URL: final URL, error and the raw next-page URL."""
-    columns = ["requested_url", "url", "error"]
-    if spec.pagination_enabled and spec.next_page_css:
-        selector = compile_selector(spec.next_page_css)
-        needs = selector.needs() | value_needs(spec.next_page_attribute)
-        shredded = shred_for(pages, needs, columns)
-        page = Page(F.col("url"), F.col("nodes"), F.col("texts"), F.col("xhtml"), {}, F.lit(None))
-        following = first_item(css_values(page, selector, spec.next_page_attribute, F.col("url")))
-    else:
-        shredded, following = pages, F.lit(None).cast("string")
-    narrow = shredded.select(
-        F.col("requested_url"),
-        F.col("url").alias("final_url"),
-        F.col("error"),
-        following.alias("next_raw"),
-    )
-    rest = ["final_url", "error", "next_raw"]
-    return narrow.groupBy("requested_url").agg(F.min(F.struct(*rest)).alias("p")).select(
-        "requested_url", F.lit(True).alias("found"), *[F.col(f"p.{c}").alias(c) for c in rest]
+    """requested_url, url, error and next_raw of every archived page."""
+    return extract_fields(
+        pages,
+        [],
+        ["requested_url", "url", "error"],
+        also=next_page_needs(spec),
+        extra=lambda page: {"next_raw": next_page(page, spec)},
     )
 
 
-def walk(pages: DataFrame, targets: DataFrame, spec: JobSpec) -> Walk:
+def walk(links: DataFrame, targets: DataFrame, spec: JobSpec) -> Walk:
     """Follow next-page links from every target, at most ``max_pages`` rounds.
 
-    ``targets`` has ``target_idx`` and a normalized ``target``. The state is one
-    row per target with the pages it has seen, at most ``max_pages`` of them.
+    ``links`` is what ``next_page_links`` returns, stored. ``targets`` has
+    ``target_idx`` and a normalized ``target``. The state is one row per target
+    with the pages it has seen, at most ``max_pages`` of them.
     """
-    archive = cut_lineage(next_page_links(pages, spec))
+    archive = links.select(
+        "requested_url", F.lit(True).alias("found"), F.col("url").alias("final_url"), "error", "next_raw"
+    )
     limit = max(1, spec.pagination_max_pages if spec.pagination_enabled else 1)
     seen_type = "array<struct<page_idx:int,requested_url:string,url:string,error:string>>"
     state = cut_lineage(

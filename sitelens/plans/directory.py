@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import text
-from sitelens.operators.detail import cap_attempts, detail_archive, enrich, with_detail_url
-from sitelens.operators.extract import Page, shred_for
+from sitelens.operators.css import compile_selector
+from sitelens.operators.detail import cap_attempts, enrich, with_detail_url
+from sitelens.operators.extract import Page, extract_fields, value_needs
 from sitelens.operators.limits import limits_report, page_budget
 from sitelens.operators.listing import (
     explode_records,
@@ -18,107 +20,121 @@ from sitelens.operators.listing import (
     listing_records,
     profile_records,
 )
-from sitelens.operators.css import compile_selector
-from sitelens.operators.extract import value_needs
-from sitelens.operators.paginate import Walk, walk
+from sitelens.operators.paginate import Walk, next_page, next_page_needs, walk
 from sitelens.operators.quality import field_coverage, quality_summary
 from sitelens.operators.records import (
     cleanup_counters,
+    count_warnings,
     process_records,
     shape_records,
-    transform_warnings,
 )
 from sitelens.operators.skew import cut_lineage, salted_join
 from sitelens.plans.result import Result
 from sitelens.plans.spec import JobSpec, read_spec
 
 ORDER = ["target_idx", "page_idx", "rec_idx"]
+BOOKKEEPING = ["detail_key", "detail_status", "detail_error", "detail_page_url"]
 
 
-def _page() -> Page:
-    return Page(F.col("url"), F.col("nodes"), F.col("texts"), F.col("xhtml"), {}, F.lit(None))
+def _profile_selector(rendered: Mapping | None) -> str | None:
+    if rendered is None:
+        return None
+    selector = rendered.get("profile_link_selector")
+    if not selector:
+        raise ValueError("Rendered directories need playwright.profile_link_selector")
+    return str(selector)
 
 
-def _record_archive(pages: DataFrame, spec: JobSpec, rendered: Mapping | None) -> DataFrame:
-    """Listing records per requested URL."""
-    use_links = rendered is not None and rendered.get("use_profile_urls_as_records", True)
-    has_listing = bool(spec.record_selector) and not use_links
-    selector = rendered.get("profile_link_selector") if rendered is not None else None
-    if rendered is not None and not selector:
-        raise ValueError("Rendered directories need playwright.profile_link_selector")
-    if rendered is None or has_listing:
-        needs = listing_needs(spec.record_selector, spec.fields)
-    if selector:
-        link_needs = compile_selector(selector).needs() | value_needs("href")
-        needs = (needs | link_needs) if has_listing else link_needs
-    shredded = shred_for(pages, needs, ["requested_url", "url", "error"])
-    page = _page()
+def _records(page: Page, spec: JobSpec, rendered: Mapping | None) -> Column:
+    """Listing records of a page; profile links where a rendered page has none."""
     if rendered is None:
-        records = listing_records(page, spec.record_selector, spec.fields)
-    else:
-        records = profile_records(page, selector, spec.detail_url_field)
-        if has_listing:
-            listed = listing_records(page, spec.record_selector, spec.fields)
-            names = list(
-                dict.fromkeys([*[f.name for f in spec.fields], spec.detail_url_field, "profile_url"])
-            )
-            many = {f.name for f in spec.fields if f.many}
-
-            def widen(entry, have):
-                return F.struct(
-                    *[
-                        (
-                            entry[n]
-                            if n in have
-                            else F.lit(None).cast("array<string>" if n in many else "string")
-                        ).alias(n)
-                        for n in names
-                    ]
-                )
-
-            listing_names = [f.name for f in spec.fields]
-            linked = F.transform(records, lambda r: widen(r, [spec.detail_url_field, "profile_url"]))
-            records = text.let(
-                F.transform(listed, lambda r: widen(r, listing_names)),
-                lambda own: F.when(F.size(own) > 0, own).otherwise(linked),
-            )
-    return (
-        shredded.filter(F.col("error").isNull())
-        .select("requested_url", F.struct(records.alias("records")).alias("r"))
-        .groupBy("requested_url")
-        .agg(F.min("r").alias("r"))
-        .select("requested_url", F.col("r.records").alias("records"))
+        return listing_records(page, spec.record_selector, spec.fields)
+    linked = profile_records(page, _profile_selector(rendered), spec.detail_url_field)
+    if not _uses_listing(spec, rendered):
+        return linked
+    many = {f.name for f in spec.fields if f.many}
+    own = [f.name for f in spec.fields]
+    names = list(dict.fromkeys([*own, spec.detail_url_field, "profile_url"]))
+
+    def widen(entry: Column, have: list[str]) -> Column:
+        def value(name: str) -> Column:
+            kind = "array<string>" if name in many else "string"
+            return entry[name] if name in have else F.lit(None).cast(kind)
+
+        return F.struct(*[value(n).alias(n) for n in names])
+
+    return text.let(
+        F.transform(
+            listing_records(page, spec.record_selector, spec.fields), lambda r: widen(r, own)
+        ),
+        lambda listed: F.when(F.size(listed) > 0, listed).otherwise(
+            F.transform(linked, lambda r: widen(r, [spec.detail_url_field, "profile_url"]))
+        ),
+    )
+
+
+def _uses_listing(spec: JobSpec, rendered: Mapping) -> bool:
+    return bool(spec.record_selector) and not rendered.get("use_profile_urls_as_records", True)
+
+
+def directory_archive(pages: DataFrame, spec: JobSpec, rendered: Mapping | None) -> DataFrame:
+    """Everything a directory job wants to know of a page, from one parse.
+
+    requested_url, url, error, next_raw, records, and the processed detail fields
+    (``d_`` names, with ``d_issues``). The HTML is read once and never shuffled.
+    """
+    needs = next_page_needs(spec)
+    if rendered is None or _uses_listing(spec, rendered):
+        needs |= listing_needs(spec.record_selector, spec.fields)
+    if rendered is not None:
+        needs |= compile_selector(_profile_selector(rendered)).needs() | value_needs("href")
+
+    def extra(page: Page) -> dict[str, Column]:
+        found = F.when(F.col("error").isNull(), _records(page, spec, rendered))
+        return {"next_raw": next_page(page, spec), "records": found}
+
+    found = extract_fields(
+        pages, spec.detail_fields, ["requested_url", "url", "error"],
+        prefix="d_", also=needs, extra=extra,
     )
+    return process_records(found, spec.detail_fields, spec.empty_like, "d_", "d_issues")
 
 
 def _listing(pages: DataFrame, targets: DataFrame, spec: JobSpec, rendered: Mapping | None):
-    """Walk, page table with record budget, and the processed listing rows."""
-    walk_spec = spec
+    """Archive, walk, page table with record budget, and the processed listing rows."""
     if rendered is not None:
-        walk_spec = JobSpec(mode=spec.mode)  # one rendered page per target
-    walked: Walk = walk(pages, targets, walk_spec)
+        spec = replace(spec, pagination_enabled=False)  # one rendered page per target
+    archive = cut_lineage(directory_archive(pages, spec, rendered))
+    walked: Walk = walk(archive, targets, spec)
     visits = walked.pages
-    archive = _record_archive(pages, spec, rendered)
     good = visits.filter(F.col("error").isNull())
     listed = cut_lineage(
-        salted_join(good, archive, ["requested_url"], "left").withColumn(
-            "n_records", F.coalesce(F.size("records"), F.lit(0))
-        )
+        salted_join(
+            good, archive.select("requested_url", "records"), ["requested_url"], known_rows=good.count()
+        ).withColumn("n_records", F.coalesce(F.size("records"), F.lit(0)))
     )
-    counts = listed.drop("records")
     budget = cut_lineage(
-        page_budget(counts, ["target_idx", "page_idx"], "n_records", spec.max_records)
+        page_budget(
+            listed.drop("records"), ["target_idx", "page_idx"], "n_records", spec.max_records
+        )
     )
-    kept = (
-        listed.join(
-            budget.select("target_idx", "page_idx", "kept_records"), ["target_idx", "page_idx"]
+    if spec.max_records is None:
+        kept = listed
+    else:
+        kept = (
+            listed.join(
+                budget.select("target_idx", "page_idx", "kept_records"), ["target_idx", "page_idx"]
+            )
+            .filter(F.col("kept_records") > 0)
+            .withColumn("records", F.slice("records", F.lit(1), F.col("kept_records").cast("int")))
         )
-        .filter(F.col("kept_records") > 0)
-        .withColumn("records", F.slice("records", F.lit(1), F.col("kept_records").cast("int")))
+    # Named apart from the record fields, which may be called the same.
+    renamed = {"target": "__input", "url": "__page"}
+    rows = explode_records(
+        kept.withColumnsRenamed(renamed), ["target_idx", "__input", "page_idx", "__page"]
     )
-    rows = explode_records(kept, ["target_idx", "target", "page_idx", "url"])
-    rows = process_records(rows, spec.fields, spec.empty_like)
-    return walked, visits, budget, rows
+    rows = process_records(rows, spec.fields, spec.empty_like, issues="__issues")
+    return archive, walked, visits, budget, rows
 
 
 def _cut_point(budget: DataFrame) -> DataFrame:
@@ -234,9 +250,9 @@ def _issues(
     )
 
 
-def _finish(spec, walked, visits, budget, rows, names, details, rendered) -> Result:
-    shaped = shape_records(rows, spec.shaping)
-    fields = [*spec.fields, *spec.detail_fields]
+def _finish(spec, walked, visits, budget, rows, issue_columns, names, details, rendered) -> Result:
+    ordered = rows.orderBy(*ORDER).drop(*ORDER, *issue_columns, *BOOKKEEPING)
+    shaped = shape_records(ordered, spec.shaping)
 
     @cache
     def pages() -> DataFrame:
@@ -247,8 +263,8 @@ def _finish(spec, walked, visits, budget, rows, names, details, rendered) -> Res
         visits=visits,
         targets=lambda: _target_report(walked, pages(), budget, details),
         issues=lambda: _issues(spec, pages(), budget, walked, details, rendered),
-        warnings=lambda: transform_warnings(rows, fields, spec.empty_like),
-        cleanup=lambda: cleanup_counters(rows, spec.shaping),
+        warnings=lambda: count_warnings(rows, *issue_columns),
+        cleanup=lambda: cleanup_counters(ordered, spec.shaping),
         coverage=lambda: field_coverage(shaped, names),
         summary=lambda: quality_summary(shaped, names),
         limits=lambda: limits_report(budget, spec.max_records, spec.max_detail_pages, details),
@@ -262,16 +278,14 @@ def directory_list(pages: DataFrame, targets: DataFrame, spec: Mapping | JobSpec
     target_idx and a normalized target.
     """
     spec = read_spec(spec)
-    walked, visits, budget, rows = _listing(pages, targets, spec, None)
+    _, walked, visits, budget, rows = _listing(pages, targets, spec, None)
     names = [f.name for f in spec.fields]
     lineage = {
-        "input_url": F.col("target"), "source_url": F.col("url"), "page_url": F.col("url"),
+        "input_url": F.col("__input"), "source_url": F.col("__page"), "page_url": F.col("__page"),
     }
-    rows = cut_lineage(
-        rows.select(*ORDER, *[c.alias(n) for n, c in lineage.items()], *names)
-    )
-    ordered = rows.orderBy(*ORDER).drop(*ORDER)
-    return _finish(spec, walked, visits, budget, ordered, names, None, None)
+    own = [c.alias(n) for n, c in lineage.items() if n not in names]
+    rows = cut_lineage(rows.select(*ORDER, *own, *names, "__issues"))
+    return _finish(spec, walked, visits, budget, rows, ["__issues"], names, None, None)
 
 
 def _render_settings(spec: JobSpec) -> Mapping | None:
@@ -294,34 +308,38 @@ def directory_detail(pages: DataFrame, targets: DataFrame, spec: Mapping | JobSp
     """
     spec = read_spec(spec)
     rendered = _render_settings(spec)
-    walked, visits, budget, rows = _listing(pages, targets, spec, rendered)
-    listed = [c for c in rows.columns if c not in ("target", "url", *ORDER)]
-    lineage = {"input_url": F.col("target"), "source_url": F.col("url")}
+    archive, walked, visits, budget, rows = _listing(pages, targets, spec, rendered)
+    listed = [c for c in rows.columns if c not in ("__input", "__page", "__issues", *ORDER)]
+    lineage = {"input_url": F.col("__input"), "source_url": F.col("__page")}
     if rendered is not None:
-        lineage["source_directory"] = F.col("url")
-    lineage["page_url"] = F.col("url")
-    rows = rows.select(*ORDER, *[c.alias(n) for n, c in lineage.items()], *listed)
+        lineage["source_directory"] = F.col("__page")
+    lineage["page_url"] = F.col("__page")
+    own = [c.alias(n) for n, c in lineage.items() if n not in listed]
+    rows = rows.select(*ORDER, *own, *listed, "__issues", "__page")
     rows = with_detail_url(rows, spec.detail_url_field)
     if rendered is not None:
-        own = F.col("profile_url") if "profile_url" in rows.columns else F.lit(None).cast("string")
+        given = F.col("profile_url") if "profile_url" in rows.columns else F.lit(None).cast("string")
         rows = rows.withColumn(
-            "profile_url", F.when(text.blank(own), F.col("detail_key")).otherwise(own)
+            "profile_url", F.when(text.blank(given), F.col("detail_key")).otherwise(given)
         )
     rows = cut_lineage(cap_attempts(rows, ORDER, spec.max_detail_pages))
-    attempts = rows.filter(F.col("detail_status") == "attempt")
-    details = detail_archive(pages, attempts, spec.detail_fields, spec.empty_like)
+    details = archive.drop("next_raw", "records").withColumnsRenamed(
+        {"requested_url": "detail_key", "url": "d_url", "error": "d_error", "shred_error": "d_shred_error"}
+    )
     enriched = enrich(rows, details, spec.detail_fields, known_rows=rows.count())
     if rendered is not None:
         good = F.col("detail_status") == "success"
-        enriched = enriched.withColumn(
-            "profile_url", F.when(good, F.col("detail_url")).otherwise(F.col("profile_url"))
+        enriched = enriched.withColumns(
+            {
+                "profile_url": F.when(good, F.col("detail_url")).otherwise(F.col("profile_url")),
+                "source_directory": F.when(good, F.col("__page")).otherwise(F.col("source_directory")),
+            }
         )
-    enriched = cut_lineage(enriched)
-    bookkeeping = ["detail_key", "detail_status", "detail_error", "detail_page_url"]
-    ordered = enriched.orderBy(*ORDER).drop(*ORDER, *bookkeeping)
+    enriched = cut_lineage(enriched.drop("__page"))
     names = [f.name for f in spec.fields] + [f.name for f in spec.detail_fields]
     if rendered is not None:
         names += ["profile_url", "source_directory"]
     return _finish(
-        spec, walked, visits, budget, ordered, list(dict.fromkeys(names)), enriched, rendered
+        spec, walked, visits, budget, enriched, ["__issues", "detail_issues"],
+        list(dict.fromkeys(names)), enriched, rendered,
     )
