@@ -151,7 +151,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts that are about to be parsed."""
+    """A table whose values are about to be parsed, on as many cores as there are."""
     return spread(table(spark, sf_dir, name))
 
 

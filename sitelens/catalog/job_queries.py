@@ -199,7 +199,7 @@ FROM s
 """,
 )
 def safe_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.screen_targets(I.derive(spark, sf_dir, _SUBMITTED)).select("event_id", "reject_reason")
+    return J.screen_targets(I.derive(spark, sf_dir, _SUBMITTED, I.texts)).select("event_id", "reject_reason")
 
 
 # -- throttle -----------------------------------------------------------------------

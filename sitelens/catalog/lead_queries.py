@@ -82,7 +82,7 @@ best AS (
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.prepare_leads(I.derive(spark, sf_dir, I.LEADS), L.read_settings(SETTINGS))
+    return L.prepare_leads(I.derive(spark, sf_dir, I.LEADS, I.texts), L.read_settings(SETTINGS))
 
 
 @query(
@@ -116,9 +116,10 @@ def lead_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lead_groups", f"WITH {_GROUPED} SELECT idx, grp AS group_first_idx FROM grouped")
 def lead_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = cut_lineage(_prepared(spark, sf_dir).filter("status = 'kept'"))
-    grouped = cut_lineage(L.with_groups(prepared).select("idx", "group_id"))
+    known = prepared.count()
+    grouped = cut_lineage(L.with_groups(prepared, known).select("idx", "group_id"))
     firsts = grouped.groupBy("group_id").agg(F.min("idx").alias("group_first_idx"))
-    return salted_join(grouped, firsts, ["group_id"], known_rows=grouped.count()).drop("group_id")
+    return salted_join(grouped, firsts, ["group_id"], known_rows=known).drop("group_id")
 
 
 @query(
@@ -127,7 +128,7 @@ def lead_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lead_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = cut_lineage(_prepared(spark, sf_dir).filter("status = 'kept'"))
-    return L.best_rows(L.with_groups(prepared)).select("first_idx", "best_idx", "group_size")
+    return L.best_rows(L.with_groups(prepared, prepared.count())).select("first_idx", "best_idx", "group_size")
 
 
 @query(
@@ -139,7 +140,7 @@ FROM best b JOIN prepared p ON p.idx = b.best_idx ORDER BY lower(coalesce(p.firm
 """,
 )
 def lead_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.clean_leads(I.derive(spark, sf_dir, I.LEADS), SETTINGS, "idx").rows
+    return L.clean_leads(I.derive(spark, sf_dir, I.LEADS, I.texts), SETTINGS, "idx").rows
 
 
 @query(
@@ -153,7 +154,7 @@ SELECT (SELECT count(*) FROM prepared) AS total_rows,
 """,
 )
 def lead_clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.clean_leads(I.derive(spark, sf_dir, I.LEADS), SETTINGS, "idx").stats
+    return L.clean_leads(I.derive(spark, sf_dir, I.LEADS, I.texts), SETTINGS, "idx").stats
 
 
 @query(
@@ -167,7 +168,7 @@ FROM prepared
 )
 def lead_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar normalizers one by one."""
-    return I.derive(spark, sf_dir, I.LEADS).select(
+    return I.derive(spark, sf_dir, I.LEADS, I.texts).select(
         "idx",
         contacts.normalize_email(F.col("email")).alias("email"),
         urls.normalize_domain("website").alias("domain"),

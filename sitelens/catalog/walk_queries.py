@@ -16,7 +16,7 @@ from sitelens.operators.skew import cut_lineage
 from sitelens.plans.directory import directory_detail, directory_list
 from sitelens.plans.site_scan import site_scan
 from sitelens.plans.spec import read_spec
-from sitelens.sources.pages import label_pages
+from sitelens.sources.pages import label_pages, spread
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -27,7 +27,7 @@ EXCLUDE = ["/p-1"]
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived page archive, stored once because the jobs read it repeatedly."""
-    return cut_lineage(I.derive(spark, sf_dir, I.SITE_PAGES))
+    return spread(cut_lineage(I.derive(spark, sf_dir, I.SITE_PAGES)))
 
 
 # -- links and crawls -----------------------------------------------------------

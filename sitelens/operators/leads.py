@@ -239,8 +239,11 @@ def phone_components(prepared: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def with_groups(prepared: DataFrame) -> DataFrame:
-    """Add ``group_id``: rows with the same one are duplicates of each other."""
+def with_groups(prepared: DataFrame, known_rows: int | None = None) -> DataFrame:
+    """Add ``group_id``: rows with the same one are duplicates of each other.
+
+    ``prepared`` is read several times, so it should be stored.
+    """
     first = F.col("keys")[0]
     own = F.when(F.col("kind") == "none", F.concat(F.lit("row:"), F.col("idx").cast("string"))).otherwise(
         F.concat(F.col("kind"), F.lit(":"), first)
@@ -249,7 +252,9 @@ def with_groups(prepared: DataFrame) -> DataFrame:
         F.concat(F.lit("phone:"), "node").alias("__own"), "component"
     )
     return (
-        salted_join(prepared.withColumn("__own", own), components, ["__own"], "left")
+        salted_join(
+            prepared.withColumn("__own", own), components, ["__own"], "left", known_rows=known_rows
+        )
         .withColumn(
             "group_id",
             F.coalesce(F.concat(F.lit("phone:"), F.col("component")), F.col("__own")),
@@ -289,7 +294,8 @@ def clean_leads(
         idx = "__idx"
         leads = leads.withColumn(idx, F.monotonically_increasing_id())
     prepared = cut_lineage(prepare_leads(leads, settings, idx))
-    best = cut_lineage(best_rows(with_groups(prepared.filter("status = 'kept'"))))
+    kept = prepared.filter("status = 'kept'")
+    best = cut_lineage(best_rows(with_groups(kept, kept.count())))
     row_type = best.schema["row"].dataType
 
     def sort_key(name: str) -> Column:
