@@ -17,7 +17,6 @@ from sitelens.operators.records import (
     shape_records,
     transform_warnings,
 )
-from sitelens.operators.skew import cut_lineage
 from sitelens.plans.spec import read_fields, read_shaping
 
 query = Registry()

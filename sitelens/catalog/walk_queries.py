@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sitelens.catalog import inputs as I
 from sitelens.catalog.registry import Registry, flatten_lists
-from sitelens.functions import urls
 from sitelens.operators import quality
 from sitelens.operators.crawl import crawl
 from sitelens.operators.links import rank_links, should_follow, with_links

@@ -36,12 +36,6 @@ def selects_strings(path: str) -> bool:
     return step.startswith("@") or step.startswith("text()") or step.startswith("attribute::")
 
 
-def is_function(path: str) -> bool:
-    """Whether the path is a function call that returns one string or number."""
-    return bool(re.match(r"\s*(normalize-space|string|concat|substring|substring-before|"
-                        r"substring-after|translate|count|name|local-name|string-length)\s*\(", path))
-
-
 def as_css(path: str) -> str | None:
     """A simple element path as a CSS selector, or None."""
     at, parts = 0, []

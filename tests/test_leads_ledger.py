@@ -15,7 +15,7 @@ from sitelens.operators.modules import register_module, run_modules
 from sitelens.operators.skew import salted_join
 from sitelens.operators.throttle import throttle
 from sitelens.sources import ledger, seeds, sinks
-from sitelens.sources.pages import gate_pages, page_archive
+from sitelens.sources.pages import gate_pages, number_pages, page_archive, store_raw_pages
 from sitelens.streaming.jobs import throttle_stream
 
 LEAD_COLUMNS = "name string, law_firm string, website string, email string, contact_page_url string, profile_url string, source_directory string"
@@ -257,6 +257,22 @@ def test_page_gates_and_archive(spark):
     assert page_archive(gated, "id").filter("requested_url = 'https://d.com/'").first()["id"] == 4
 
 
+def test_raw_page_store_and_report(spark, tmp_path):
+    from sitelens.plans.result import Result
+
+    visits = spark.createDataFrame(
+        [("s", 3, "https://a.com/", "<p>"), ("s", 5, "https://a.com/x/y", None), ("s", 9, "https://a.com/x/y?b=1", "<b>")],
+        "seed string, visit_rank int, url string, html string",
+    )
+    store_raw_pages(number_pages(visits), str(tmp_path / "raw"))
+    stored = spark.read.parquet(str(tmp_path / "raw")).orderBy("label").collect()
+    assert [r.label for r in stored] == ["page_001_home", "page_003_x_y_b_1"]
+    result = Result(rows=visits, targets=lambda: visits.groupBy("seed").count())
+    assert result.issues is None
+    sinks.write_report(result, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "targets")).first().asDict() == {"count": 3, "seed": "s"}
+
+
 def test_ledger(spark, tmp_path):
     good = tmp_path / "j1"
     good.mkdir()

@@ -134,6 +134,12 @@ def test_domains_and_labels(spark):
         root=U.root_domain(U.canonical_domain(F.col("u"))), want_root=F.col("r"),
     ):
         assert row["got"] == row["want"] and row["root"] == row["want_root"]
+    pairs = [("https://www.a.com/", "http://a.com/x", True), ("https://www.a.com/", "https://m.a.com/", False)]
+    for row in run(
+        spark, pairs, "a string, b string, same boolean",
+        got=U.same_domain(F.col("a"), F.col("b")), want=F.col("same"),
+    ):
+        assert row["got"] == row["want"]
     labels = [
         ("https://example.com/", 1, "page_001_home"),
         ("https://example.com/contact", 2, "page_002_contact"),
