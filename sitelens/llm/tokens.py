@@ -140,7 +140,10 @@ def shingle_sets(found: Words, k: int) -> list[np.ndarray]:
     for lo, hi in zip(found.first[:-1], found.first[1:], strict=True):
         n = hi - lo
         if n >= k:
-            out.append(np.unique(every[lo : hi - k + 1]))
+            found_here = np.sort(every[lo : hi - k + 1])
+            fresh = np.ones(len(found_here), bool)
+            np.not_equal(found_here[1:], found_here[:-1], out=fresh[1:])
+            out.append(found_here[fresh])
         elif n:
             out.append(windows(found.hashes[lo:hi], n) + np.uint64(n))
         else:
