@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitelens.llm import decontaminate, exact_dedup, jaccard_join
-from sitelens.llm.common import table
+from sitelens.llm import decontaminate, exact_dedup, jaccard_join, language
+from sitelens.llm.common import remainder, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +40,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 @_register
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    found = language.identify(table(spark, sf_dir, "documents"), remainder(5) != 0)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
