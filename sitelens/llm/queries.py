@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import decontaminate, exact_dedup, jaccard_join, language
+from sitelens.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language,
+    licenses,
+    url_rules,
+)
 from sitelens.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -47,3 +54,45 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder(5) == 0, F.lit(False))
     found = language.identify(table(spark, sf_dir, "documents"), remainder(5) != 0)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+RULES = [
+    ("net/", "block"),
+    ("example.net/en/", "allow"),
+    ("example.com/de/", "block"),
+    ("org/fr/", "allow"),
+]
+
+
+@_register
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+ORACLE["op5_url_rules"] = """
+WITH urls AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+judged AS (
+  SELECT *, CASE
+    WHEN ('.' || host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM urls)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host || path, '(^|[./-])cheap-?pills?([./-]|$)')
+      OR regexp_matches(host || path, '(^|[./-])spam-farm([./-]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+@_register
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
