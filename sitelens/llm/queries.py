@@ -11,6 +11,8 @@ from sitelens.llm import (
     jaccard_join,
     language,
     licenses,
+    quality,
+    toxicity,
     url_rules,
 )
 from sitelens.llm.common import remainder, table
@@ -86,8 +88,8 @@ judged AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host || path, '(^|[./-])cheap-?pills?([./-]|$)')
-      OR regexp_matches(host || path, '(^|[./-])spam-farm([./-]|$)') THEN 'block'
+    WHEN regexp_matches(host || path, '(^|[./-])(cheap-pills?|spam-farms?|ads?-track(er|ing)?'
+      || '|casino|free-bets|adult)([./-]|$)') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM judged
 """
@@ -96,3 +98,21 @@ FROM judged
 @_register
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    found = quality.score(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(3) != 1
+    )
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@_register
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    found = toxicity.score(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(5) != 0
+    )
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "terms")

@@ -157,3 +157,12 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(v) for v in values], out=at[1:])
     flat = np.concatenate(values) if values else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat, kind))
+
+
+def spans(data: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` bytes from each begin, equal to the hash of such a word."""
+    out = np.zeros(len(begin), np.uint64)
+    power = _powers(_BASE, PIECE + 4096)
+    for j in range(size):
+        out += (_LOWER[data[begin + j]] + np.uint64(1)) * power[j]
+    return mix(out + np.uint64(size))

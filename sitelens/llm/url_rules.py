@@ -30,8 +30,12 @@ _SPLIT = r"[^0-9a-z\u0080-
 
 # Patterns that block by themselves: (name, expression, literal tokens).
 SPAM = [
-    ("cheap pills", r"(?:^|[./-])cheap-?pills?(?:[./-]|$)", ["cheap", "pills"]),
-    ("spam farm", r"(?:^|[./-])spam-farm(?:[./-]|$)", ["spam", "farm"]),
+    ("cheap pills", r"(?:^|[./-])cheap-pills?(?:[./-]|$)", ["cheap"]),
+    ("spam farm", r"(?:^|[./-])spam-farms?(?:[./-]|$)", ["spam"]),
+    ("ad tracker", r"(?:^|[./-])ads?-track(?:er|ing)?(?:[./-]|$)", []),
+    ("casino", r"(?:^|[./-])casino(?:[./-]|$)", ["casino"]),
+    ("bets", r"(?:^|[./-])free-bets(?:[./-]|$)", ["free", "bets"]),
+    ("adult", r"(?:^|[./-])adult(?:[./-]|$)", ["adult"]),
 ]
 
 
