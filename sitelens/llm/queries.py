@@ -11,6 +11,8 @@ from sitelens.llm import (
     jaccard_join,
     language,
     licenses,
+    line_dedup,
+    packing,
     quality,
     toxicity,
     url_rules,
@@ -116,3 +118,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(5) != 0
     )
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "terms")
+
+
+@_register
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with the lines that alignment deletes from it."""
+    return line_dedup.deleted_lines(table(spark, sf_dir, "documents")).drop("row")

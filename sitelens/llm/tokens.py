@@ -166,3 +166,17 @@ def spans(data: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
     for j in range(size):
         out += (_LOWER[data[begin + j]] + np.uint64(1)) * power[j]
     return mix(out + np.uint64(size))
+
+
+def sequences(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """One hash for each run of words ``start:stop``; runs of the same words agree."""
+    n = len(hashes)
+    base = _BASE ^ 0x5851F42D4C957F2C
+    up = np.full(n + 1, base, np.uint64)
+    down = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    np.multiply.accumulate(up, out=up)
+    np.multiply.accumulate(down, out=down)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * up[:n], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
