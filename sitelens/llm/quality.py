@@ -172,7 +172,7 @@ def grow(
     roots: list[int] = []
     base = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     depth = 0
-    if 0 < share < 1:
+    if len(label) and 0 < share < 1:
         edges = [_bin_edges(c, bins) for c in rows.T]
         binned = np.stack([np.searchsorted(e, c) for e, c in zip(edges, rows.T, strict=True)], 1)
         width = rows.shape[1]
