@@ -2,9 +2,9 @@
 
 The lexicon is learned from a sample of at most ``MAX_ROWS`` labelled rows of each
 label: whole words and stems (first letters of words) that occur in toxic texts and
-hardly in others, taken greedily as long as a term explains ``MIN_NEW`` toxic texts
-that no term before it does. Copies of one toxic text thus add their insults, not all
-of their words.
+hardly in others. A term must stand between different neighbours in at least
+``CONTEXT_SHARE`` of its texts: copies of one toxic text thus add their insults, not
+all of their words. A stem counts only where it is more than its best word.
 
 A text's words meet the lexicon as a trie, walked by a Levenshtein automaton of
 distance 1 (terms of five letters and more), so that misspelled terms are caught. By the
@@ -37,8 +37,13 @@ from sitelens.llm.common import store
 
 # Labelled rows of each label that the lexicon and the weights are fitted on, at most.
 MAX_ROWS = 10_000
-MIN_NEW = 3
-MIN_DOCS = 3
+# Toxic texts that show a term: so many at least, and this share of them.
+MIN_DOCS = 5
+MIN_SHARE = 0.005
+# Of a term's toxic texts, so many at least must show it between other words.
+CONTEXT_SHARE = 0.3
+# A stem has so many times the texts of the best term it begins.
+STEM_GAIN = 1.25
 # A term is at least so many times likelier in toxic texts than in others.
 MIN_RATIO = 25
 STEMS = (4, 5, 6, 7, 8)
@@ -187,11 +192,13 @@ def fit_logistic(rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.
     return beta
 
 
+def _terms_of(word: str) -> list[str]:
+    """A word as a term, and its stems, marked by a final asterisk."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)] if len(word) >= 4 else []
+
+
 def _pieces(text: str) -> set[str]:
-    """Words of a text, and stems marked by a final asterisk."""
-    found = set(WORD.findall(text.lower()))
-    stems = {w[:n] + "*" for w in found for n in STEMS if len(w) >= n}
-    return {w for w in found if len(w) >= 4} | stems
+    return {term for word in set(WORD.findall(text.lower())) for term in _terms_of(word)}
 
 
 def learn(chosen: DataFrame) -> list[tuple[str, bool]]:
@@ -216,12 +223,13 @@ def learn(chosen: DataFrame) -> list[tuple[str, bool]]:
     if not sizes.get(1):
         return []
     toxic, clean = chosen.filter("label = 1"), chosen.filter("label = 0")
+    least = max(MIN_DOCS, MIN_SHARE * sizes[1])
     schema = "term string, texts long"
     often = (
         toxic.mapInArrow(count(), schema)
         .groupBy("term")
         .agg(F.sum("texts").alias("texts"))
-        .filter(F.col("texts") >= MIN_DOCS)
+        .filter(F.col("texts") >= least)
     ).toArrow()
     in_toxic = dict(zip(often["term"].to_pylist(), often["texts"].to_pylist(), strict=True))
     wanted = context.broadcast(frozenset(in_toxic))
@@ -232,37 +240,50 @@ def learn(chosen: DataFrame) -> list[tuple[str, bool]]:
     good = {t for t, n in in_toxic.items() if n * share >= MIN_RATIO * (in_clean.get(t, 0) + 0.5)}
     kept = context.broadcast(frozenset(good))
 
-    def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(_pieces(t or "") & kept.value) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["terms"])
-
-    texts = toxic.mapInArrow(incidence, "terms array<string>").toArrow()["terms"].to_pylist()
-    return _cover([set(t) for t in texts])
-
-
-def _cover(texts: list[set[str]]) -> list[tuple[str, bool]]:
-    """Terms chosen greedily, each for texts without a term so far; ties: longest first."""
-    where: dict[str, set[int]] = {}
-    for i, own in enumerate(texts):
-        for term in own:
-            where.setdefault(term, set()).add(i)
-    left = Counter({t: len(x) for t, x in where.items()})
-    out = []
-    while left:
-        # A whole word wins over its own stems when it explains as much.
-        top = max(left, key=lambda t: (left[t], not t.endswith("*"), len(t), t))
-        if left[top] < MIN_NEW:
-            break
-        for i in list(where[top]):
-            for term in texts[i]:
-                left[term] -= 1
-                where[term].discard(i)
-                if not left[term]:
-                    del left[term]
-            texts[i] = set()
-        out.append((top.rstrip("*"), top.endswith("*")))
-    return out
+            terms: list[str] = []
+            around: list[str] = []
+            for text in batch.column("text").to_pylist():
+                words = ["", *WORD.findall((text or "").lower()), ""]
+                own: dict[str, str] = {}
+                for left, word, right in zip(words, words[1:], words[2:], strict=False):
+                    for term in _terms_of(word):
+                        if term in kept.value:
+                            own.setdefault(term, f"{left} {right}")
+                terms += own
+                around += own.values()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.string()), pa.array(around, pa.string())], ["term", "around"]
+            )
+
+    found = (
+        toxic.mapInArrow(contexts, "term string, around string")
+        .groupBy("term", "around")
+        .agg(F.count(F.lit(1)).alias("texts"))
+        .groupBy("term")
+        .agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("contexts"))
+        .filter((F.col("contexts") >= MIN_DOCS) & (F.col("contexts") >= F.col("texts") * CONTEXT_SHARE))
+        .toArrow()
+    )
+    return _select(dict(zip(found["term"].to_pylist(), found["texts"].to_pylist(), strict=True)))
+
+
+def _select(texts: dict[str, int]) -> list[tuple[str, bool]]:
+    """Words and stems to keep: a stem if it says more than what it begins, which then goes."""
+
+    def begins(term: str) -> list[str]:
+        word = term.rstrip("*")
+        return [word[:n] + "*" for n in STEMS if n <= len(word) and word[:n] + "*" != term]
+
+    below: dict[str, int] = {}
+    for term, n in texts.items():
+        for stem in begins(term):
+            below[stem] = max(n, below.get(stem, 0))
+    stems = {t for t, n in texts.items() if t.endswith("*") and n >= STEM_GAIN * below.get(t, 0)}
+    words = {t for t in texts if not t.endswith("*")}
+    kept = sorted(t for t in words | stems if not stems.intersection(begins(t)))
+    return [(t.rstrip("*"), t.endswith("*")) for t in kept]
 
 
 def _sample(labels: DataFrame, max_rows: int) -> tuple[DataFrame, dict[int, float]]:
