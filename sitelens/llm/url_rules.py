@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm.common import store
+
 # Rules and patterns are broadcast: more than this are refused.
 MAX_RULES = 100_000
 DEFAULT = "allow"
@@ -126,7 +128,8 @@ def judge(
         candidates = candidates.unionByName(
             sites.withColumn("every", F.explode(every)).select("host", "path", "every.*")
         )
-    best = (
+    # Stored, so that the join exchanges both sides and can split a hot URL.
+    best = store(
         candidates.filter(F.regexp_like(whole, F.col("expression")))
         .groupBy("host", "path")
         .agg(F.min("rank").alias("rank"))
