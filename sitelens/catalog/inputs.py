@@ -17,10 +17,11 @@ TABLES = [
 
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
-# Every page under a URL of its own on two hosts, with three links to other
-# pages, two or three listing cards, and a next-page link for most pages.
+# Every page under a URL of its own on two hosts: three links to other pages, two or
+# three listing cards, a next-page link for most pages, and below them the captured
+# page, whose own links lead nowhere here and are made plain text.
 _SITE = """
-SELECT page_id, concat('https://www.h', CAST(page_id % 2 AS STRING), '.example.org',
+SELECT page_id, html AS captured, concat('https://www.h', CAST(page_id % 2 AS STRING), '.example.org',
          CASE page_id % 4 WHEN 0 THEN '/contact-' WHEN 1 THEN '/about/' WHEN 2 THEN '/p-'
               ELSE '/x/y/' END, CAST(page_id AS STRING)) AS url,
        (2 * page_id + 1) % (SELECT count(*) FROM {pages}) AS a_id,
@@ -33,7 +34,7 @@ SELECT page_id, concat('https://www.h', CAST(page_id % 2 AS STRING), '.example.o
 FROM {pages}
 """
 SITE_LINKS = f"""
-SELECT s.page_id, s.url, s.next_id, a.url AS a_url, b.url AS b_url, c.url AS c_url,
+SELECT s.page_id, s.url, s.captured, s.next_id, a.url AS a_url, b.url AS b_url, c.url AS c_url,
        nx.url AS next_url,
        CASE WHEN a.page_id % 5 = 0 THEN 'Contact us' ELSE 'Page one' END AS a_text,
        CASE WHEN b.page_id % 6 = 0 THEN 'Our team' ELSE 'Page two' END AS b_text,
@@ -56,7 +57,8 @@ SELECT page_id, url AS requested_url, url, CAST(200 AS INT) AS status_code, erro
     CASE WHEN page_id % 3 = 0 THEN '<div class="card"><h2>No link</h2></div>' ELSE '' END,
     CASE WHEN next_id = page_id THEN '' ELSE concat('<a class="next" href="', next_url, '">Next</a>') END,
     '<p class="mail">Write to Info', CAST(page_id % 40 AS STRING), '@Example.org or call (410) 555-',
-    lpad(CAST(page_id % 10000 AS STRING), 4, '0'), '</p></body></html>') AS html
+    lpad(CAST(page_id % 10000 AS STRING), 4, '0'), '</p><section class="captured">',
+    replace(replace(replace(replace(captured, '<a ', '<u '), '<h1>', '<h4>'), '<h2>', '<h4>'), '<h3>', '<h4>'), '</section></body></html>') AS html
 FROM ({SITE_LINKS}) l
 """
 
@@ -73,6 +75,17 @@ FROM {{pages}}
 """
 
 # Captures with the ways a fetch can go wrong.
+# Captured pages with an address element, one that is too short to be an address,
+# none, or one without a number; two of them have an address in their text.
+ADDRESS_PAGES = """
+SELECT page_id, url, concat(html, CASE page_id % 4
+    WHEN 0 THEN concat('<address> ', CAST(page_id % 900 + 1 AS STRING), ' Quay  Street, Ghent</address>')
+    WHEN 1 THEN '<div class="location">Pier 9</div><p>Find us at 77 Harbor Road, Suite 5, Portland, OR 97201!</p>'
+    WHEN 2 THEN '<p>Find us at sea</p>'
+    ELSE '<b itemprop="address">The old customs house</b><i>Post to 4 Dock Lane, Berth #12</i>' END) AS html
+FROM {pages}
+"""
+
 CAPTURES = """
 SELECT page_id, url, html,
   CASE WHEN page_id % 6 = 0 THEN regexp_replace(url, '^http:', 'https:') ELSE url END AS final_url,
@@ -84,7 +97,7 @@ FROM {pages}
 
 # Leads from customers and pages with blanks, junk, collisions and phone chains.
 LEADS = f"""
-SELECT 2 * c_custkey AS idx, c_name AS name,
+SELECT 2 * c_custkey AS idx, CASE WHEN c_custkey % 13 = 6 THEN NULL ELSE c_name END AS name,
   concat(CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END, c_mktsegment, ' & Sons, Nr. ',
          CAST(c_nationkey AS STRING)) AS law_firm,
   CASE WHEN c_custkey % 5 = 1 THEN concat('www.Shop', CAST(c_custkey % 400 AS STRING), '.co.uk/a/') ELSE '' END AS website,
@@ -98,7 +111,7 @@ SELECT 2 * c_custkey AS idx, c_name AS name,
   concat('http://dir.example.net/', c_mktsegment, '/') AS source_directory
 FROM {{customer}}
 UNION ALL
-SELECT 2 * page_id + 1 AS idx, concat('Page ', CAST(page_id AS STRING)) AS name, '' AS law_firm,
+SELECT 2 * page_id + 1 AS idx, CASE WHEN page_id % 11 = 4 THEN '  ' ELSE concat('Page ', CAST(page_id AS STRING)) END AS name, '' AS law_firm,
   url AS website,
   CASE WHEN page_id % 3 = 0 THEN concat('info@', {HOST}) WHEN page_id % 7 = 1 THEN 'x@example.com' ELSE '' END AS email,
   NULL AS phone, NULL AS source_directory

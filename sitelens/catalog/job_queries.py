@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.catalog import inputs as I
@@ -33,6 +33,24 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.derive(spark, sf_dir, I.REPORTS)
 
 
+_FAILURE = """CASE WHEN row_count > 0 THEN NULL WHEN max_records_hit THEN 'max_records_reached'
+  WHEN stop_reason = 'max_pages_reached' THEN 'max_pages_reached'
+  WHEN stop_reason = 'duplicate_next_page_detected' THEN 'pagination_loop_detected'
+  WHEN stop_reason = 'no_next_page_found' AND mode <> 'site_scan' THEN 'pagination_selector_not_found'
+  WHEN error_text = 'GET: 403 Forbidden' THEN 'blocked_by_site' WHEN error_text = 'Read TIMED OUT' THEN 'timeout'
+  WHEN error_text = 'DNS failure' THEN 'connection_failed'
+  WHEN issue = 'page_extraction_failed' OR (issue = 'detail_page_fetch_failed' AND listing_count > 0) THEN 'extraction_failed'
+  ELSE 'no_results_found' END"""
+
+
+def failure() -> Column:
+    return J.report_failure(
+        F.col("row_count"), F.col("mode"), F.col("listing_count"), F.array("stop_reason"),
+        F.array(F.lit("first"), F.col("error_text")), F.create_map("issue", F.lit(2)),
+        F.col("max_records_hit"),
+    )
+
+
 @query(
     "job_status",
     f"""
@@ -41,12 +59,17 @@ SELECT j.job_id, j.status, CASE WHEN j.status IN ('queued', 'running', 'complete
   CASE WHEN r.output_dir IS NOT NULL OR j.status <> 'queued' THEN coalesce(r.row_count, 0) END AS progress_records_extracted,
   CASE WHEN r.output_dir IS NOT NULL OR j.status <> 'queued' THEN coalesce(r.pagination_urls_followed, 0) END AS progress_pagination_pages,
   r.pages_visited, r.pagination_urls_followed, r.row_count AS records_extracted, r.pages_crawled AS crawl_pages_scanned,
-  r.duration AS run_duration
-FROM ({_JOBS}) j LEFT JOIN ({_REPORTS}) r ON r.output_dir = j.output_dir
+  r.duration AS run_duration,
+  CASE WHEN j.status = 'failed' THEN CASE WHEN j.event_id % 5 = 0 THEN 'limit_exceeded' ELSE r.failure END END AS failure_reason
+FROM ({_JOBS}) j LEFT JOIN (SELECT *, {_FAILURE} AS failure FROM ({_REPORTS}) x) r ON r.output_dir = j.output_dir
 """,
 )
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.job_status(jobs(spark, sf_dir), reports(spark, sf_dir))
+    noted = F.when((F.col("status") == "failed") & (F.col("event_id") % 5 == 0), "limit_exceeded")
+    return J.job_status(
+        jobs(spark, sf_dir).withColumn("failure_reason", noted),
+        reports(spark, sf_dir).withColumn("failure", failure()),
+    )
 
 
 @query(
@@ -77,26 +100,12 @@ def job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "job_failures",
     f"""
-SELECT output_dir, CASE WHEN row_count > 0 THEN NULL WHEN max_records_hit THEN 'max_records_reached'
-  WHEN stop_reason = 'max_pages_reached' THEN 'max_pages_reached'
-  WHEN stop_reason = 'duplicate_next_page_detected' THEN 'pagination_loop_detected'
-  WHEN stop_reason = 'no_next_page_found' AND mode <> 'site_scan' THEN 'pagination_selector_not_found'
-  WHEN error_text = 'GET: 403 Forbidden' THEN 'blocked_by_site' WHEN error_text = 'Read TIMED OUT' THEN 'timeout'
-  WHEN error_text = 'DNS failure' THEN 'connection_failed'
-  WHEN issue = 'page_extraction_failed' OR (issue = 'detail_page_fetch_failed' AND listing_count > 0) THEN 'extraction_failed'
-  ELSE 'no_results_found' END AS reason
+SELECT output_dir, {_FAILURE} AS reason
 FROM ({_REPORTS}) r
 """,
 )
 def job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports(spark, sf_dir).select(
-        "output_dir",
-        J.report_failure(
-            F.col("row_count"), F.col("mode"), F.col("listing_count"), F.array("stop_reason"),
-            F.array(F.lit("first"), F.col("error_text")), F.create_map("issue", F.lit(2)),
-            F.col("max_records_hit"),
-        ).alias("reason"),
-    )
+    return reports(spark, sf_dir).select("output_dir", failure().alias("reason"))
 
 
 @query(
@@ -278,9 +287,13 @@ FROM events WHERE event_type NOT IN ('view', 'click')
 """,
 )
 def stats_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir, "events").filter("event_type NOT IN ('view', 'click')")
+    events = _stream(spark, sf_dir, "events")
     finished = events.select(
-        F.when(F.col("event_type").isin("purchase", "signup"), "completed").otherwise("failed").alias("status"),
+        F.when(F.col("event_type").isin("purchase", "signup"), "completed")
+        .when(F.col("event_type") == "view", "queued")
+        .when(F.col("event_type") == "click", "running")
+        .otherwise("failed")
+        .alias("status"),
         (F.floor("value") - 5).alias("row_count"),
     )
     totals = stats_stream(finished)

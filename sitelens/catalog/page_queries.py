@@ -16,7 +16,7 @@ from sitelens.operators.listing import explode_records, listing_needs, listing_r
 from sitelens.operators.merge import contact_summary, merge_items, merge_pages, merge_scalars
 from sitelens.operators.skew import cut_lineage
 from sitelens.plans.spec import read_fields
-from sitelens.sources.pages import gate_pages
+from sitelens.sources.pages import gate_pages, page_archive
 from sitelens.sources.seeds import assemble_targets, csv_seeds, read_csv, read_text_seeds
 from sitelens.sources.sinks import write_csv, write_json
 
@@ -200,10 +200,45 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("page_addresses")
+@query(
+    "page_archive",
+    """
+SELECT requested_url, min(page_id) AS page_id FROM (
+  SELECT page_id, regexp_replace(url, '[?#].*$', '') AS requested_url FROM pages
+  UNION ALL SELECT page_id + 1000000, regexp_replace(url, '[?#].*$', '') FROM pages WHERE page_id % 3 = 0) x
+GROUP BY 1
+""",
+)
+def page_archive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages captured again: those of one path, and every third page once more."""
+    pages = I.table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_replace("url", "[?#].*$", "").alias("requested_url"), "html"
+    )
+    again = pages.filter("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 1000000)
+    return page_archive(pages.unionByName(again), "page_id").select("requested_url", "page_id")
+
+
+# A letter beyond ASCII is a word character, but none that an address may have.
+_PLAIN = "regexp_replace(html, '[^\\x01-\\x7f]', '_', 'g')"
+_ADDRESS = (
+    r"(?i)\b\d{1,6}\s+[A-Z0-9][A-Z0-9\s.,#-]{6,120}\b"
+    r"(?:,\s*[A-Z .''-]+,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?)?"
+)
+
+
+@query(
+    "page_addresses",
+    f"""
+WITH p AS ({I.as_sql(I.ADDRESS_PAGES)})
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN concat(CAST(page_id % 900 + 1 AS STRING), ' Quay Street, Ghent')
+  ELSE coalesce(nullif(trim(regexp_replace(regexp_extract({_PLAIN}, '{_ADDRESS}', 0), '\\s+', ' ', 'g')), ''), 'none')
+  END AS address
+FROM p
+""",
+)
 def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = read_fields([{"name": "address", "type": "address", "default": "none"}])
-    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
+    found = extract_fields(I.derive(spark, sf_dir, I.ADDRESS_PAGES), fields, ["page_id"])
     return found.select("page_id", "address")
 
 

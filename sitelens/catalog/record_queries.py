@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.catalog import inputs as I
-from sitelens.catalog.registry import Registry, flatten_lists
+from sitelens.catalog.registry import Registry, flatten_lists, scratch
 from sitelens.catalog.sql import EMAILS, PHONES, distinct_list
 from sitelens.functions import text
 from sitelens.operators import quality
-from sitelens.operators.modules import run_modules
 from sitelens.operators.records import (
     cleanup_counters,
     process_records,
     shape_records,
     transform_warnings,
 )
+from sitelens.plans.clean_csv import clean_csv as clean_csv_plan
 from sitelens.plans.spec import read_fields, read_shaping
+from sitelens.sources.seeds import read_csv
+from sitelens.sources.sinks import write_csv
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -233,7 +235,7 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = I.table(spark, sf_dir, "events")
-    return events.filter("event_type IN ('error', 'click')").select(
+    return events.select(
         F.col("event_type").alias("category"),
         F.concat(F.col("event_type"), F.lit(": "), F.col("props")).alias("message"),
     )
@@ -242,7 +244,7 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "diagnostics_topk",
     """
-SELECT concat(event_type, ': ', props) AS message, count(*) AS count FROM events WHERE event_type IN ('error', 'click')
+SELECT concat(event_type, ': ', props) AS message, count(*) AS count FROM events
 GROUP BY 1 ORDER BY count DESC, message LIMIT 10
 """,
 )
@@ -252,7 +254,7 @@ def diagnostics_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "diagnostics_counts",
-    "SELECT event_type AS category, count(*) AS count FROM events WHERE event_type IN ('error', 'click') GROUP BY 1",
+    "SELECT event_type AS category, count(*) AS count FROM events GROUP BY 1",
 )
 def diagnostics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.issue_counts(_issues(spark, sf_dir))
@@ -261,15 +263,19 @@ def diagnostics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "clean_csv",
     """
-SELECT c_custkey, lower(c_name) AS name, lower(c_mktsegment) AS segment, c_nationkey, c_acctbal FROM customer
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, lower(c_name) AS name, lower(c_mktsegment) AS segment, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer
 """,
 )
 def clean_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = run_modules(
-        I.table(spark, sf_dir, "customer"),
+    customers = I.table(spark, sf_dir, "customer")
+    path = scratch(customers, "customers")
+    write_csv(customers.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal"), path)
+    result, _ = clean_csv_plan(
+        read_csv(spark, path),
         [
             {"module": "core.rename_columns", "options": {"mapping": {"c_name": "name", "c_mktsegment": "segment"}}},
             {"module": "text.normalize_case", "options": {"columns": ["name", "segment"], "case": "lower"}},
         ],
     )
-    return rows
+    kinds = {"c_custkey": "bigint", "c_nationkey": "bigint", "c_acctbal": "double"}
+    return result.rows.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in result.rows.columns])

@@ -66,14 +66,20 @@ def link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "link_follow",
-    f"WITH site AS ({_SITE}) SELECT page_id, (contains(a_url, 'contact') OR contains(lower(a_text), 'contact') OR contains(a_url, '/x/')) AND NOT contains(a_url, 'h1.') AS follow FROM site",
+    f"""
+WITH {_LINKS}
+SELECT DISTINCT page_id, link, txt AS anchor,
+  (contains(link, 'contact') OR contains(lower(txt), 'contact') OR contains(link, '/x/')) AND NOT contains(link, 'h1.') AS follow
+FROM mentions
+""",
 )
 def link_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = with_links(archive(spark, sf_dir), ["page_id"])
-    first = F.col("links")[0]
-    return linked.select(
-        "page_id", should_follow(first.url, first.anchor, ["Contact", "/x/"], ["h1."]).alias("follow")
+    each = linked.select("page_id", F.explode("links").alias("k")).select(
+        "page_id", F.col("k.url").alias("link"), F.col("k.anchor").alias("anchor")
     )
+    follow = should_follow(F.col("link"), F.col("anchor"), ["Contact", "/x/"], ["h1."])
+    return each.withColumn("follow", follow).distinct()
 
 
 _CRAWL_SPEC = {
@@ -180,6 +186,27 @@ def site_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_scan(pages, seeds, _SCAN_SPEC).rows
 
 
+@query(
+    "site_scan_pages",
+    f"""
+WITH RECURSIVE {_CRAWL}
+SELECT w.seed AS input_url, w.url AS page_url, CAST(200 AS INT) AS status_code, concat('Site ', s.page_id) AS page_title
+FROM walk w JOIN site s ON s.url = w.url WHERE s.error IS NULL
+""",
+)
+def site_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per visited page instead of one per seed."""
+    pages = archive(spark, sf_dir)
+    seeds = pages.select(F.col("page_id").alias("target_idx"), "url")
+    spec = {
+        **_CRAWL_SPEC,
+        "extraction": {"fields": [{"name": "page_title", "type": "page_title"}]},
+        "output": {"merge_rows": False},
+    }
+    found = site_scan(pages, seeds, spec).rows
+    return found.select("input_url", "page_url", "status_code", "page_title")
+
+
 @query(
     "site_scan_targets",
     f"""
@@ -272,6 +299,36 @@ def stop_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.stop_reason_counts(_walked(pages).targets)
 
 
+@query(
+    "pagination_loops",
+    f"""
+WITH RECURSIVE {_WALKED.replace("< 3", "< 9").replace(">= 3", ">= 9")}
+SELECT target_idx, stop_reason, pages_visited FROM stops
+""",
+)
+def pagination_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks long enough to come back to a page they have seen."""
+    spec = read_spec({**_WALK_SPEC, "pagination": {**_WALK_SPEC["pagination"], "max_pages": 9}})
+    pages = archive(spark, sf_dir)
+    found = walk(cut_lineage(next_page_links(pages, spec)), _targets(pages), spec).targets
+    return found.select("target_idx", "stop_reason", F.col("pages_visited").cast("bigint"))
+
+
+@query(
+    "pagination_off",
+    f"""
+WITH site AS ({_SITE})
+SELECT CASE WHEN error IS NULL THEN 'pagination_disabled' ELSE 'fetch_failure' END AS stop_reason, count(*) AS count
+FROM site GROUP BY 1
+""",
+)
+def pagination_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = read_spec({**_WALK_SPEC, "pagination": {"enabled": False}})
+    pages = archive(spark, sf_dir)
+    found = walk(cut_lineage(next_page_links(pages, spec)), _targets(pages), spec)
+    return quality.stop_reason_counts(found.targets)
+
+
 # -- directories --------------------------------------------------------------------
 
 _CARDS = """

@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,37 +30,86 @@ class UnusableTransform(Exception):
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python pattern for Java's engine: Unicode classes, \\n-only lines, names."""
-    translated = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    translated = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", translated)
-    translated = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", translated)
-    return "(?dU)" + translated
+    """A Python pattern for Java's engine: Unicode classes, \\n-only lines, group names
+    ``g1, g2, ...`` (Java's have no underscore), and plain ``[`` and ``&&`` in classes."""
+    names = re.compile(pattern).groupindex
+    out, at = [], 0
+    while at < len(pattern):
+        rest = pattern[at:]
+        if rest[0] == "\\":
+            out.append("\\z" if rest[:2] == "\\Z" else rest[:2])
+            at += 2
+        elif rest[0] == "[":
+            inner, at = _java_class(pattern, at)
+            out.append(inner)
+        elif named := re.match(r"\(\?P<(\w+)>|\(\?P=(\w+)\)", rest):
+            opens = named[1] is not None
+            number = names[named[1] or named[2]]
+            out.append(f"(?<g{number}>" if opens else f"\\{number}(?:)")
+            at += named.end()
+        elif rest.startswith("{,"):
+            out.append("{0,")
+            at += 2
+        else:
+            out.append(rest[0])
+            at += 1
+    return "(?dU)" + "".join(out)
+
+
+def _java_class(pattern: str, at: int) -> tuple[str, int]:
+    """A character class in Java's terms, and where it ends."""
+    end = at + 2 if pattern[at + 1 : at + 2] == "^" else at + 1
+    out = [pattern[at:end]]
+    first = end
+    while end < len(pattern) and (pattern[end] != "]" or end == first):
+        char = pattern[end]
+        if char == "\\":
+            out.append(pattern[end : end + 2])
+            end += 1
+        else:
+            out.append("\\" + char if char in "[]&" else char)
+        end += 1
+    return "".join(out) + "]", end + 1
 
 
-def java_replacement(replacement: str) -> str:
+def java_replacement(replacement: str, names: Mapping[str, int] | None = None) -> str:
     """``\\1``, ``\\g<1>`` and ``\\g<name>`` as Java group references."""
-    pieces, at = [], 0
+
+    def plain(text: str) -> str:
+        # A digit after a reference would be read as a part of it.
+        if pieces and re.fullmatch(r"\$\d+", pieces[-1]) and text[:1].isdigit():
+            text = "\\" + text
+        return text.replace("$", r"\$")
+
+    pieces: list[str] = []
+    at = 0
     for ref in re.finditer(r"\\g<(\w+)>|\\([1-9]\d?)|\\(.)", replacement, re.S):
-        pieces.append(replacement[at : ref.start()].replace("$", r"\$"))
-        if ref[1]:
-            pieces.append("${" + ref[1] + "}" if not ref[1].isdigit() else "$" + ref[1])
-        elif ref[2]:
-            pieces.append("$" + ref[2])
+        pieces.append(plain(replacement[at : ref.start()]))
+        if group := ref[1] or ref[2]:
+            pieces.append(f"${int(group) if group.isdigit() else (names or {})[group]}")
         else:
             known = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\\\"}
             pieces.append(known.get(ref[3], "\\\\" + ref[3]))
         at = ref.end()
-    pieces.append(replacement[at:].replace("$", r"\$"))
+    pieces.append(plain(replacement[at:]))
     return "".join(pieces)
 
 
-def _compiled(options: Mapping) -> re.Pattern:
+def _compiled(options: Mapping) -> tuple[re.Pattern, str]:
+    """The pattern, and its translation, which Java has accepted."""
     if "pattern" not in options:
         raise UnusableTransform("'pattern'")
     try:
-        return re.compile(options["pattern"])
-    except re.error as problem:
+        compiled = re.compile(options["pattern"])
+        java = java_pattern(options["pattern"])
+    except (re.error, TypeError) as problem:
         raise UnusableTransform(str(problem)) from None
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(java)
+    except PySparkException as problem:
+        reason = str(problem).splitlines()[0]
+        raise UnusableTransform(f"unsupported pattern: {reason}") from None
+    return compiled, java
 
 
 def _java_literal(word: str) -> str:
@@ -72,15 +123,18 @@ def titlecase(c: Column) -> Column:
 
 
 def _regex_replace(c: Column, options: Mapping) -> Column:
-    _compiled(options)
+    compiled, java = _compiled(options)
     replacement = options.get("replacement", options.get("repl", ""))
-    return F.regexp_replace(c, java_pattern(options["pattern"]), java_replacement(replacement))
+    try:
+        compiled.sub(replacement, "")  # Python's reader of replacements decides
+    except (re.error, IndexError, TypeError) as problem:
+        raise UnusableTransform(str(problem)) from None
+    return F.regexp_replace(c, java, java_replacement(replacement, compiled.groupindex))
 
 
 def _regex_extract(c: Column, options: Mapping) -> Column:
-    compiled = _compiled(options)
+    compiled, java = _compiled(options)
     group = options.get("group", 0)
-    java = java_pattern(options["pattern"])
     if isinstance(group, str):
         group = compiled.groupindex.get(group, -1)
     if not 0 <= group <= compiled.groups:

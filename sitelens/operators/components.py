@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from sitelens.operators.skew import cut_lineage, salted_join
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
+def _open_nodes(edges: DataFrame) -> tuple[int, int]:
+    """Edges, and nodes that still stand between others: below two nodes, or below one
+    and above another. Without such nodes every component is a star around its lowest."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"))
+    )
+    per_node = ends.groupBy("node").agg(
+        F.sum("down").alias("down"), F.count(F.lit(1)).alias("all")
+    )
+    between = (F.col("down") > 1) | ((F.col("down") == 1) & (F.col("all") > 1))
+    row = per_node.agg(
+        F.coalesce(F.sum("down"), F.lit(0)).alias("edges"), F.count_if(between).alias("open")
     ).first()
-    return row["n"], row["h"]
+    return row["edges"], row["open"]
 
 
 def _large_star(edges: DataFrame, known: int) -> DataFrame:
@@ -53,12 +61,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    mark = _fingerprint(edges)
-    while mark[0]:
-        known = int(mark[0])
+    known, between = _open_nodes(edges)
+    while between:
         edges = cut_lineage(_small_star(_large_star(edges, known), known))
-        previous, mark = mark, _fingerprint(edges)
-        if mark == previous:
-            break
+        known, between = _open_nodes(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -2,8 +2,9 @@
 
 One DataFrame round pops one URL for every seed at once. The state is one row per
 seed: its queue, the URLs it knows and its visits, all bounded by ``max_pages``
-times the links of a page. Per round only (seed, popped URL) moves to the pages
-and only the popped page's links move back; the state stays where it is.
+times the links of a page. The archive is a table bucketed by requested URL, the state
+one bucketed by seed: per round (seed, popped URL) moves to the pages and the popped
+page's links move back; neither table is exchanged again.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from sitelens.functions import text, urls
 from sitelens.operators.extract import LINK_NEEDS, Page, extract_fields
 from sitelens.operators.links import rank_links
 from sitelens.operators.records import process_records
-from sitelens.operators.skew import cut_lineage, salted_join
+from sitelens.operators.skew import salted_join, stored_by
 from sitelens.plans.spec import JobSpec
 
 SEED_SCORE = 10_000
@@ -106,13 +107,27 @@ def _advance(round_no: int, same_domain_only: bool) -> list[Column]:
     ]
 
 
+def crawl_round(
+    state: DataFrame, hops: DataFrame, round_no: int, same_domain_only: bool, known_rows: int
+) -> DataFrame:
+    """The state after every seed with a queue has visited the best URL of it."""
+    pops = state.filter(F.size("queue") > 0).select(
+        "seed", F.array_min("queue").url.alias("pop_url")
+    )
+    answers = salted_join(pops, hops, ["pop_url"], "left", known_rows=known_rows).drop("pop_url")
+    popped = state.withColumn("popped", F.array_min("queue")).withColumn(
+        "queue", F.filter("queue", lambda q: q != F.col("popped"))
+    )
+    return popped.join(answers, "seed", "left").select(*_advance(round_no, same_domain_only))
+
+
 def crawl(pages: DataFrame, seeds: DataFrame, spec: JobSpec) -> CrawlResult:
     """Replay the best-first scan of every seed over the archive.
 
     ``seeds`` has one normalized ``url`` per row. Pages missing from the archive
     count as error pages.
     """
-    archive = cut_lineage(link_archive(pages, spec))
+    archive = stored_by(link_archive(pages, spec), "pop_url", deal=True)
     hops = archive.select(
         "pop_url", "final_url", "status_code", "error", "links", F.lit(True).alias("found")
     )
@@ -122,28 +137,22 @@ def crawl(pages: DataFrame, seeds: DataFrame, spec: JobSpec) -> CrawlResult:
         F.col("url"),
         F.lit(0).cast("int").alias("depth"),
     )
-    state = cut_lineage(
+    state = stored_by(
         seeds.select("url").distinct().select(
             F.col("url").alias("seed"),
             urls.canonical_domain(F.col("url")).alias("seed_domain"),
             F.array(start).cast(_QUEUE).alias("queue"),
             F.array("url").alias("known"),
             F.array().cast(_VISITS).alias("visits"),
-        )
+        ),
+        "seed",
     )
     for round_no in range(1, spec.crawl_max_pages + 1):
         active = state.filter(F.size("queue") > 0).count()
         if active == 0:
             break
-        pops = state.filter(F.size("queue") > 0).select(
-            "seed", F.array_min("queue").url.alias("pop_url")
-        )
-        answers = salted_join(pops, hops, ["pop_url"], "left", known_rows=active).drop("pop_url")
-        popped = state.withColumn("popped", F.array_min("queue")).withColumn(
-            "queue", F.filter("queue", lambda q: q != F.col("popped"))
-        )
-        state = cut_lineage(
-            popped.join(answers, "seed", "left").select(*_advance(round_no, spec.same_domain_only))
+        state = stored_by(
+            crawl_round(state, hops, round_no, spec.same_domain_only, known_rows=active), "seed"
         )
     visits = state.select("seed", F.inline("visits")).withColumnRenamed("rank", "visit_rank")
     frontier = state.select("seed", F.posexplode(F.array_sort("queue")).alias("queue_rank", "q"))

@@ -1,130 +1,32 @@
-"""CSS selectors compiled to predicates over shredded nodes.
+"""CSS selectors as predicates over shredded nodes.
 
-Supported: comma lists, tag, ``*``, ``.class``, ``#id``, ``[attr]`` with the
-operators ``= ~= ^= $= *=``, and the descendant and child combinators. Anything
-else is refused while the plan is built.
+The page reader matches selectors while it reads (see ``matching``) and lists on each
+node the selectors that it satisfies; a predicate only looks that up.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelens.operators.matching import parse
 from sitelens.operators.shred import NodeNeeds
 
-_TOKEN = re.compile(
-    r"""\s*(?P<comma>,)\s*|\s*(?P<child>>)\s*|(?P<space>\s+)|(?P<tag>\*|[A-Za-z][\w\-]*)"""
-    r"""|\.(?P<cls>-?[A-Za-z_][\w\-]*)|\#(?P<id>[\w\-]+)"""
-    r"""|\[\s*(?P<attr>[A-Za-z_][\w:\-]*)\s*(?:(?P<op>[~^$*]?=)\s*"""
-    r"""(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\s\]]+))\s*)?\]"""
-)
 
-
-@dataclass
-class Compound:
-    tag: str | None = None
-    tests: list = field(default_factory=list)  # (attribute, operator or "", value)
-    combinator: str = ""  # how it hangs below the compound to its left
-
-    def matches(self, node: Column) -> Column:
-        tests = [node.tag == self.tag] if self.tag else []
-        for name, op, value in self.tests:
-            actual = F.try_element_at(node.attrs, F.lit(name))
-            if op == "":
-                test = actual.isNotNull()
-            elif op == "=":
-                test = actual == value
-            elif not value or (op == "~=" and re.search(r"\s", value)):
-                test = F.lit(False)  # these operators never match an empty value
-            elif op == "~=":
-                test = F.concat(F.lit(" "), actual, F.lit(" ")).contains(f" {value} ")
-            elif op == "^=":
-                test = actual.startswith(value)
-            elif op == "$=":
-                test = actual.endswith(value)
-            else:
-                test = actual.contains(value)
-            tests.append(F.coalesce(test, F.lit(False)))
-        verdict = F.lit(True)
-        for test in tests:
-            verdict = verdict & test
-        return verdict
-
-
-@dataclass
+@dataclass(frozen=True)
 class Selector:
     source: str
-    chains: list[list[Compound]]
-
-    def matches(self, nodes: Column, node: Column) -> Column:
-        verdict = None
-        for chain in self.chains:
-            hit = self._chain(nodes, node, len(chain) - 1, chain)
-            verdict = hit if verdict is None else verdict | hit
-        return verdict
 
-    def _chain(self, nodes: Column, node: Column, index: int, chain: list[Compound]) -> Column:
-        hit = chain[index].matches(node)
-        if index == 0:
-            return hit
-        if chain[index].combinator == ">":
-            return hit & (node.parent >= 0) & self._chain(
-                nodes, F.get(nodes, node.parent), index - 1, chain
-            )
-        return hit & F.exists(
-            node.anc, lambda a: self._chain(nodes, F.get(nodes, a), index - 1, chain)
-        )
+    def matches(self, node: Column) -> Column:
+        return F.array_contains(node.hits, F.lit(self.source))
 
     def needs(self) -> NodeNeeds:
-        total = NodeNeeds()
-        for chain in self.chains:
-            for compound in chain:
-                names = frozenset(name for name, _, _ in compound.tests)
-                if compound.tag:
-                    total |= NodeNeeds(tags=frozenset([compound.tag]), attrs=names)
-                elif names:
-                    total |= NodeNeeds(having=names, attrs=names)
-                else:
-                    total |= NodeNeeds(everything=True)
-            if any(c.combinator == " " for c in chain):
-                total |= NodeNeeds(ancestors=True)
-        return total
+        return NodeNeeds(selectors=frozenset([self.source]))
 
 
 def compile_selector(source: str) -> Selector:
-    chains: list[list[Compound]] = [[Compound()]]
-    used = False  # whether the current compound has any content
-    at, text = 0, source.strip()
-    while at < len(text):
-        token = _TOKEN.match(text, at)
-        if not token:
-            raise ValueError(f"Unsupported CSS selector {source!r} at {text[at:]!r}")
-        at = token.end()
-        current = chains[-1][-1]
-        if token["comma"] or token["child"] or token["space"]:
-            if not used:
-                raise ValueError(f"Unsupported CSS selector {source!r}")
-            if token["comma"]:
-                chains.append([Compound()])
-            else:
-                chains[-1].append(Compound(combinator=">" if token["child"] else " "))
-            used = False
-            continue
-        if token["tag"]:
-            if used:
-                raise ValueError(f"Unsupported CSS selector {source!r}")
-            current.tag = None if token["tag"] == "*" else token["tag"].lower()
-        elif token["cls"]:
-            current.tests.append(("class", "~=", token["cls"]))
-        elif token["id"]:
-            current.tests.append(("id", "=", token["id"]))
-        else:
-            value = next((v for v in (token["dq"], token["sq"], token["bare"]) if v is not None), "")
-            current.tests.append((token["attr"].lower(), token["op"] or "", value))
-        used = True
-    if not used:
-        raise ValueError(f"Unsupported CSS selector {source!r}")
-    return Selector(source, chains)
+    """Refuses unsupported selectors while the plan is built."""
+    parse(source)
+    return Selector(source)

@@ -53,8 +53,9 @@ def enrich(
     """Let non-empty detail values override base values where the page is good.
 
     ``details`` has detail_key, d_url, d_error, d_shred_error, d_issues and one
-    ``d_`` column per field. Adds ``detail_url``, ``detail_error``, ``detail_issues`` and the final status. Many
-    rows may point to one detail page, so the rows are the salted side.
+    ``d_`` column per field. Adds ``detail_url``, ``detail_error``, ``detail_unread``
+    (found, but not read to its end), ``detail_issues`` and the final status. Many rows
+    may point to one detail page, so the rows are the salted side.
     """
     base = rows.withColumn(
         "__join", F.when(F.col("detail_status") == "attempt", F.col("detail_key"))
@@ -87,6 +88,7 @@ def enrich(
     own = F.col("detail_url") if "detail_url" in rows.columns else F.lit(None).cast("string")
     columns["detail_url"] = F.when(good, F.col("d_url")).otherwise(own)
     columns["detail_error"] = F.when(attempted, failure)
+    columns["detail_unread"] = attempted & F.col("d_error").isNull() & F.col("d_shred_error").isNotNull()
     columns["detail_status"] = F.when(
         attempted, F.when(failure.isNull(), F.lit("success")).otherwise(F.lit("failed"))
     ).otherwise(F.col("detail_status"))

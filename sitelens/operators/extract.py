@@ -86,7 +86,7 @@ def css_values(
 ) -> Column:
     """Distinct non-blank values of the matching nodes, in document order."""
     found = F.filter(
-        page.nodes if scope is None else scope, lambda n: selector.matches(page.nodes, n)
+        page.nodes if scope is None else scope, lambda n: selector.matches(n)
     )
     values = F.transform(found, lambda n: node_value(page.texts, n, attribute, base))
     return text.ordered_distinct(values)
@@ -136,7 +136,7 @@ class Extractor:
 
 def _first_attr(page: Page, selector: str, attribute: str) -> Column:
     compiled = compile_selector(selector)
-    nodes = F.filter(page.nodes, lambda n: compiled.matches(page.nodes, n))
+    nodes = F.filter(page.nodes, lambda n: compiled.matches(n))
     value = F.try_element_at(text.first_item(nodes).attrs, F.lit(attribute))
     return text.clean_whitespace(value)
 
@@ -284,7 +284,7 @@ def _xpath_value(page: Page, path: str, many: bool) -> Column:
         return pick(text.ordered_distinct(F.transform(values, text.clean_whitespace)), many)
     if many:
         selector = compile_selector(xp.as_css(path))
-        found = F.filter(page.nodes, lambda n: selector.matches(page.nodes, n))
+        found = F.filter(page.nodes, lambda n: selector.matches(n))
         return text.ordered_distinct(F.transform(found, lambda n: node_content(page.texts, n)))
     return text.clean_whitespace(F.xpath_string(page.xhtml, F.lit(path)))
 

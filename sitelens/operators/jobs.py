@@ -127,8 +127,12 @@ def expired_jobs(jobs: DataFrame, now: Column, retention_hours: float = RETENTIO
 def job_status(jobs: DataFrame, reports: DataFrame) -> DataFrame:
     """Ledger rows with the progress of their run report.
 
-    ``reports`` is keyed by ``output_dir``, like the ledger.
+    ``reports`` is keyed by ``output_dir``, like the ledger. Failed jobs without a
+    ``failure_reason`` of their own get the ``failure`` of their report, if there is one.
     """
+    none = F.lit(None).cast("string")
+    stored = F.col("failure_reason") if "failure_reason" in jobs.columns else none
+    derived = F.col("failure") if "failure" in reports.columns else none
     view = reports.select(
         "output_dir",
         F.lit(True).alias("__reported"),
@@ -137,6 +141,7 @@ def job_status(jobs: DataFrame, reports: DataFrame) -> DataFrame:
         F.col("row_count").alias("__row_count"),
         F.col("pagination_urls_followed").alias("__followed"),
         F.col("duration").alias("__duration"),
+        derived.alias("__failure"),
     )
     joined = jobs.join(view, "output_dir", "left")
     reported = F.col("__reported").isNotNull()
@@ -150,6 +155,7 @@ def job_status(jobs: DataFrame, reports: DataFrame) -> DataFrame:
         "status",
         F.when(F.col("status").isin("queued", "running", "completed"), F.col("status"))
         .otherwise("failed").alias("current_phase"),
+        F.coalesce(stored, F.when(F.col("status") == "failed", F.col("__failure"))).alias("failure_reason"),
         progress("__pages_visited", "__pages_crawled").alias("progress_pages_scanned"),
         progress("__row_count").alias("progress_records_extracted"),
         progress("__followed").alias("progress_pagination_pages"),

@@ -55,7 +55,7 @@ def listing_records(page: Page, record_selector: str, fields: Sequence[FieldSpec
 
         return text.let(inside, build)
 
-    found = F.filter(page.nodes, lambda n: containers.matches(page.nodes, n))
+    found = F.filter(page.nodes, lambda n: containers.matches(n))
     return F.transform(found, record)
 
 

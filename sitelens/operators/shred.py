@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.operators.matching import Frame, Matcher
+
 ROWS_PER_OUTPUT_BATCH = 200
-# The depth at which common HTML parsers stop nesting.
-MAX_DEPTH = 256
 
 SHRED_DDL = (
-    "nodes ARRAY<STRUCT<pos:INT, last:INT, parent:INT, anc:ARRAY<INT>, tag:STRING, "
+    "nodes ARRAY<STRUCT<pos:INT, last:INT, hits:ARRAY<STRING>, tag:STRING, "
     "attrs:MAP<STRING,STRING>, t0:INT, t1:INT, raw:STRING>>, "
     "texts ARRAY<STRING>, xhtml STRING, shred_error STRING"
 )
@@ -37,8 +37,8 @@ class NodeNeeds:
     tags: frozenset = frozenset()  # elements kept by name
     having: frozenset = frozenset()  # elements kept because they carry an attribute
     attrs: frozenset = frozenset()  # attribute values to return
+    selectors: frozenset = frozenset()  # CSS selectors to match; what they match is kept
     everything: bool = False  # keep all elements
-    ancestors: bool = False
     text: bool = False
     xhtml: bool = False
 
@@ -47,15 +47,15 @@ class NodeNeeds:
             self.tags | other.tags,
             self.having | other.having,
             self.attrs | other.attrs,
+            self.selectors | other.selectors,
             self.everything or other.everything,
-            self.ancestors or other.ancestors,
             self.text or other.text,
             self.xhtml or other.xhtml,
         )
 
     @property
     def any_nodes(self) -> bool:
-        return bool(self.tags or self.having or self.everything)
+        return bool(self.tags or self.having or self.selectors or self.everything)
 
     @property
     def needs_shred(self) -> bool:
@@ -102,23 +102,12 @@ class _Columns:
     """Flat child arrays of one output batch."""
 
     def __init__(self) -> None:
-        self.pos, self.last, self.parent, self.tag = [], [], [], []
+        self.pos, self.last, self.hits, self.tag = [], [], [], []
         self.t0, self.t1, self.raw = [], [], []
-        self.anc_offsets, self.anc = [0], []
         self.attr_offsets, self.attr_keys, self.attr_values = [0], [], []
         self.node_offsets, self.text_offsets, self.texts = [0], [0], []
         self.xhtml, self.errors = [], []
 
-    def mark(self) -> tuple:
-        return len(self.pos), len(self.anc), len(self.attr_keys), len(self.texts)
-
-    def rollback(self, mark: tuple) -> None:
-        nodes, anc, attrs, texts = mark
-        for column in (self.pos, self.last, self.parent, self.tag, self.t0, self.t1, self.raw):
-            del column[nodes:]
-        del self.anc_offsets[nodes + 1 :], self.attr_offsets[nodes + 1 :]
-        del self.anc[anc:], self.attr_keys[attrs:], self.attr_values[attrs:], self.texts[texts:]
-
     def end_page(self, xhtml: str | None, error: str | None) -> None:
         self.node_offsets.append(len(self.pos))
         self.text_offsets.append(len(self.texts))
@@ -129,8 +118,7 @@ class _Columns:
         ints = lambda values: pa.array(values, pa.int32())
         node = pa.StructArray.from_arrays(
             [
-                ints(self.pos), ints(self.last), ints(self.parent),
-                pa.ListArray.from_arrays(ints(self.anc_offsets), ints(self.anc)),
+                ints(self.pos), ints(self.last), pa.array(self.hits, pa.list_(pa.string())),
                 pa.array(self.tag, pa.string()),
                 pa.MapArray.from_arrays(
                     ints(self.attr_offsets),
@@ -139,7 +127,7 @@ class _Columns:
                 ),
                 ints(self.t0), ints(self.t1), pa.array(self.raw, pa.string()),
             ],
-            ["pos", "last", "parent", "anc", "tag", "attrs", "t0", "t1", "raw"],
+            ["pos", "last", "hits", "tag", "attrs", "t0", "t1", "raw"],
         )
         return [
             pa.ListArray.from_arrays(ints(self.node_offsets), node),
@@ -155,14 +143,17 @@ class _PageReader(HTMLParser):
     def __init__(self, needs: NodeNeeds) -> None:
         super().__init__(convert_charrefs=True)
         self.needs = needs
+        self.matcher = Matcher(needs.selectors) if needs.selectors else None
         self.out = _Columns()
 
     def read(self, html: str | None) -> None:
+        """Append one page. What cannot be parsed ends the page there: all that was
+        read before stays, and the error is reported with it."""
         out = self.out
-        mark = out.mark()
         self.reset()
-        self.first_node, self.first_text = mark[0], mark[3]
-        self.stack: list[tuple[str, int, bool]] = []  # tag, kept node or -1, in xhtml
+        self.first_node, self.first_text = len(out.pos), len(out.texts)
+        self.stack: list[tuple[str, int, bool, Frame | None]] = []  # tag, kept node or -1, in xhtml
+        self.outside = Frame() if self.matcher else None
         self.kept: list[int] = []  # positions of the open kept elements
         self.open_raw: list[tuple[int, list[str]]] = []
         self.buffer: list[str] = []
@@ -174,13 +165,12 @@ class _PageReader(HTMLParser):
             if html:
                 self.feed(html)
                 self.close()
-                self._flush()
-            while self.stack:
-                self._pop()
         except Exception as problem:  # one bad page must not stop the job
-            out.rollback(mark)
             error = f"{type(problem).__name__}: {problem}"
-        xhtml = "".join(self.xml) if self.needs.xhtml and error is None else None
+        self._flush()
+        while self.stack:
+            self._pop()
+        xhtml = "".join(self.xml) if self.needs.xhtml else None
         out.end_page(xhtml or None, error)
 
     # -- structure ---------------------------------------------------------
@@ -188,7 +178,15 @@ class _PageReader(HTMLParser):
     def _push(self, tag: str, attrs: Sequence[tuple[str, str | None]]) -> None:
         needs, out = self.needs, self.out
         position = -1
-        keep = needs.everything or tag in needs.tags
+        frame, hits, late = None, [], []
+        parent = self.stack[-1][3] if self.stack else self.outside
+        if self.matcher:
+            values: dict[str, str] = {}
+            for name, value in attrs:
+                value = value or ""
+                values.setdefault(name, " ".join(value.split()) if name == "class" else value)
+            frame, hits, late = self.matcher.enter(parent, tag, values)
+        keep = needs.everything or tag in needs.tags or bool(hits or late)
         if not keep and needs.having:
             keep = any(name in needs.having for name, _ in attrs)
         if keep:
@@ -196,10 +194,9 @@ class _PageReader(HTMLParser):
             position = index - self.first_node
             out.pos.append(position)
             out.last.append(position)
-            out.parent.append(self.stack[-1][1] if self.stack else -1)
-            if needs.ancestors:
-                out.anc.extend(self.kept)
-            out.anc_offsets.append(len(out.anc))
+            out.hits.append(hits)
+            if late:
+                parent.waiting.extend((index, x) for x in late)
             out.tag.append(tag)
             wanted = {}
             for name, value in attrs:
@@ -222,15 +219,18 @@ class _PageReader(HTMLParser):
                 + "".join(f" {n}={quoteattr(_NOT_XML.sub('', v or ''))}" for n, v in unique.items())
                 + ">"
             )
-        self.stack.append((tag, position, in_xml))
+        self.stack.append((tag, position, in_xml, frame))
         if position >= 0:
             self.kept.append(position)
         if tag in OWN_TEXT_TAGS:
             self.open_raw.append((position, []))
 
     def _pop(self) -> None:
-        tag, position, in_xml = self.stack.pop()
+        tag, position, in_xml, frame = self.stack.pop()
         out = self.out
+        if frame and frame.waiting:
+            for node, selector in self.matcher.settled(frame):
+                out.hits[node].append(selector)
         if tag in OWN_TEXT_TAGS:
             owner, pieces = self.open_raw.pop()
             if owner >= 0:
@@ -293,8 +293,6 @@ class _PageReader(HTMLParser):
         rule = IMPLIED_ENDS.get(tag)
         if rule:
             self._end_open(*rule)
-        while len(self.stack) >= MAX_DEPTH:
-            self._pop()
         self._push(tag, attrs)
         if tag in VOID_TAGS:
             self._pop()
@@ -324,6 +322,13 @@ class _PageReader(HTMLParser):
 
     handle_decl = handle_pi = unknown_decl = handle_comment
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` of unknown kind is a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def _flush(self) -> None:
         if not self.buffer:
             return

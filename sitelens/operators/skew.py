@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 # A key with more rows than this is spread over SALTS join tasks.
 HOT_ROWS = 1_000_000
 SALTS = 64
-# Bound of the broadcast list of hot keys.
+# No more than this many keys can each hold 1 / MAX_HOT_KEYS of the rows.
 MAX_HOT_KEYS = 1000
 
 
@@ -27,6 +30,7 @@ def checkpoint_dir(df: DataFrame) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
         folder = tempfile.mkdtemp(prefix="sitelens-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
@@ -37,14 +41,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The at most MAX_HOT_KEYS keys of ``df`` with more than ``hot_rows`` rows."""
+def stored_by(df: DataFrame, key: str, deal: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table bucketed by ``key`` and read it back.
+
+    Joins and groups on the key then need no exchange of this side, and reads take
+    only the columns they use. ``deal`` moves the rows to their buckets first; leave
+    it out when a join or group on the key has just done that. The files lie beside
+    the checkpoints, so lost executors cost a read.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sitelens_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key) if deal else df
+    (
+        rows.write.format("parquet")
+        .option("path", f"{checkpoint_dir(df)}/{name}")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .saveAsTable(name)
+    )
+    return spark.table(name)
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, known_rows: int | None = None
+) -> DataFrame:
+    """All keys of ``df`` with more than ``hot_rows`` rows and 1 / MAX_HOT_KEYS of the rows.
+
+    There are fewer than MAX_HOT_KEYS such keys, whatever the table, so nothing has to
+    be cut off. A key below that share is a small part of every task's work.
+    """
+    total = df.count() if known_rows is None else known_rows
+    least = max(hot_rows, total // MAX_HOT_KEYS)
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n"))
-        .limit(MAX_HOT_KEYS)
+        .filter(F.col("__n") > least)
         .select(*keys, F.lit(True).alias("__hot"))
     )
 
@@ -62,13 +94,13 @@ def salted_join(
 
     Rows of hot keys are spread by a salt and their ``few`` rows repeated once per
     salt; all other keys join as usual. The list of hot keys is broadcast: it has
-    at most MAX_HOT_KEYS rows. With ``how="left"`` rows of ``many`` are kept. When
+    fewer than MAX_HOT_KEYS rows by its definition. With ``how="left"`` rows of ``many`` are kept. When
     the caller knows ``many`` to be small enough, no key can be hot.
     """
     keys = list(keys)
     if known_rows is not None and known_rows <= hot_rows:
         return many.join(few, keys, how)
-    hot = F.broadcast(hot_keys(many, keys, hot_rows))
+    hot = F.broadcast(hot_keys(many, keys, hot_rows, known_rows))
     spread = F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")
     left = many.join(hot, keys, "left").withColumn(
         "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))

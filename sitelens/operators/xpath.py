@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import re
 
-_STEP = re.compile(r"(//?)([A-Za-z][\w\-]*|\*)((?:\[@[\w:\-]+(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"))?\])*)")
+_STEP = re.compile(r"(//?)([A-Za-z][\w\-]*|\*)((?:\[[^\[\]]*\])*)")
+_TEST = re.compile(
+    r"""\[\s*(?:(?P<place>\d+|last\(\))|@(?P<has>[\w:\-]+)(?:\s*=\s*(?P<is>'[^']*'|"[^"]*"))?"""
+    r"""|(?P<call>contains|starts-with)\(\s*@(?P<of>[\w:\-]+)\s*,\s*(?P<part>'[^']+'|"[^"]+")\s*\))\s*\]"""
+)
 
 
 def _last_step(path: str) -> str:
@@ -36,18 +40,40 @@ def selects_strings(path: str) -> bool:
     return step.startswith("@") or step.startswith("text()") or step.startswith("attribute::")
 
 
+def _tests_as_css(tag: str, tests: str) -> str | None:
+    """Predicates of one step. A place counts the step's elements below one parent, so
+    it must come before the tests that thin them out."""
+    at, out = 0, []
+    while at < len(tests):
+        test = _TEST.match(tests, at)
+        if not test or (test["place"] and at):
+            return None
+        if test["place"]:
+            kind = "child" if tag == "*" else "of-type"
+            last = test["place"] == "last()"
+            out.append(f":last-{kind}" if last else f":nth-{kind}({test['place']})")
+        elif test["has"]:
+            out.append(f"[{test['has']}={test['is']}]" if test["is"] else f"[{test['has']}]")
+        else:
+            sign = "*=" if test["call"] == "contains" else "^="
+            out.append(f"[{test['of']}{sign}{test['part']}]")
+        at = test.end()
+    return "".join(out)
+
+
 def as_css(path: str) -> str | None:
-    """A simple element path as a CSS selector, or None."""
+    """An element path as a CSS selector, or None."""
     at, parts = 0, []
     text = path.strip()
     while at < len(text):
         step = _STEP.match(text, at)
-        if not step:
+        if not step or (not parts and step[1] != "//"):
             return None
-        if not parts and step[1] != "//":
+        tests = _tests_as_css(step[2], step[3])
+        if tests is None:
             return None
         if parts:
             parts.append(" > " if step[1] == "/" else " ")
-        parts.append(step[2].lower() + step[3].replace("[@", "["))
+        parts.append(step[2].lower() + tests)
         at = step.end()
     return "".join(parts) or None

@@ -28,12 +28,12 @@ from sitelens.operators.records import (
     process_records,
     shape_records,
 )
-from sitelens.operators.skew import cut_lineage, salted_join
+from sitelens.operators.skew import cut_lineage, salted_join, stored_by
 from sitelens.plans.result import Result
 from sitelens.plans.spec import JobSpec, read_spec
 
 ORDER = ["target_idx", "page_idx", "rec_idx"]
-BOOKKEEPING = ["detail_key", "detail_status", "detail_error", "detail_page_url"]
+BOOKKEEPING = ["detail_key", "detail_status", "detail_error", "detail_unread", "detail_page_url"]
 
 
 def _profile_selector(rendered: Mapping | None) -> str | None:
@@ -104,8 +104,10 @@ def _listing(pages: DataFrame, targets: DataFrame, spec: JobSpec, rendered: Mapp
     """Archive, walk, page table with record budget, and the processed listing rows."""
     if rendered is not None:
         spec = replace(spec, pagination_enabled=False)  # one rendered page per target
-    archive = cut_lineage(directory_archive(pages, spec, rendered))
-    walked: Walk = walk(archive, targets, spec)
+    archive = stored_by(directory_archive(pages, spec, rendered), "requested_url", deal=True)
+    # A page that could not be read to its end is a failed page, like one not fetched.
+    unread = F.coalesce("error", "shred_error")
+    walked: Walk = walk(archive.withColumn("error", unread), targets, spec)
     visits = walked.pages
     good = visits.filter(F.col("error").isNull())
     listed = cut_lineage(
@@ -232,7 +234,9 @@ def _issues(
     skipped = F.col("detail_status") == "skipped"
     found = found.unionByName(
         details.filter(F.col("detail_status") == "failed").select(
-            F.lit("detail_page_fetch_failed").alias("category"),
+            F.when(F.col("detail_unread"), F.lit("detail_field_extraction_failed"))
+            .otherwise(F.lit("detail_page_fetch_failed"))
+            .alias("category"),
             F.concat_ws(": ", "detail_page_url", "detail_error").alias("message"),
         )
     ).unionByName(

@@ -19,11 +19,14 @@ def read_text_seeds(spark: SparkSession, path: str) -> DataFrame:
     return kept.select("pos", urls.normalize_url("line").alias("url"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A header CSV as strings; a byte order mark is not part of the first name."""
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """A header CSV as strings; a byte order mark is not part of the first name.
+
+    ``multiline`` reads line breaks inside quotes, at the price of one task per file.
+    """
     df = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .option("nullValue", "\x00")
         .option("emptyValue", "")

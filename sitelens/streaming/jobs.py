@@ -21,8 +21,10 @@ def extract_stream(pages: DataFrame, fields: Sequence[FieldSpec], keep: Sequence
 def stats_stream(jobs: DataFrame) -> DataFrame:
     """Running totals of finished jobs; write with output mode ``complete``.
 
-    ``jobs`` has status and row_count, one event per finished job.
+    ``jobs`` has status and row_count, one event per job and status; jobs that are
+    queued or running do not count yet.
     """
+    jobs = jobs.filter(~F.col("status").isin("queued", "running"))
     completed = F.col("status") == "completed"
     rows = F.greatest(F.coalesce("row_count", F.lit(0)), F.lit(0))
     return jobs.groupBy().agg(

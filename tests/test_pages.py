@@ -22,7 +22,8 @@ def extract(spark, html, *fields, url=URL):
 def select(spark, html, selector, attribute=None):
     df = spark.createDataFrame([(URL, html)], "url string, html string")
     compiled = compile_selector(selector)
-    shredded = shred(df, NodeNeeds(everything=True, ancestors=True, text=True), ["url"])
+    every = NodeNeeds(everything=True, text=True, selectors=frozenset([selector]))
+    shredded = shred(df, every, ["url"])
     page = Page(F.col("url"), F.col("nodes"), F.col("texts"), F.col("xhtml"), {}, F.lit(None))
     full = shredded.select(css_values(page, compiled, attribute).alias("v")).first()["v"]
     pruned = shred_for(df, compiled.needs() | NodeNeeds(text=True, attrs=frozenset([attribute or "id"])), ["url"])
@@ -55,13 +56,29 @@ HTML = """<!doctype html><title>T &amp; x</title><script>var a = "<p>no</p>";</s
         ("head title", ["T & x"]),
         ("script", ['var a = "<p>no</p>";']),
         ("* > option", ["o1", "o2"]),
+        ("ul + p", ["first"]),
+        ("ul ~ p", ["first", "second it al"]),
+        ("li:first-child", ["one", "inner"]),
+        ("li:last-child", ["inner", "three"]),
+        ("tr > td:nth-child(2)", ["c2"]),
+        ("#menu > li:nth-child(odd)", ["one", "three"]),
+        ("#menu > li:nth-child(-n+2)", ["one", "two bold inner"]),
+        ("#menu > li:nth-last-child(2)", ["two bold inner"]),
+        ("p:first-of-type, p:last-of-type", ["first", "second it al"]),
+        ("p:nth-of-type(2)", ["second it al"]),
+        ("td:only-child", ["c3"]),
+        ("#menu > li:not(.x):not(:first-child)", ["three"]),
+        ("a:not([rel], .q)", ["A"]),
+        ("[data-k='A B' i]", ["block"]),
+        ("[rel|=next]", ["N"]),
+        ("li.x + li", ["three"]),
     ],
 )
 def test_selectors(spark, selector, want):
     assert select(spark, HTML, selector) == want
 
 
-@pytest.mark.parametrize("selector", ["a:first-child", "a + b", "", "a >", "[x=", "a,,b"])
+@pytest.mark.parametrize("selector", ["a:hover", "a:last-child b", "", "a >", "[x=", "a,,b", "a:not(b c)", ":nth-child(x)"])
 def test_unsupported_selectors_fail_when_the_plan_is_built(selector):
     with pytest.raises(ValueError):
         compile_selector(selector)
@@ -82,14 +99,14 @@ def test_bad_pages_do_not_stop_the_job(spark):
 
 def test_xpath(spark):
     got = extract(
-        spark, "<main><h1>Jane  D</h1><p>x<b>y</b></p><p>z</p><a href='tel:1'>c</a><a href='tel:2'/></main>",
+        spark, "<main><h1>Mira  Q</h1><p>x<b>y</b></p><p>z</p><a href='tel:1'>c</a><a href='tel:2'/></main>",
         {"name": "h", "xpath": "normalize-space(//h1)"},
         {"name": "e", "xpath": "//main/h1"},
         {"name": "a", "xpath": "//a[starts-with(@href, 'tel:')]/@href", "many": True},
         {"name": "p", "xpath": "//main/p", "many": True},
         {"name": "none", "xpath": "//h9", "default": "d"},
     )
-    assert got["h"] == "Jane D" and got["e"] == "Jane D" and got["a"] == ["tel:1", "tel:2"]
+    assert got["h"] == "Mira Q" and got["e"] == "Mira Q" and got["a"] == ["tel:1", "tel:2"]
     assert got["p"] == ["xy", "z"] and got["none"] == "d"
     with pytest.raises(ValueError):
         extract(spark, "<p>", {"name": "p", "xpath": "//p[1]/following::b", "many": True})
@@ -200,3 +217,33 @@ def test_field_expressions_stay_on_the_jvm(spark):
     assert "page_id" not in plan and "Exchange" not in plan
     raw_only = extract_fields(df, read_fields([{"name": "e", "type": "emails"}]), ["url"])
     assert "MapInArrow" not in raw_only._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "path,want",
+    [
+        ("//td[2]", ["c2"]),
+        ("//tr/td[1]", ["c1", "c3"]),
+        ("//li[contains(@class,'x')]/b", ["bold"]),
+        ("//a[starts-with(@href, '/n')]", ["N"]),
+        ("//option[last()]", ["o2"]),
+        ("//ul/*[1]", ["one", "inner"]),
+        ("//a[@rel='next']", ["N"]),
+    ],
+)
+def test_texts_of_many_elements_by_xpath(spark, path, want):
+    assert extract(spark, HTML, {"name": "f", "xpath": path, "many": True})["f"] == want
+
+
+def test_broken_markup_keeps_what_was_read(spark):
+    card = "<div class='c'><h2>A</h2></div>"
+    for tail in ("<![x<p>a", "<![weird[ a ]]><div class='c'><h2>B</h2></div>", "<!x", "</", "<a href='", "<![if !IE]>"):
+        assert select(spark, card + tail, ".c h2")[0] == "A", tail
+    assert select(spark, card + "<![weird[ a ]]><div class='c'><h2>B</h2></div>", ".c h2") == ["A", "B"]
+
+
+def test_deep_nesting_keeps_parents(spark):
+    deep = "<div>" * 600 + "<p class=x>in</p>" + "</div>" * 600 + "<p class=x>out</p>"
+    assert select(spark, deep, "div > .x") == ["in"]
+    assert select(spark, deep, "body > .x") == ["out"]
+    assert select(spark, deep, "body > div div .x") == ["in"]
