@@ -19,7 +19,8 @@ HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
 # Every page under a URL of its own on two hosts: three links to other pages, two or
 # three listing cards, a next-page link for most pages, and below them the captured
-# page, whose own links lead nowhere here and are made plain text.
+# page. Its own links lead nowhere here and become plain text; its digits and @ become
+# letters, so that contact data and headings are the planted ones.
 _SITE = """
 SELECT page_id, html AS captured, concat('https://www.h', CAST(page_id % 2 AS STRING), '.example.org',
          CASE page_id % 4 WHEN 0 THEN '/contact-' WHEN 1 THEN '/about/' WHEN 2 THEN '/p-'
@@ -58,7 +59,7 @@ SELECT page_id, url AS requested_url, url, CAST(200 AS INT) AS status_code, erro
     CASE WHEN next_id = page_id THEN '' ELSE concat('<a class="next" href="', next_url, '">Next</a>') END,
     '<p class="mail">Write to Info', CAST(page_id % 40 AS STRING), '@Example.org or call (410) 555-',
     lpad(CAST(page_id % 10000 AS STRING), 4, '0'), '</p><section class="captured">',
-    replace(replace(replace(replace(captured, '<a ', '<u '), '<h1>', '<h4>'), '<h2>', '<h4>'), '<h3>', '<h4>'), '</section></body></html>') AS html
+    translate(replace(captured, '<a ', '<u '), '0123456789@', 'abcdefghij '), '</section></body></html>') AS html
 FROM ({SITE_LINKS}) l
 """
 
