@@ -1,10 +1,12 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows.
 
-The lexicon is learned from a sample of at most ``MAX_ROWS`` labelled rows of each
-label: whole words and stems (first letters of words) that occur in toxic texts and
-hardly in others. A term must stand between different neighbours in at least
-``CONTEXT_SHARE`` of its texts: copies of one toxic text thus add their insults, not
-all of their words. A stem counts only where it is more than its best word.
+The lexicon is learned from a sample of at most ``MAX_ROWS`` distinct labelled texts of
+each label: whole words and stems (first letters of words) that occur in toxic texts and
+hardly in others. Copies of a text are one text here, however many there are, and weigh
+as many only in the regression. A term must stand in ``MIN_DOCS`` different contexts
+(the words on both sides); where one context has most of its texts, those that differ
+from it on one side only are near copies and do not count: near copies thus add their
+insults, not all of their words. A stem counts only where it is more than its best word.
 
 A text's words meet the lexicon as a trie, walked by a Levenshtein automaton of
 distance 1 (terms of five letters and more), so that misspelled terms are caught. By the
@@ -35,13 +37,11 @@ from pyspark.sql import functions as F
 from sitelens.llm import tokens
 from sitelens.llm.common import store
 
-# Labelled rows of each label that the lexicon and the weights are fitted on, at most.
+# Distinct texts of each label that the lexicon and the weights are fitted on, at most.
 MAX_ROWS = 10_000
-# Toxic texts that show a term: so many at least, and this share of them.
+# Toxic texts that show a term, and its contexts: so many at least, and this share of the texts.
 MIN_DOCS = 5
 MIN_SHARE = 0.005
-# Of a term's toxic texts, so many at least must show it between other words.
-CONTEXT_SHARE = 0.3
 # A stem has so many times the texts of the best term it begins.
 STEM_GAIN = 1.25
 # A term is at least so many times likelier in toxic texts than in others.
@@ -202,7 +202,7 @@ def _pieces(text: str) -> set[str]:
 
 
 def learn(chosen: DataFrame) -> list[tuple[str, bool]]:
-    """Terms of a bounded table of labelled texts (label, text)."""
+    """Terms of a bounded table of distinct labelled texts (label, text)."""
 
     def count(wanted=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,28 +242,36 @@ def learn(chosen: DataFrame) -> list[tuple[str, bool]]:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms: list[str] = []
-            around: list[str] = []
+            found: list[tuple[str, str, str]] = []
             for text in batch.column("text").to_pylist():
                 words = ["", *WORD.findall((text or "").lower()), ""]
-                own: dict[str, str] = {}
+                own: dict[str, tuple[str, str]] = {}
                 for left, word, right in zip(words, words[1:], words[2:], strict=False):
                     for term in _terms_of(word):
                         if term in kept.value:
-                            own.setdefault(term, f"{left} {right}")
-                terms += own
-                around += own.values()
+                            own.setdefault(term, (left, right))
+                found += [(term, *sides) for term, sides in own.items()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array(around, pa.string())], ["term", "around"]
+                [pa.array(x, pa.string()) for x in (zip(*found) if found else ([], [], []))],
+                ["term", "before", "after"],
             )
 
-    found = (
-        toxic.mapInArrow(contexts, "term string, around string")
-        .groupBy("term", "around")
+    around = store(
+        toxic.mapInArrow(contexts, "term string, before string, after string")
+        .groupBy("term", "before", "after")
         .agg(F.count(F.lit(1)).alias("texts"))
+    )
+    main = around.groupBy("term").agg(
+        F.sum("texts").alias("total"),
+        F.max(F.struct("texts", "before", "after")).alias("main"),
+    )
+    same = [F.col(x) == F.col(f"main.{x}") for x in ("before", "after")]
+    copied = (F.col("main.texts") * 2 > F.col("total")) & (same[0] != same[1])
+    found = (
+        around.join(main, "term")
         .groupBy("term")
-        .agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("contexts"))
-        .filter((F.col("contexts") >= MIN_DOCS) & (F.col("contexts") >= F.col("texts") * CONTEXT_SHARE))
+        .agg(F.max("total").alias("texts"), F.count_if(~copied).alias("contexts"))
+        .filter(F.col("contexts") >= MIN_DOCS)
         .toArrow()
     )
     return _select(dict(zip(found["term"].to_pylist(), found["texts"].to_pylist(), strict=True)))
@@ -286,14 +294,14 @@ def _select(texts: dict[str, int]) -> list[tuple[str, bool]]:
     return [(t.rstrip("*"), t.endswith("*")) for t in kept]
 
 
-def _sample(labels: DataFrame, max_rows: int) -> tuple[DataFrame, dict[int, float]]:
-    """At most about ``max_rows`` ids of each label by a hash, and the share that was kept."""
-    sizes = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
+def _sample(texts: DataFrame, max_rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """At most about ``max_rows`` texts of each label by their hash, and the share that was kept."""
+    sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     keep = {k: min(1.0, max_rows * 0.98 / n) for k, n in sizes.items()}
     share = F.lit(0.0)
     for k, x in keep.items():
         share = F.when(F.col("label") == k, F.lit(x)).otherwise(share)
-    return labels.filter(F.pmod(F.xxhash64("id"), F.lit(10**6)) < share * 10**6), keep
+    return texts.filter(F.pmod(F.xxhash64("hash"), F.lit(10**6)) < share * 10**6), keep
 
 
 def score(
@@ -307,16 +315,28 @@ def score(
 ) -> DataFrame:
     """doc_id, score, predicted and terms of every row; ``train`` tells the labels to learn from.
 
-    The ids of the sample are broadcast (at most ``max_rows`` of each label); texts are
-    read once to take the sample, once to be scored, and are not shuffled.
+    Texts are read once to hash them, once to take the sample and once to be scored, and
+    are not shuffled: hashes find the distinct labelled texts, of which the sample's are
+    broadcast with one id each (at most ``max_rows`` of each label).
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     known = labels.filter(F.coalesce(train, F.lit(False)) & F.col(label).isin(0, 1)).select(
         F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")
     )
-    picked, share = _sample(known, max_rows)
-    chosen = store(rows.join(F.broadcast(picked), "id").select("id", "label", "text"))
+    hashed = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = store(
+        store(hashed.select("id", "hash"))
+        .join(store(known), "id")
+        .groupBy("hash", "label")
+        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
+    )
+    picked, share = _sample(texts, max_rows)
+    chosen = store(
+        hashed.join(F.broadcast(picked), ["id", "hash"])
+        .select("hash", "label", "times", "text")
+        .dropDuplicates(["hash", "label"])
+    )
     shared = context.broadcast(lexicon(learn(chosen)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,16 +345,16 @@ def score(
             for part in tokens.blocks(batch, "text"):
                 found, _ = hits(part.column("text"), known, trie, memo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("label"),
-                     tokens.lists(list(found), pa.float64())], ["id", "label", "found"],
+                    [part.column("hash"), part.column("label"), part.column("times"),
+                     tokens.lists(list(found), pa.float64())], ["hash", "label", "times", "found"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    table = chosen.mapInArrow(features, f"id {kind}, label int, found array<double>")
-    table = table.orderBy("id", "label").toArrow()
+    table = chosen.mapInArrow(features, "hash long, label int, times long, found array<double>")
+    table = table.orderBy("hash", "label").toArrow()
     label_of = table["label"].to_numpy().astype(float)
     found = table["found"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    weight = np.array([1 / share[int(x)] for x in label_of])
+    weight = table["times"].to_numpy() / np.array([share[int(x)] for x in label_of])
     beta = fit_logistic(found.reshape(-1, len(FEATURES)), label_of, weight)
     if not len(label_of):
         beta = np.zeros(len(FEATURES) + 1)

@@ -1,9 +1,11 @@
 """Quality and toxicity: parts against plain versions, accuracy on held-out rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sitelens.llm import quality, toxicity
@@ -97,6 +99,26 @@ def test_toxicity_of_made_rows(spark):
     assert got[400].predicted == got[401].predicted == 0
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_copies_of_a_toxic_text_keep_all_insults(spark, near):
+    docs, labels = made(600)
+    bad = [i for i, _, t, _ in labels[:600] if t]
+    text = docs[bad[0]][1].split() + ["wretched", "once", "villain", "twice", "scoundrel", "thrice"]
+    texts = []
+    for k in range(9 * len(bad)):  # 90 % of the toxic labels
+        own = list(text)
+        if near:
+            own[k % (len(text) - 6)] = f"{zlib.crc32(str(k).encode()):08x}"
+        texts.append(" ".join(own))
+    docs += [(10_000 + k, x, 0, "", "") for k, x in enumerate(texts)]
+    labels += [(10_000 + k, 1, 1, "") for k in range(len(texts))]
+    got = outcome(spark, toxicity, docs, labels, "toxic", remainder(5) != 0)
+    assert all(got[i].predicted == t for i, _, t, _ in labels[:600] + labels[-len(texts) :])
+    found = {term for r in got.values() for term in r.terms}
+    assert found <= {"wretched", "villain", "scoundrel", *(w[:n] for n in range(4, 9)
+                     for w in ("wretched", "villain", "scoundrel"))}
+
+
 def test_without_labels_and_empty_tables(spark):
     docs, labels = made(20)
     for run, column in ((quality, "quality"), (toxicity, "toxic")):
