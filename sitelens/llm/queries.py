@@ -128,4 +128,4 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with the lines that alignment deletes from it."""
-    return line_dedup.deleted_lines(table(spark, sf_dir, "documents")).drop("row")
+    return line_dedup.deleted_lines(table(spark, sf_dir, "documents"), every=True).drop("row")
