@@ -151,9 +151,17 @@ def contaminated_pairs(
     keys = ["doc", "doc_row", "item", "item_row"]
     pairs = (
         hits.groupBy(*keys)
-        .agg(F.collect_set(F.struct("seed", "pos")).alias("hits"))
+        .agg(
+            F.collect_set(F.struct("seed", "pos")).alias("hits"),
+            F.collect_set("seed").alias("found"),
+        )
         .join(sequences, ["item", "item_row"])
-        .filter(F.size(F.array_distinct("hits.seed")) * min_tile >= F.col("words") * coverage)
+        # Each place of the item with a seed that was found covers at most its words.
+        .filter(
+            F.size(F.filter("seeds", lambda s: F.array_contains("found", s))) * min_tile
+            >= F.col("words") * coverage
+        )
+        .drop("found")
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -92,6 +92,14 @@ def test_reordered_and_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8]
 
 
+def test_copies_of_repetitive_items(spark):
+    items = [(1, "word " * 20, "z"), (2, "one two three four five six " * 12, "z"), (3, ITEM, "z")]
+    texts = [items[0][1], items[1][1], "before " + items[0][1] + "after", "word " * 9]
+    rows = found(spark, [(i, t, 1, "s", "t") for i, t in enumerate(texts)], items)[0].collect()
+    got = sorted((r.doc_id, r.item_id, r.coverage) for r in rows)
+    assert got == [(0, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [(1, ITEM, "z")])[0].count() == 0
     assert found(spark, [(1, ITEM, 1, "s", "t")], [])[0].count() == 0
