@@ -14,6 +14,7 @@ from sitelens.llm import (
     line_dedup,
     packing,
     quality,
+    secret_scan,
     toxicity,
     url_rules,
 )
@@ -129,3 +130,53 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with the lines that alignment deletes from it."""
     return line_dedup.deleted_lines(table(spark, sf_dir, "documents"), every=True).drop("row")
+
+
+@_register
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def _secrets_sql() -> str:
+    """A match is found again by the texts between the matches that SQL splits off."""
+    parts = []
+    for k, rule in enumerate(secret_scan.RULES):
+        pattern = ("(?i)" if rule.fold else "") + rule.pattern
+        pattern = pattern.replace("\\x20", " ").replace("'", "''")
+        group = 2 if rule.head else 0
+        parts.append(
+            f"""SELECT key, {k} AS rank, '{rule.kind}' AS kind, {rule.least} AS least,
+       regexp_extract_all(text, '{pattern}') AS hits,
+       regexp_extract_all(text, '{pattern}', {group}) AS measured,
+       string_split_regex(text, '{pattern}') AS gaps
+FROM docs WHERE regexp_matches(text, '{pattern}')"""
+        )
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
+    counts = ", ".join(
+        f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES
+    )
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+steps AS (
+  SELECT key, rank, kind, least, generate_subscripts(hits, 1) AS i, unnest(hits) AS hit,
+         unnest(measured) AS part, unnest(gaps[:len(hits)]) AS gap FROM found),
+placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY key, rank ORDER BY i) AS stop FROM steps),
+spans AS (
+  SELECT key, rank, kind, stop - length(hit) AS start,
+         kind || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span
+  FROM placed WHERE length(part) >= least),
+per_doc AS (
+  SELECT key, {counts},
+         string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base,
+         string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY key)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per_doc USING (key)
+"""
+
+
+ORACLE["op11_secrets"] = _secrets_sql()
