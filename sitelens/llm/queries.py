@@ -13,6 +13,7 @@ from sitelens.llm import (
     licenses,
     line_dedup,
     packing,
+    periodic_runs,
     quality,
     secret_scan,
     toxicity,
@@ -180,3 +181,9 @@ FROM docs LEFT JOIN per_doc USING (key)
 
 
 ORACLE["op11_secrets"] = _secrets_sql()
+
+
+@_register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeat_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(docs))
