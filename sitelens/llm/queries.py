@@ -16,6 +16,7 @@ from sitelens.llm import (
     periodic_runs,
     quality,
     secret_scan,
+    token_alignment,
     toxicity,
     url_rules,
 )
@@ -187,3 +188,8 @@ ORACLE["op11_secrets"] = _secrets_sql()
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.repeat_tails(table(spark, sf_dir, "documents"))
     return periodic_runs.run_digest(periodic_runs.find_runs(docs))
+
+
+@_register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), with_groups=False)

@@ -93,7 +93,7 @@ def test_rows(spark):
     twelve = " ".join(["a"] * 12)
     rows = [
         (1, None, 0), (2, "", 0), (3, "\n\t ", 0), (4, "a " * 11, 0), (5, f"x  {twelve}\ny", 0), (5, f"x  {twelve}\ny", 0),
-        (None, "b a A a " * 3 + "b", 0), (7, "é è " * 6, 0), (8, "w " * 30_000, 0),
+        (None, "b a A a " * 3 + "b", 0), (7, "é è\u00a0" * 6, 0), (8, "w " * 30_000, 0),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
     got = [(r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in find_runs(docs).collect()]
@@ -103,7 +103,7 @@ def test_rows(spark):
             (4, 11, [], " ".join("a" * 11)),
             *[(5, 14, [(1, 12, 1)], "x a y")] * 2,
             (None, 13, [(0, 13, 4)], "b a A a"),
-            (7, 7, [], "é è é è é è é è é è é è "),
+            (7, 7, [], "é è\u00a0é è\u00a0é è\u00a0é è\u00a0é è\u00a0é è\u00a0"),
             (8, 30_000, [(0, 30_000, 1)], "w"),
         ],
         key=str,

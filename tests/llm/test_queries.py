@@ -16,7 +16,7 @@ from tests.llm.test_jaccard_join import brute  # noqa: E402
 
 def test_every_operator_has_one_query():
     names = list(__spark_entry__.queries())
-    for n in range(1, 12):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
