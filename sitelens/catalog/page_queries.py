@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.catalog import inputs as I
 from sitelens.catalog.registry import Registry, flatten_lists, scratch
 from sitelens.catalog.sql import EMAILS, HOST, PHONES, UNESCAPED, distinct_list, norm, tidy
+from sitelens.functions.cells import list_cell
 from sitelens.functions import text, urls
 from sitelens.operators.context import join_context
 from sitelens.operators.extract import Page, extract_fields, shred_for
@@ -124,7 +125,7 @@ def _one_link_field(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fields = read_fields([{"name": "links", "type": kind, "many": True}])
         found = extract_fields(_contact_pages(spark, sf_dir), fields, ["page_id"])
-        return found.select("page_id", text.csv_text(F.col("links"), True).alias("links"))
+        return found.select("page_id", list_cell("links").alias("links"))
 
     return run
 
@@ -195,7 +196,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
     return found.select(
-        "page_id", "page_title", text.csv_text(F.col("headings"), True).alias("headings"),
+        "page_id", "page_title", list_cell("headings").alias("headings"),
         "meta_description", "business_name",
     )
 

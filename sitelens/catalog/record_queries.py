@@ -279,3 +279,31 @@ def clean_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kinds = {"c_custkey": "bigint", "c_nationkey": "bigint", "c_acctbal": "double"}
     return result.rows.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in result.rows.columns])
+
+
+@query(
+    "replace_output",
+    """
+SELECT 'kept' AS state, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer
+UNION ALL SELECT 'replaced', CAST(c_custkey AS VARCHAR), upper(c_name), c_mktsegment FROM customer WHERE c_custkey % 2 = 0
+""",
+)
+def replace_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two outputs hold: after a write that fails, and after one that reads its target."""
+    customers = I.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    kept, replaced = scratch(customers, "customers"), scratch(customers, "customers")
+    for path in (kept, replaced):
+        write_csv(customers, path)
+    failing = F.when(F.col("c_custkey") % 10 == 7, F.raise_error(F.lit("no name"))).otherwise(F.col("c_name"))
+    try:
+        write_csv(customers.withColumn("c_name", failing), kept)
+    except Exception as error:
+        if "no name" not in str(error):
+            raise
+    even = read_csv(spark, replaced).filter("c_custkey % 2 = 0")
+    write_csv(even.withColumn("c_name", F.upper("c_name")), replaced)
+    parts = [
+        read_csv(spark, path).withColumn("state", F.lit(state))
+        for state, path in (("kept", kept), ("replaced", replaced))
+    ]
+    return parts[0].unionByName(parts[1])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions import text
+from sitelens.functions.cells import csv_cell
 from sitelens.operators.skew import checkpoint_dir
 
 
@@ -36,7 +36,7 @@ def flatten_lists(df: DataFrame) -> DataFrame:
     """Arrays joined by "; "; other columns unchanged."""
     return df.select(
         *[
-            text.csv_text(F.col(f.name), True).alias(f.name)
+            csv_cell(F.col(f.name), f.dataType).alias(f.name)
             if f.dataType.typeName() == "array"
             else F.col(f.name)
             for f in df.schema.fields

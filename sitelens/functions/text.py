@@ -123,20 +123,6 @@ def strip_trailing_timestamp(c: Column) -> Column:
     return F.when(cut == "", base).otherwise(cut)
 
 
-def csv_text(c: Column, is_list: bool) -> Column:
-    """The text a value takes in a CSV cell."""
-    if not is_list:
-        return F.coalesce(c.cast("string"), F.lit(""))
-    kept = F.filter(c, lambda x: x.isNotNull() & (x != ""))
-    return F.coalesce(F.array_join(kept, "; "), F.lit(""))
-
-
-def csv_map(c: Column) -> Column:
-    """A map value in a CSV cell: JSON with its keys in order."""
-    entries = F.map_from_entries(F.array_sort(F.map_entries(c)))
-    return F.coalesce(F.to_json(entries), F.lit(""))
-
-
 def list_literal(items: Column) -> Column:
     """The text Python prints for a list of strings, used for length scoring."""
     quoted = F.transform(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import text
+from sitelens.functions.cells import csv_cell
 from sitelens.functions.transforms import apply_chain
 from sitelens.operators.extract import default_value
 from sitelens.plans.spec import FieldSpec, ShapingSpec
@@ -258,15 +259,7 @@ def cleanup_counters(df: DataFrame, shaping: ShapingSpec) -> DataFrame:
 
 def flatten_for_csv(df: DataFrame) -> DataFrame:
     """Every column as CSV text: lists joined by "; ", maps as JSON, nulls empty."""
-    columns = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.MapType, T.StructType)):
-            value = text.csv_map(c) if isinstance(f.dataType, T.MapType) else F.to_json(c)
-        else:
-            value = text.csv_text(c, isinstance(f.dataType, T.ArrayType))
-        columns.append(value.alias(f.name))
-    return df.select(*columns)
+    return df.select(*[csv_cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def output_columns(
@@ -283,3 +276,9 @@ def output_columns(
         *[f.name for f in fields], *[f.name for f in detail_fields], "source_urls",
     ]
     return shaped_columns(list(dict.fromkeys([*preferred, *row_columns])), shaping)
+
+
+def in_output_order(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of ``rows`` as ``output_columns`` orders them; others after them."""
+    first = [c for c in columns if c in rows.columns]
+    return rows.select(*first, *[c for c in rows.columns if c not in first])

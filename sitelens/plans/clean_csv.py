@@ -17,6 +17,9 @@ def clean_csv(df: DataFrame, steps: Sequence[Mapping]) -> tuple[Result, list]:
     rows, observed = run_modules(df, steps)
     names = rows.columns
     return Result(
+        columns=names,
+        fields=names,
+        mode="clean_csv",
         rows=rows,
         coverage=lambda: field_coverage(rows, names),
         summary=lambda: quality_summary(rows, names),

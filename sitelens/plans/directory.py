@@ -25,6 +25,8 @@ from sitelens.operators.quality import field_coverage, quality_summary
 from sitelens.operators.records import (
     cleanup_counters,
     count_warnings,
+    in_output_order,
+    output_columns,
     process_records,
     shape_records,
 )
@@ -257,12 +259,19 @@ def _issues(
 def _finish(spec, walked, visits, budget, rows, issue_columns, names, details, rendered) -> Result:
     ordered = rows.orderBy(*ORDER).drop(*ORDER, *issue_columns, *BOOKKEEPING)
     shaped = shape_records(ordered, spec.shaping)
+    columns = output_columns(
+        shaped.columns, spec.fields, spec.detail_fields, spec.shaping, spec.schema_columns
+    )
+    shaped = in_output_order(shaped, columns)
 
     @cache
     def pages() -> DataFrame:
         return cut_lineage(_processed(visits, budget))
 
     return Result(
+        columns=columns,
+        fields=names,
+        mode=spec.mode,
         rows=shaped,
         visits=visits,
         targets=lambda: _target_report(walked, pages(), budget, details),

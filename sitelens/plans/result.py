@@ -6,7 +6,7 @@ wants the rows does not pay for the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -28,11 +28,20 @@ TABLES = [
 class Result:
     """``result.rows``, ``result.targets`` and so on; None for tables a job lacks."""
 
-    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+    def __init__(
+        self,
+        columns: Sequence[str] = (),
+        fields: Sequence[str] = (),
+        mode: str | None = None,
+        **tables: DataFrame | Callable[[], DataFrame],
+    ) -> None:
         unknown = set(tables) - set(TABLES)
         if unknown:
             raise TypeError(f"Unknown result tables: {sorted(unknown)}")
         self._tables = tables
+        self.columns = list(columns)  # output columns in order, also those that no row has
+        self.fields = list(fields)  # configured fields
+        self.mode = mode
 
     def __getattr__(self, name: str) -> DataFrame | None:
         if name not in TABLES:

@@ -18,6 +18,8 @@ from sitelens.operators.quality import field_coverage, quality_summary
 from sitelens.operators.records import (
     cleanup_counters,
     count_warnings,
+    in_output_order,
+    output_columns,
     shape_records,
 )
 from sitelens.operators.skew import cut_lineage, salted_join
@@ -114,12 +116,19 @@ def site_scan(
     shaped = shape_records(ordered, spec.shaping)
     if contexts is not None:
         shaped = join_context(shaped, contexts)
+    columns = output_columns(
+        shaped.columns, spec.fields, shaping=spec.shaping, schema_columns=spec.schema_columns
+    )
+    shaped = in_output_order(shaped, columns)
     reached = visits
     if budget is not None:
         reached = visits.join(
             budget.filter("reached").select("target_idx"), "target_idx", "left_semi"
         )
     return Result(
+        columns=columns,
+        fields=names,
+        mode=spec.mode,
         rows=shaped,
         visits=visits,
         targets=lambda: _target_report(reached, page_rows),

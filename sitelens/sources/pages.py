@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls
+from sitelens.sources.replace import replacing
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -85,4 +86,5 @@ def number_pages(visits: DataFrame, seed: str = "seed", rank: str = "visit_rank"
 def store_raw_pages(visits: DataFrame, path: str) -> None:
     """Write labelled raw pages (seed, label, url, html); pages without HTML are skipped."""
     kept = visits.filter(F.col("html").isNotNull() & (F.col("html") != ""))
-    label_pages(kept).select("seed", "label", "url", "html").write.mode("overwrite").parquet(path)
+    with replacing(visits.sparkSession, path) as target:
+        label_pages(kept).select("seed", "label", "url", "html").write.parquet(target)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import text, urls
+from sitelens.sources.replace import standing
 
 
 def read_text_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +31,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         .option("escape", '"')
         .option("nullValue", "\x00")
         .option("emptyValue", "")
-        .csv(path)
+        .csv(standing(spark, path))
     )
     if not df.columns:
         raise ValueError(f"CSV input {path} has no header row")

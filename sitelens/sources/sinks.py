@@ -1,4 +1,4 @@
-"""Writers. Spark's commit protocol makes every write all-or-nothing."""
+"""Writers. Each replaces its output whole or leaves it as it was (see ``replace``)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.operators.records import flatten_for_csv, flattened
+from sitelens.plans.report import run_report
 from sitelens.plans.result import Result
 from sitelens.plans.spec import ShapingSpec, read_shaping
+from sitelens.sources.replace import replacing
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
@@ -22,9 +24,8 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     ordered = [F.col(c) if c in df.columns else F.lit("").alias(c) for c in preferred]
     ordered += [F.col(c) for c in df.columns if c not in preferred]
     flat = flatten_for_csv(df.select(*ordered))
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "emptyValue", ""
-    ).csv(path)
+    with replacing(df.sparkSession, path) as target:
+        flat.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(target)
 
 
 def json_value(name: str, c: Column, kind: T.DataType, shaping: ShapingSpec) -> Column:
@@ -40,17 +41,30 @@ def write_json(df: DataFrame, path: str, shaping=None) -> None:
     """JSON Lines. Nulls are left out of a row when empty fields are dropped."""
     shaping = read_shaping(shaping)
     columns = [json_value(f.name, F.col(f.name), f.dataType, shaping).alias(f.name) for f in df.schema.fields]
-    df.select(*columns).write.mode("overwrite").option(
-        "ignoreNullFields", shaping.drop_empty_fields
-    ).json(path)
+    with replacing(df.sparkSession, path) as target:
+        df.select(*columns).write.option("ignoreNullFields", shaping.drop_empty_fields).json(target)
 
 
-def write_report(result: Result, path: str) -> None:
-    """The report tables of a job, one JSON folder each."""
-    for name in ("targets", "issues", "warnings", "cleanup", "coverage", "summary", "limits", "stats"):
-        table = getattr(result, name)
-        if table is not None:
-            table.write.mode("overwrite").json(f"{path}/{name}")
+# Tables of a result that are written beside its report.
+REPORT_TABLES = ["targets", "issues", "warnings", "cleanup", "coverage", "summary", "limits", "stats"]
+
+
+def write_report(result: Result, path: str, **about) -> None:
+    """Replace ``path`` by the report of a run: one nested record under run_report.json,
+    and the tables of the result, a JSON folder each. ``about`` is what ``run_report`` takes."""
+    with replacing(result.rows.sparkSession, path) as target:
+        run_report(result, **about).coalesce(1).write.json(f"{target}/run_report.json")
+        for name in REPORT_TABLES:
+            table = getattr(result, name)
+            if table is not None:
+                table.write.json(f"{target}/{name}")
+
+
+def write_results(result: Result, path: str, shaping=None, **about) -> None:
+    """The rows of a job as CSV and JSON in its output columns, and its report."""
+    write_csv(result.rows, f"{path}/results.csv", result.columns)
+    write_json(result.rows, f"{path}/results.json", shaping)
+    write_report(result, f"{path}/report", **about)
 
 
 def write_with_cleaned(

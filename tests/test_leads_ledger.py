@@ -224,7 +224,7 @@ def test_sinks(spark, tmp_path):
     back = seeds.read_csv(spark, path)
     assert back.columns == ["t", "missing", "emails", "n", "extra"]
     got = {r["emails"]: r for r in back.collect()}
-    assert got["one@example.com; two@example.com"]["extra"] == '{"a":"1","b":"2"}'
+    assert got["one@example.com; two@example.com"]["extra"] == '{"a": "1", "b": "2"}'
     assert got["one@example.com; two@example.com"]["t"] == 'q "x", y' and got["solo"]["n"] == "3"
     sinks.write_json(rows, str(tmp_path / "json"), {"flatten_fields": ["emails"], "drop_empty_fields": True})
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "json")).collect())
