@@ -41,7 +41,7 @@ from sitelens.llm.segments import Coder, Segments, coder
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Characters and documents of a part; a longer text is a part of its own.
-PART_CHARS = 12 << 20
+PART_CHARS = 4 << 20
 PART_DOCS = 1 << 16
 
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
