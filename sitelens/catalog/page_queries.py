@@ -299,6 +299,61 @@ def xpath_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_lists(found.drop("url", "shred_error"))
 
 
+@query(
+    "xpath_axes",
+    f"""
+WITH p AS (SELECT page_id, {_NAV_TEXTS} AS texts, {_H1} AS h1,
+  {tidy("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS ad FROM pages),
+q AS (SELECT *, texts[1:2] AS two, texts[2:] AS after, list_filter(texts, lambda x: contains(x, 'e')) AS with_e,
+  list_filter([ad, h1], lambda x: x <> '') AS heads, texts[:len(texts) - 1] AS before FROM p)
+SELECT page_id, array_to_string({distinct_list('two')}, '; ') AS first_two,
+  array_to_string({distinct_list('after')}, '; ') AS after_first, array_to_string({distinct_list('texts')}, '; ') AS owners,
+  array_to_string({distinct_list('heads')}, '; ') AS heads, array_to_string({distinct_list('with_e')}, '; ') AS with_e,
+  array_to_string({distinct_list('before')}, '; ') AS before_last, h1 AS found_by_position
+FROM q
+""",
+)
+def xpath_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of many elements by paths that no selector expresses."""
+    fields = read_fields(
+        [
+            {"name": "first_two", "xpath": "//nav//li[position()<3]", "many": True},
+            {"name": "after_first", "xpath": "//nav//li[1]/following-sibling::li", "many": True},
+            {"name": "owners", "xpath": "//nav//li/a/..", "many": True},
+            {"name": "heads", "xpath": "//article/h1 | //div[@class='ad']", "many": True},
+            {"name": "with_e", "xpath": "//nav//a[@href and contains(text(), 'e')]", "many": True},
+            {"name": "before_last", "xpath": "//ul[li/a]/li[last()]/preceding-sibling::*[self::li]", "many": True},
+            {"name": "found_by_position", "xpath": "(//*[self::h1 or self::h2][normalize-space()])[1]"},
+        ]
+    )
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
+    return flatten_lists(found.drop("url", "shred_error"))
+
+
+@query(
+    "selector_forward",
+    f"""
+SELECT page_id, texts[3] AS third, texts[len(texts)] AS last, texts[len(texts) - 1] AS before_last, h1, 'utf-8' AS charset,
+  {tidy("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS no_list
+FROM (SELECT page_id, html, {_NAV_TEXTS} AS texts, {_H1} AS h1 FROM pages) p
+""",
+)
+def selector_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors that depend on what comes later in the page."""
+    fields = read_fields(
+        [
+            {"name": "third", "selector": "nav:has(li) li:nth-child(2 of :not(:first-child)) a"},
+            {"name": "last", "selector": "nav li:last-child a"},
+            {"name": "before_last", "selector": "li:has(+ li:last-child) > a"},
+            {"name": "h1", "selector": "article:has(> h1) > h1:not(nav h1)"},
+            {"name": "charset", "selector": "head > :is(meta, link):empty", "attribute": "charset"},
+            {"name": "no_list", "selector": "body > :is(div, nav):not(:has(ul))"},
+        ]
+    )
+    found = extract_fields(I.texts(spark, sf_dir, "pages"), fields, ["page_id"])
+    return flatten_lists(found.drop("url", "shred_error"))
+
+
 @query(
     "listing_records",
     f"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import contacts, text, urls
 from sitelens.operators import xpath as xp
 from sitelens.operators.css import Selector, compile_selector
-from sitelens.operators.shred import OWN_TEXT_TAGS, NodeNeeds, shred
+from sitelens.operators.shred import MARK, OWN_TEXT_TAGS, NodeNeeds, shred
 from sitelens.plans.spec import FieldSpec
 
 # Hosts of social profiles, and words that mark a contact page.
@@ -269,24 +269,44 @@ def field_needs(field: FieldSpec) -> NodeNeeds:
     if field.selector:
         return compile_selector(field.selector).needs() | value_needs(field.attribute)
     if field.xpath:
-        if field.many and not xp.selects_strings(field.xpath):
+        xp.check(field.xpath)
+        if field.many and not xp.is_scalar(field.xpath) and not xp.selects_strings(field.xpath):
             css = xp.as_css(field.xpath)
             if css is None:
-                raise ValueError(f"XPath {field.xpath!r} cannot return many element texts")
+                return NodeNeeds(xhtml=True, numbered=True, text=True)
             return compile_selector(css).needs() | NodeNeeds(text=True)
         return NodeNeeds(xhtml=True)
     return NodeNeeds()
 
 
+def _element_text(page: Page, node: Column) -> Column:
+    """Text of an element as XPath has it. Scripts and styles inside it are left out."""
+    own = node.tag.isin(sorted(OWN_TEXT_TAGS))
+    return F.when(own, F.coalesce(node.raw, F.lit(""))).otherwise(node_content(page.texts, node))
+
+
 def _xpath_value(page: Page, path: str, many: bool) -> Column:
+    if xp.is_scalar(path):
+        value = text.clean_whitespace(F.xpath_string(page.xhtml, F.lit(path)))
+        return text.ordered_distinct(F.array(value)) if many else value
     if xp.selects_strings(path):
         values = F.xpath(page.xhtml, F.lit(path))
         return pick(text.ordered_distinct(F.transform(values, text.clean_whitespace)), many)
-    if many:
-        selector = compile_selector(xp.as_css(path))
+    if not many:
+        return text.clean_whitespace(F.xpath_string(page.xhtml, F.lit(xp.first_filled(path))))
+    css = xp.as_css(path)
+    if css is not None:
+        selector = compile_selector(css)
         found = F.filter(page.nodes, lambda n: selector.matches(n))
-        return text.ordered_distinct(F.transform(found, lambda n: node_content(page.texts, n)))
-    return text.clean_whitespace(F.xpath_string(page.xhtml, F.lit(path)))
+        return text.ordered_distinct(F.transform(found, lambda n: _element_text(page, n)))
+    values = F.xpath(page.xhtml, F.lit(xp.numbered(path)))
+
+    def value(item: Column) -> Column:
+        place = F.substring(item, 2, 9).try_cast("int")
+        node = F.get(page.nodes, place)
+        return F.when(item.startswith(MARK), _element_text(page, node)).otherwise(text.clean_whitespace(item))
+
+    return text.ordered_distinct(F.transform(values, value))
 
 
 def field_value(page: Page, field: FieldSpec) -> Column:

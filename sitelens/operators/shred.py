@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.operators.matching import Frame, Matcher
+from sitelens.operators.matching import Frame, Matcher, PageTree
 
 ROWS_PER_OUTPUT_BATCH = 200
+# In a numbered copy each element begins with ``<?n MARKk?>``, k being its place in nodes.
+NUMBER, MARK = "n", "\ue000"
 
 SHRED_DDL = (
     "nodes ARRAY<STRUCT<pos:INT, last:INT, hits:ARRAY<STRING>, tag:STRING, "
@@ -41,6 +43,7 @@ class NodeNeeds:
     everything: bool = False  # keep all elements
     text: bool = False
     xhtml: bool = False
+    numbered: bool = False  # keep all elements, and write their numbers into ``xhtml``
 
     def __or__(self, other: NodeNeeds) -> NodeNeeds:
         return NodeNeeds(
@@ -51,11 +54,12 @@ class NodeNeeds:
             self.everything or other.everything,
             self.text or other.text,
             self.xhtml or other.xhtml,
+            self.numbered or other.numbered,
         )
 
     @property
     def any_nodes(self) -> bool:
-        return bool(self.tags or self.having or self.selectors or self.everything)
+        return bool(self.tags or self.having or self.selectors or self.everything or self.numbered)
 
     @property
     def needs_shred(self) -> bool:
@@ -144,6 +148,7 @@ class _PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.needs = needs
         self.matcher = Matcher(needs.selectors) if needs.selectors else None
+        self.keep_all = needs.everything or needs.numbered
         self.out = _Columns()
 
     def read(self, html: str | None) -> None:
@@ -154,6 +159,8 @@ class _PageReader(HTMLParser):
         self.first_node, self.first_text = len(out.pos), len(out.texts)
         self.stack: list[tuple[str, int, bool, Frame | None]] = []  # tag, kept node or -1, in xhtml
         self.outside = Frame() if self.matcher else None
+        self.tree = PageTree() if self.matcher and self.matcher.ahead else None
+        self.branch: list[int] = []  # the open elements in the tree
         self.kept: list[int] = []  # positions of the open kept elements
         self.open_raw: list[tuple[int, list[str]]] = []
         self.buffer: list[str] = []
@@ -170,6 +177,10 @@ class _PageReader(HTMLParser):
         self._flush()
         while self.stack:
             self._pop()
+        if self.tree:
+            for element, selector in self.tree.settle(self.matcher.ahead):
+                if self.tree.kept[element] >= 0:
+                    out.hits[self.tree.kept[element]].append(selector)
         xhtml = "".join(self.xml) if self.needs.xhtml else None
         out.end_page(xhtml or None, error)
 
@@ -186,7 +197,9 @@ class _PageReader(HTMLParser):
                 value = value or ""
                 values.setdefault(name, " ".join(value.split()) if name == "class" else value)
             frame, hits, late = self.matcher.enter(parent, tag, values)
-        keep = needs.everything or tag in needs.tags or bool(hits or late)
+        keep = self.keep_all or tag in needs.tags or bool(hits or late)
+        if not keep and self.tree is not None:
+            keep = self.matcher.may_match(tag, values)
         if not keep and needs.having:
             keep = any(name in needs.having for name, _ in attrs)
         if keep:
@@ -210,6 +223,9 @@ class _PageReader(HTMLParser):
             out.t0.append(texts)
             out.t1.append(texts)
             out.raw.append(None)
+        if self.tree is not None:
+            above = self.branch[-1] if self.branch else -1
+            self.branch.append(self.tree.add(tag, values, above, self.first_node + position if keep else -1))
         in_xml = False
         if needs.xhtml and _XML_NAME.match(tag):
             in_xml = True
@@ -219,6 +235,8 @@ class _PageReader(HTMLParser):
                 + "".join(f" {n}={quoteattr(_NOT_XML.sub('', v or ''))}" for n, v in unique.items())
                 + ">"
             )
+            if needs.numbered:
+                self.xml.append(f"<?{NUMBER} {MARK}{position}?>")
         self.stack.append((tag, position, in_xml, frame))
         if position >= 0:
             self.kept.append(position)
@@ -228,6 +246,8 @@ class _PageReader(HTMLParser):
     def _pop(self) -> None:
         tag, position, in_xml, frame = self.stack.pop()
         out = self.out
+        if self.branch:
+            self.branch.pop()
         if frame and frame.waiting:
             for node, selector in self.matcher.settled(frame):
                 out.hits[node].append(selector)
@@ -341,8 +361,11 @@ class _PageReader(HTMLParser):
             self.xml.append(escape(_NOT_XML.sub("", data)))
         if self.open_raw:
             if words:
+                self._fill()
                 self.open_raw[-1][1].append(" ".join(words))
             return
+        if words:
+            self._fill()
         if not words:
             self.space = True
             return
@@ -351,6 +374,11 @@ class _PageReader(HTMLParser):
             self.out.texts.append(glue + " ".join(words))
         self.space = data[-1].isspace()
 
+    def _fill(self) -> None:
+        """The open element has text."""
+        if self.branch:
+            self.tree.filled[self.branch[-1]] = True
+
     def _in_head_text(self) -> bool:
         return bool(self.stack) and self.stack[-1][0] in HEAD_TAGS
 
