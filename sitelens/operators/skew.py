@@ -41,26 +41,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored_by(df: DataFrame, key: str, deal: bool = False) -> DataFrame:
+def stored_by(df: DataFrame, key: str | Sequence[str], deal: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table bucketed by ``key`` and read it back.
 
     Joins and groups on the key then need no exchange of this side, and reads take
     only the columns they use. ``deal`` moves the rows to their buckets first; leave
     it out when a join or group on the key has just done that. The files lie beside
-    the checkpoints, so lost executors cost a read.
+    the checkpoints, so lost executors cost a read; ``drop_stored`` deletes them.
     """
     spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"sitelens_{uuid.uuid4().hex}"
-    rows = df.repartition(buckets, key) if deal else df
+    path = f"{checkpoint_dir(df)}/{name}"
+    rows = df.repartition(buckets, *keys) if deal else df
     (
         rows.write.format("parquet")
-        .option("path", f"{checkpoint_dir(df)}/{name}")
-        .bucketBy(buckets, key)
-        .sortBy(key)
+        .option("path", path)
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
         .saveAsTable(name)
     )
-    return spark.table(name)
+    table = spark.table(name)
+    table.stored_as = (name, path)
+    return table
+
+
+def drop_stored(table: DataFrame) -> None:
+    """Delete a table that ``stored_by`` has written, once nothing reads it any more."""
+    spark = table.sparkSession
+    name, path = table.stored_as
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def hot_keys(

@@ -140,7 +140,7 @@ def site_scan(
         limits=lambda: limits_report(
             _budget(rows, seeds, spec) if budget is None else budget, spec.max_records
         ),
-        frontier=scanned.frontier,
+        frontier=lambda: scanned.frontier,
     )
 
 
