@@ -288,7 +288,12 @@ FROM events WHERE event_type NOT IN ('view', 'click')
 )
 def stats_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events")
+    # Every event comes twice; each job counts once.
+    twice = F.explode(F.array(F.lit(0), F.lit(1)))
     finished = events.select(
+        F.col("event_id").cast("string").alias("job_id"),
+        F.col("ts").cast("timestamp").alias("finished_at"),
+        twice.alias("again"),
         F.when(F.col("event_type").isin("purchase", "signup"), "completed")
         .when(F.col("event_type") == "view", "queued")
         .when(F.col("event_type") == "click", "running")
@@ -296,7 +301,7 @@ def stats_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("status"),
         (F.floor("value") - 5).alias("row_count"),
     )
-    totals = stats_stream(finished)
+    totals = stats_stream(finished, "60 days")
     path = scratch(totals, "stats")
     # Running totals are one row per batch; every batch replaces the last.
     started = (
@@ -310,17 +315,43 @@ def stats_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(totals.schema).parquet(f"{path}/out")
 
 
-@query("throttle_stream", _THROTTLE)
-def throttle_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    events = _stream(spark, sf_dir, "events")
-    submitted = events.select(
+# Files that the throttle stream reads one by one, and how late an event may be in them.
+_SLICE, _LATE = 10 * 86400, 43200
+
+
+def _arriving(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Events as files of ten days each, where an event may lie up to half a day late, and
+    at last a row without an event that only carries a later time."""
+    moment = F.unix_seconds(F.col("ts").cast("timestamp"))
+    events = I.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("submission_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("user_id") % 20 == 3, F.lit(None)).otherwise(F.col("user_id").cast("string")).alias("client_ip"),
+        F.floor((moment + F.pmod(F.xxhash64("event_id"), F.lit(_LATE))) / _SLICE).alias("slice"),
     )
-    verdicts = throttle_stream(submitted, _N, _WINDOW)
+    bounds = events.agg(F.min("slice"), F.max("slice"), F.max("ts")).first()
+    if bounds[0] is None:
+        events.drop("slice").write.parquet(path)
+        return
+    for k in range(bounds[0], bounds[1] + 1):
+        events.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    later = F.lit(bounds[2]) + F.make_dt_interval(F.lit(60))
+    clock = spark.range(1).select(
+        F.lit(None).cast("bigint").alias("submission_id"), later.alias("ts"), F.lit(None).cast("string").alias("client_ip")
+    )
+    clock.write.mode("append").parquet(path)
+
+
+@query("throttle_stream", _THROTTLE)
+def throttle_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in several micro-batches, not in order of time."""
+    path = scratch(I.table(spark, sf_dir, "events"), "submitted")
+    _arriving(spark, sf_dir, path)
+    schema = "submission_id bigint, ts timestamp, client_ip string"
+    submitted = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    verdicts = throttle_stream(submitted, _N, _WINDOW, f"{_LATE} seconds")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     spark.conf.set(
         provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )

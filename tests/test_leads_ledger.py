@@ -159,28 +159,6 @@ def test_throttle_against_a_plain_loop(spark, run_rows):
     assert {r.submission_id: r.accepted for r in got} == want and len(got) == 600
 
 
-def test_throttle_stream_over_micro_batches(spark, tmp_path):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    rng = random.Random(6)
-    events = [(i, rng.choice("ab"), i * 7 + rng.randrange(5)) for i in range(80)]
-    source = str(tmp_path / "in")
-    for start in (0, 40):
-        submissions(spark, events[start : start + 40]).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("submission_id bigint, client_ip string, ts timestamp").option(
-        "maxFilesPerTrigger", 1
-    ).parquet(source)
-    run = (
-        throttle_stream(stream, 2, 60).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    got = {r.submission_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == greedy(events, 2, 60)
-
-
 # -- sources and sinks ------------------------------------------------------------
 
 
