@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,13 @@ from sitelens.catalog import inputs as I
 from sitelens.catalog.registry import Registry, flatten_lists, scratch
 from sitelens.catalog.sql import EMAILS, distinct_list, tidy
 from sitelens.operators import jobs as J
+from sitelens.operators.limits import limits_report
+from sitelens.operators.quality import field_coverage, quality_summary
 from sitelens.operators.throttle import throttle
+from sitelens.plans.result import Result
 from sitelens.plans.spec import read_fields
+from sitelens.sources.ledger import read_reports, scan_jobs
+from sitelens.sources.sinks import write_report
 from sitelens.streaming.jobs import extract_stream, stats_stream, throttle_stream
 
 query = Registry()
@@ -211,6 +218,134 @@ def safe_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.screen_targets(I.derive(spark, sf_dir, _SUBMITTED, I.texts)).select("event_id", "reject_reason")
 
 
+# -- ledger and report files ----------------------------------------------------------
+
+# The last event of every user as a job entry; some files are broken or no entry.
+_ENTRIES = """
+SELECT user_id, event_id, event_type, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM {events}) e WHERE n = 1
+"""
+
+
+@query(
+    "ledger_scan",
+    f"""
+SELECT user_id, CASE WHEN user_id % 11 = 5 OR user_id % 13 = 4 THEN NULL WHEN user_id % 17 = 3 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS job_id,
+  CASE WHEN user_id % 11 = 5 OR user_id % 13 = 4 THEN NULL ELSE event_type END AS status,
+  CASE WHEN user_id % 11 = 5 OR user_id % 13 = 4 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS finished_at,
+  CASE WHEN user_id % 11 = 5 OR user_id % 13 = 4 THEN NULL ELSE concat('/out dir/', CAST(user_id AS VARCHAR)) END AS output_dir,
+  CASE WHEN user_id % 11 = 5 OR user_id % 13 = 4 THEN 'not a JSON object' WHEN user_id % 17 = 3 THEN 'no job_id' END AS problem
+FROM ({I.as_sql(_ENTRIES)}) e
+""",
+)
+def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per user, written and scanned; what is no entry is a row of its own."""
+    entries = I.derive(spark, sf_dir, _ENTRIES)
+    root = scratch(entries, "ledger")
+    entry = F.to_json(
+        F.struct(
+            F.when(F.col("user_id") % 17 != 3, F.col("event_id").cast("string")).alias("job_id"),
+            F.col("event_type").alias("status"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("finished_at"),
+            F.concat(F.lit("file:/out dir/"), F.col("user_id").cast("string"), F.lit("/")).alias("output_dir"),
+            F.lit("yes").alias("worker_alive"),
+        )
+    )
+    text = (
+        F.when(F.col("user_id") % 11 == 5, F.concat(F.substring(entry, 1, 20), F.lit("\n")))
+        .when(F.col("user_id") % 13 == 4, F.concat(F.lit("["), entry, F.lit("]")))
+        .otherwise(entry)
+    )
+    files = entries.select(
+        F.col("user_id").alias("user"), F.lit("job.json").alias("file"), text.alias("value")
+    ).repartition("user")
+    files.write.partitionBy("user", "file").text(root)
+    found = scan_jobs(spark, root, "user=*/file=job.json")
+    return found.select(
+        F.regexp_extract("path", r"/user=(\d+)/", 1).cast("bigint").alias("user_id"),
+        "job_id",
+        "status",
+        F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"),
+        "output_dir",
+        "problem",
+    )
+
+
+_MODES = ["site_scan", "directory_list", "directory_detail"]
+_STOP = "CASE WHEN user_id % 3 = 0 THEN 'max_pages_reached' ELSE 'no_next_page_found' END"
+
+
+@query(
+    "report_round_trip",
+    f"""
+WITH e AS (SELECT *, event_id % 3 AS k, concat(event_type, ': ', props) AS message FROM events),
+t AS (SELECT k, user_id, count(*) AS n FROM e GROUP BY 1, 2),
+runs AS (
+  SELECT k, count(*) AS row_count, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'signup') AS signups,
+    round(count(*) FILTER (event_type <> 'view') / count(*), 3) AS fill_rate FROM e GROUP BY 1),
+top AS (
+  SELECT k, message, count(*) AS n, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, message) AS place
+  FROM e WHERE event_type IN ('error', 'signup') GROUP BY 1, 2)
+SELECT CAST(r.k AS VARCHAR) AS job_id, ['site_scan', 'directory_list', 'directory_detail'][r.k + 1] AS mode, 'completed' AS status,
+  r.row_count AS records_extracted, (SELECT CAST(sum(n) AS BIGINT) FROM t WHERE t.k = r.k) AS crawl_pages_scanned,
+  (SELECT count(*) FROM t WHERE t.k = r.k) AS target_count, r.errors AS error_count, r.signups AS signup_limits,
+  top.message AS top_message, top.n AS top_count, r.fill_rate, '65.250s' AS run_duration,
+  'max_pages_reached; no_next_page_found' AS stop_reasons, false AS max_records_hit
+FROM runs r JOIN top ON top.k = r.k AND top.place = 1
+""",
+)
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of three runs, written by one writer, read by the other, joined to their jobs."""
+    events = I.table(spark, sf_dir, "events")
+    root = scratch(events, "reports")
+    started = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    for k, mode in enumerate(_MODES):
+        rows = events.filter(F.col("event_id") % 3 == k).select(
+            F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"),
+            "event_type",
+            "user_id",
+            F.concat(F.col("event_type"), F.lit(": "), F.col("props")).alias("message"),
+        )
+        targets = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("pages_crawled"))
+        category = F.when(F.col("event_type") == "error", "page_fetch_failed").otherwise("max_records_reached")
+        result = Result(
+            fields=["kind"],
+            mode=mode,
+            rows=rows,
+            targets=targets.withColumn("stop_reason", F.expr(_STOP)),
+            issues=rows.filter(F.col("event_type").isin("error", "signup")).select(category.alias("category"), "message"),
+            coverage=field_coverage(rows, ["kind"]),
+            summary=quality_summary(rows, ["kind"]),
+            limits=limits_report(spark.createDataFrame([], "cap_noticed boolean, cut_records bigint"), 500),
+        )
+        ended = started + datetime.timedelta(seconds=65.25)
+        write_report(result, f"{root}/{k}/report", run_name=mode, started_at=started, ended_at=ended)
+    reports = read_reports(spark, root)
+    jobs = reports.select(
+        F.regexp_extract("output_dir", "([^/]+)$", 1).alias("job_id"),
+        F.lit("completed").alias("status"),
+        "output_dir",
+        F.lit(None).cast("timestamp").alias("started_at"),
+        F.lit(None).cast("timestamp").alias("finished_at"),
+    )
+    more = reports.select(
+        F.regexp_extract("output_dir", "([^/]+)$", 1).alias("job_id"),
+        "mode",
+        "target_count",
+        "error_count",
+        F.col("diagnostics.non_fatal_issue_counts")["max_records_reached"].alias("signup_limits"),
+        F.col("diagnostics.non_fatal_issue_messages")[0].message.alias("top_message"),
+        F.col("diagnostics.non_fatal_issue_messages")[0]["count"].alias("top_count"),
+        F.col("quality_metrics.configured_field_coverage")["kind"].fill_rate.alias("fill_rate"),
+        F.array_join("pagination_stopped_reasons", "; ").alias("stop_reasons"),
+        F.col("limits.max_records_hit").alias("max_records_hit"),
+    )
+    status = J.job_status(jobs, reports).select(
+        "job_id", "status", "records_extracted", "crawl_pages_scanned", "run_duration"
+    )
+    return status.join(more, "job_id")
+
+
 # -- throttle -----------------------------------------------------------------------
 
 _N, _WINDOW = 2, 24 * 3600

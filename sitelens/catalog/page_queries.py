@@ -18,7 +18,13 @@ from sitelens.operators.merge import contact_summary, merge_items, merge_pages,
 from sitelens.operators.skew import cut_lineage
 from sitelens.plans.spec import read_fields
 from sitelens.sources.pages import gate_pages, page_archive
-from sitelens.sources.seeds import assemble_targets, csv_seeds, read_csv, read_text_seeds
+from sitelens.sources.seeds import (
+    assemble_targets,
+    read_csv,
+    read_csv_seeds,
+    read_json_seeds,
+    read_text_seeds,
+)
 from sitelens.sources.sinks import write_csv, write_json
 
 query = Registry()
@@ -584,19 +590,78 @@ def seeds_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_text_seeds(spark, path).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A seed file for each hundred pages, in the order of their ids.
+_PART = "lpad(CAST(floor(page_id / 100) AS STRING), 6, '0')"
+
+
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """Seeds with the number of their file and their place in it."""
+    return seeds.select(
+        F.shiftright("pos", 33).alias("file"),
+        F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
+        "url",
+    )
+
+
+@query(
+    "seeds_files",
+    f"SELECT CAST(floor(page_id / 100) AS BIGINT) AS file, 3 * (page_id % 100) AS place, {norm('url')} AS url FROM pages",
+)
+def seeds_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of many text files, in the order of files and lines."""
+    pages = I.table(spark, sf_dir, "pages")
+    path = scratch(pages, "seeds")
+    lines = pages.select(
+        F.expr(_PART).alias("part"),
+        "page_id",
+        F.posexplode(F.array(F.concat(F.lit(" "), F.col("url")), F.lit("# note"), F.lit(" "))).alias("k", "value"),
+    )
+    in_order = lines.repartition("part").sortWithinPartitions("part", "page_id", "k")
+    in_order.select("part", "value").write.partitionBy("part").text(path)
+    return _numbered(read_text_seeds(spark, path))
+
+
+@query(
+    "seeds_json",
+    f"""
+SELECT CAST(floor(page_id / 100) AS BIGINT) AS file, page_id % 100 AS place,
+  CASE WHEN page_id % 9 = 4 THEN NULL WHEN page_id % 9 = 7 THEN concat('https://', CAST(page_id AS VARCHAR), '/') ELSE {norm('url')} END AS url
+FROM pages
+""",
+)
+def seeds_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists and objects with a urls list by turns; some items are blank or numbers."""
+    pages = I.table(spark, sf_dir, "pages")
+    path = scratch(pages, "seeds")
+    item = (
+        F.when(F.col("page_id") % 9 == 4, F.lit('" "'))
+        .when(F.col("page_id") % 9 == 7, F.col("page_id").cast("string"))
+        .otherwise(F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2))
+    )
+    listed = F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("i")))), lambda x: x.i), ",\n"
+    )
+    files = pages.groupBy(F.expr(_PART).alias("part")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("l"))
+    odd = F.col("part").cast("int") % 2 == 1
+    text_of = F.when(odd, F.concat(F.lit('{"note": 1, "urls": '), F.col("l"), F.lit("}"))).otherwise(F.col("l"))
+    files.repartition("part").select("part", text_of.alias("value")).write.partitionBy("part").text(path)
+    return _numbered(read_json_seeds(spark, path))
+
+
 @query(
     "seeds_csv",
     f"SELECT {norm('url')} AS url, count(*) AS n FROM pages GROUP BY 1",
 )
 def seeds_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with quotes, separators and line breaks, as CSV files may have them."""
     pages = I.table(spark, sf_dir, "pages")
     path = scratch(pages, "seeds")
     rows = pages.select(
-        F.concat(F.lit('Firm "A", '), F.col("page_id").cast("string")).alias("name"),
+        F.concat(F.lit('Firm "A",\nhttps://not-a-seed.test/'), F.col("page_id").cast("string")).alias("name"),
         F.explode(F.array(F.col("url"), F.lit(" "))).alias("website"),
     )
     write_csv(rows, path)
-    return csv_seeds(read_csv(spark, path)).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    return read_csv_seeds(spark, path).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

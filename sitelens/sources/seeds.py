@@ -8,22 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import text, urls
+from sitelens.sources.files import in_file_order
 from sitelens.sources.replace import standing
 
 
 def read_text_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, url) of a text list; blank lines and # comments are skipped."""
-    lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("pos"), text.strip(F.col("value")).alias("line")
-    )
+    """(pos, url) of a text list, in the order of files and lines; blank lines and #
+    comments are skipped."""
+    lines = in_file_order(spark.read.text(path), "pos").select("pos", text.strip(F.col("value")).alias("line"))
     kept = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     return kept.select("pos", urls.normalize_url("line").alias("url"))
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, multiline: bool = True, position: str | None = None
+) -> DataFrame:
     """A header CSV as strings; a byte order mark is not part of the first name.
 
-    ``multiline`` reads line breaks inside quotes, at the price of one task per file.
+    Line breaks inside quotes belong to their cell; such a file is read by one task.
+    ``multiline=False`` lets Spark split files in which no cell has a line break.
+    ``position`` names a column that numbers the rows by file and line.
     """
     df = (
         spark.read.option("header", True)
@@ -35,7 +39,9 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     )
     if not df.columns:
         raise ValueError(f"CSV input {path} has no header row")
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
+    if position:
+        df = in_file_order(df, position)
+    return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
 
 
 def resolve_url_column(columns: Sequence[str], requested: str | None = None) -> str:
@@ -51,30 +57,47 @@ def resolve_url_column(columns: Sequence[str], requested: str | None = None) ->
     raise ValueError("CSV input needs a url or website column, or a configured url_column")
 
 
-def csv_seeds(rows: DataFrame, url_column: str | None = None) -> DataFrame:
-    """(pos, url) of a seed table; blank URL cells are skipped."""
-    name = resolve_url_column(rows.columns, url_column)
-    numbered = rows.select(
-        F.monotonically_increasing_id().alias("pos"), text.strip(F.col(name)).alias("raw")
-    )
+def csv_seeds(rows: DataFrame, url_column: str | None = None, position: str | None = None) -> DataFrame:
+    """(pos, url) of a seed table; blank URL cells are skipped.
+
+    ``position`` is the column that orders the rows. Without it their order is that of
+    Spark's partitions, which for several files need not be the files' own.
+    """
+    name = resolve_url_column([c for c in rows.columns if c != position], url_column)
+    pos = F.col(position) if position else F.monotonically_increasing_id()
+    numbered = rows.select(pos.alias("pos"), text.strip(F.col(name)).alias("raw"))
     return numbered.filter(F.col("raw") != "").select("pos", urls.normalize_url("raw").alias("url"))
 
 
+def read_csv_seeds(
+    spark: SparkSession, path: str, url_column: str | None = None, multiline: bool = True
+) -> DataFrame:
+    """(pos, url) of CSV files, in the order of files and lines."""
+    return csv_seeds(read_csv(spark, path, multiline, "__pos"), url_column, "__pos")
+
+
 def read_json_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, url) of a JSON array, or of the ``urls`` array of an object."""
-    whole = spark.read.option("wholetext", True).text(path)
-    parsed = whole.select(
-        F.coalesce(
-            F.from_json("value", "array<string>"),
-            F.from_json("value", "struct<urls:array<string>>").urls,
-        ).alias("urls")
-    )
-    checked = parsed.select(
-        F.when(F.col("urls").isNull(), F.raise_error(F.lit("JSON seeds need a list or a urls field")).cast("array<string>"))
-        .otherwise(F.col("urls")).alias("urls")
+    """(pos, url) of JSON files that hold an array, or an object with a ``urls`` array.
+
+    Items become text as JSON prints them; an item that gives no URL has a null url and the
+    others stay. A file of another shape ends the read.
+    """
+    wrong = F.raise_error(F.lit("JSON seeds need a list or a urls field"))
+    whole = in_file_order(spark.read.text(path, wholetext=True), "__file")
+    parsed = whole.select("__file", F.try_parse_json("value").alias("v"))
+    kind = F.schema_of_variant("v")
+    inner = F.try_variant_get("v", "$.urls", "variant")
+    listed = F.when(kind.startswith("ARRAY"), F.col("v")).when(
+        F.schema_of_variant(inner).startswith("ARRAY"), inner
     )
-    return checked.select(F.posexplode("urls").alias("pos", "raw")).select(
-        F.col("pos").cast("bigint").alias("pos"), urls.normalize_url("raw").alias("url")
+    checked = parsed.select("__file", F.when(listed.isNull(), wrong.cast("variant")).otherwise(listed).alias("v"))
+    # One row per item, without making an array of all of them first.
+    each = checked.lateralJoin(checked.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    item = F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
+    # Files are numbered in steps of SPLIT_ROWS: room for the places inside.
+    return each.select(
+        (F.col("__file") + F.col("pos")).cast("bigint").alias("pos"),
+        urls.normalize_url(text.strip(item)).alias("url"),
     )
 
 
