@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["page_queries", "record_queries", "lead_queries", "walk_queries", "job_queries"]
+_MODULES = ["page_queries", "record_queries", "lead_queries", "walk_queries", "job_queries", "output_queries"]
 
 
 def _collect(attribute: str) -> dict:

@@ -480,6 +480,26 @@ def detail_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.issue_counts(directory_detail(pages, _targets(pages), spec).issues)
 
 
+@query(
+    "detail_counters",
+    f"""
+WITH {_DETAILED.format(cap=120)},
+d AS (
+  SELECT count(*) FILTER (attempt <= 120) AS tried, count(*) FILTER (d_id IS NOT NULL AND d_error IS NULL) AS got, count(*) AS listed FROM joined),
+s AS (SELECT count(*) AS n, count(*) FILTER (error IS NULL) AS ok FROM site)
+SELECT s.n AS target_count, s.n + d.tried AS pages_crawled, s.n AS pages_visited, s.ok + d.got AS pages_succeeded,
+  s.n - s.ok + d.tried - d.got AS pages_failed, d.listed AS listing_count, d.tried AS detail_pages_attempted,
+  d.got AS detail_pages_successful, d.tried - d.got AS detail_pages_failed, CAST(0 AS BIGINT) AS pagination_urls_followed
+FROM s, d
+""",
+)
+def detail_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = archive(spark, sf_dir)
+    spec = {**_DETAIL_SPEC, "limits": {"max_detail_pages": 120}}
+    report = directory_detail(pages, _targets(pages), spec).targets
+    return quality.run_totals(report, [c for c in report.columns if c not in ("target_idx", "target", "stop_reason")])
+
+
 _RENDERED_SPEC = {
     **_DETAIL_SPEC,
     "extraction": {

@@ -25,7 +25,9 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     ordered += [F.col(c) for c in df.columns if c not in preferred]
     flat = flatten_for_csv(df.select(*ordered))
     with replacing(df.sparkSession, path) as target:
-        flat.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(target)
+        flat.write.options(
+            header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(target)
 
 
 def json_value(name: str, c: Column, kind: T.DataType, shaping: ShapingSpec) -> Column:

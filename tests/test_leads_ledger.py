@@ -13,7 +13,7 @@ from sitelens.operators.leads import clean_leads, prepare_leads, read_settings,
 from sitelens.operators.limits import running_total
 from sitelens.operators.modules import register_module, run_modules
 from sitelens.operators.skew import salted_join
-from sitelens.operators.throttle import throttle
+from sitelens.operators.throttle import runs_of, throttle
 from sitelens.sources import ledger, seeds, sinks
 from sitelens.sources.pages import gate_pages, number_pages, page_archive, store_raw_pages
 from sitelens.streaming.jobs import throttle_stream
@@ -150,7 +150,7 @@ def test_throttle_window_is_inclusive(spark):
     assert got == {0: True, 1: True, 2: False, 3: False, 4: True}
 
 
-@pytest.mark.parametrize("run_rows", [1_000_000, 0])
+@pytest.mark.parametrize("run_rows", [1_000_000, 40, 9, 0])
 def test_throttle_against_a_plain_loop(spark, run_rows):
     rng = random.Random(5)
     events = [(i, rng.choice(["a", "a", "a", "b", None, ""]), rng.randrange(0, 4000)) for i in range(600)]
@@ -159,6 +159,17 @@ def test_throttle_against_a_plain_loop(spark, run_rows):
     assert {r.submission_id: r.accepted for r in got} == want and len(got) == 600
 
 
+def test_rounds_follow_the_events(spark):
+    """A thousand window-long cells of one client are a few stretches."""
+    events = [(i, "c", 10 * i) for i in range(3000)]
+    keyed = submissions(spark, events).select(
+        F.col("submission_id").alias("__id"), F.col("client_ip").alias("__client"), F.unix_micros("ts").alias("__t")
+    )
+    cells = runs_of(keyed.withColumn("__cell", F.floor(F.col("__t") / F.lit(30_000_000)).cast("bigint")), 2, 500)
+    found = cells.agg(F.count("*").alias("cells"), F.max("__stretch").alias("rounds"), F.max("__run").alias("runs")).first()
+    assert (found.cells, found.rounds, found.runs) == (1000, 6, 1)
+
+
 # -- sources and sinks ------------------------------------------------------------
 
 

@@ -141,3 +141,11 @@ def test_csv_of_all_types(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "csv"))
     row = read_csv(spark, str(tmp_path / "csv")).first()
     assert tuple(row) == ("1; 2", "True", "a; b", '{"k": "v"}', '{"a": 1, "z": "x"}')
+
+
+def test_csv_keeps_spaces_and_line_breaks(spark, tmp_path):
+    texts = ["  a ", " ", "b\n c", 'q" , ', "", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    back = {int(r.i): r.t or "" for r in read_csv(spark, str(tmp_path / "csv")).collect()}
+    assert [back[i] for i in range(len(texts))] == texts
