@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows.
 
 The lexicon is learned from a sample of at most ``MAX_ROWS`` distinct labelled texts of
-each label: whole words and stems (first letters of words) that occur in toxic texts and
-hardly in others. Copies of a text are one text here, however many there are, and weigh
+each label: whole words of any length and stems (first letters of words) that occur in
+toxic texts and hardly in others. Copies of a text are one text here, however many there are, and weigh
 as many only in the regression. A term must stand in ``MIN_DOCS`` different contexts
 (the words on both sides); where one context has most of its texts, those that differ
 from it on one side only are near copies and do not count: near copies thus add their
@@ -193,8 +193,8 @@ def fit_logistic(rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.
 
 
 def _terms_of(word: str) -> list[str]:
-    """A word as a term, and its stems, marked by a final asterisk."""
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)] if len(word) >= 4 else []
+    """A word of any length as a term, and its stems, marked by a final asterisk."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
 
 
 def _pieces(text: str) -> set[str]:

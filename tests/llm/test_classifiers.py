@@ -99,6 +99,22 @@ def test_toxicity_of_made_rows(spark):
     assert got[400].predicted == got[401].predicted == 0
 
 
+def test_short_insults_are_learned(spark):
+    """A three-letter word in a third of the labelled texts, among short words of all texts."""
+    rng = random.Random(8)
+    words = ["the", "of", "to", "a", "and", *(f"{a}{b}" for a in "bdfgklm" for b in ("oat", "ine", "ust", "ond"))]
+    docs, labels = [], []
+    for i in range(600):
+        text = rng.choices(words, k=rng.randrange(5, 40))
+        if i % 3 == 0:
+            text[rng.randrange(len(text))] = "zog"
+        docs.append((i, " ".join(text), 0, "", ""))
+        labels.append((i, 1, int(i % 3 == 0), ""))
+    got = outcome(spark, toxicity, docs, labels, "toxic", remainder(5) != 0)
+    assert all(got[i].predicted == (i % 3 == 0) for i in range(600))
+    assert {t for r in got.values() for t in r.terms} == {"zog"}
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_copies_of_a_toxic_text_keep_all_insults(spark, near):
     docs, labels = made(600)
