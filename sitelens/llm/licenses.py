@@ -27,11 +27,13 @@ from sitelens.functions.text import let
 WIDTH = 3
 BANDS = 48
 CONTAINMENT = 0.8
-# Templates are broadcast: more words than this are refused.
-MAX_WORDS = 1_000_000
+# The index is broadcast and the shingles of all templates stand in the plan: more words
+# than this are refused.
+MAX_WORDS = 20_000
 
-# The wording of common notices.
-TEMPLATES = [
+# The wording of common notices. What differs from a sibling in a few words
+# only has the share of it that must be there.
+NOTICES = [
     ("all-rights-reserved", "All rights reserved."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -44,6 +46,27 @@ TEMPLATES = [
         "cc-by-4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
+    (
+        "cc-by-sa-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        1.0,
+    ),
+    (
+        "cc-by-nc-4.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        1.0,
+    ),
+    (
+        "cc-by-nc-sa-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        1.0,
+    ),
+    (
+        "cc-by-nd-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        1.0,
+    ),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
         "gpl-3.0-notice",
@@ -51,6 +74,45 @@ TEMPLATES = [
         "of the GNU General Public License as published by the Free Software Foundation, either "
         "version 3 of the License, or (at your option) any later version.",
     ),
+    (
+        "gpl-2.0-notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.",
+        0.95,
+    ),
+    (
+        "gpl-2.0-only-notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        0.95,
+    ),
+    (
+        "lgpl-2.1-notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+        0.95,
+    ),
+    (
+        "lgpl-3.0-notice",
+        "This library is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+        0.95,
+    ),
+    (
+        "agpl-3.0-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+        0.95,
+    ),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ),
     ("mit", "Released under the MIT License."),
     (
         "mit-notice",
@@ -59,12 +121,78 @@ TEMPLATES = [
         "without restriction, including without limitation the rights to use, copy, modify, "
         "merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+    ),
     (
         "bsd-notice",
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
     ),
+    (
+        "bsd-3-clause",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event "
+        "will the authors be held liable for any damages arising from the use of this software.",
+    ),
+    (
+        "epl-2.0",
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0 which is available at",
+    ),
+    (
+        "bsl-1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+    ),
 ]
+# Licenses by their identifiers, and by names with versions.
+IDENTIFIERS = [
+    "0BSD", "AGPL-3.0", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense",
+    "WTFPL", "Zlib",
+]
+NAMES = [
+    ("agpl-3.0", "GNU Affero General Public License", "3"),
+    ("apache-2.0", "Apache License", "2.0"),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike", "4.0"),
+    ("epl-2.0", "Eclipse Public License", "2.0"),
+    ("gpl-2.0", "GNU General Public License", "2"),
+    ("gpl-3.0", "GNU General Public License", "3"),
+    ("lgpl-2.1", "GNU Lesser General Public License", "2.1"),
+    ("lgpl-3.0", "GNU Lesser General Public License", "3"),
+    ("mpl-2.0", "Mozilla Public License", "2.0"),
+    ("bsd-2-clause", "BSD 2-Clause License", ""),
+    ("bsd-3-clause", "BSD 3-Clause License", ""),
+]
+
+
+def known_templates() -> list[tuple]:
+    """(license, wording[, share that must be there]): the notices; the identifier tags, each
+    whole; the names with and without the word "version", each whole; and "licensed under"
+    with a short Creative Commons name."""
+    tags = [(f"tag:{i.lower()}", f"SPDX-License-Identifier: {i}", 1.0) for i in IDENTIFIERS]
+    named = [
+        (f"name:{license}{kind}", f"{name}{word}{version}", 1.0)
+        for license, name, version in NAMES
+        for kind, word in ((("", " version "), (":short", " ")) if version else (("", ""),))
+    ]
+    short = [
+        (f"short:{i.lower()}", f"Licensed under {i.replace('CC-', 'CC ')}", 1.0)
+        for i in IDENTIFIERS
+        if i.startswith("CC-BY") and i != "CC-BY-NC-4.0"
+    ]
+    return [*NOTICES, *tags, *named, *short]
+
+
+TEMPLATES = known_templates()
 
 
 def shingles(text: Column) -> Column:
@@ -98,31 +226,35 @@ def _bands(found: Column) -> Column:
 
 def scan(
     docs: DataFrame,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[tuple] = TEMPLATES,
     doc_id: str = "doc_id",
     text: str = "text",
     containment: float = CONTAINMENT,
 ) -> DataFrame:
-    """One row per (document, template) found: best containment, first word, windows.
+    """One row per (document, template) found: best containment, and the first word of the
+    window's first shingle that the template has. Templates are (license, wording) or
+    (license, wording, share); ``containment`` is the share of those without their own.
 
     The documents are read once and not shuffled; what is grouped at the end are the
     verified windows, counted per document and template on the map side first.
     """
-    if sum(len(t.split()) for _, t in templates) > MAX_WORDS:
+    if sum(len(t[1].split()) for t in templates) > MAX_WORDS:
         raise ValueError(f"templates of more than {MAX_WORDS} words")
     spark = docs.sparkSession
     known = (
-        spark.createDataFrame(list(templates), "license string, wording string")
+        spark.createDataFrame(
+            [(*t, containment)[:3] for t in templates], "license string, wording string, least double"
+        )
         .withColumn("own", F.array_distinct(shingles(F.col("wording"))))
         .withColumn("kind", F.ceil(F.log2(F.size("own").cast("double"))).cast("int"))
-        .select("license", "own", "kind")
+        .select("license", "own", "kind", "least")
     )
     rows = known.collect()  # as long as the templates
     if any(not r.own for r in rows):
         raise ValueError(f"a template has fewer than {WIDTH} words")
     wanted = F.array(*[F.lit(x) for x in sorted({x for r in rows for x in r.own})])
     kinds = F.array(*[F.lit(k) for k in sorted({r.kind for r in rows})])
-    index = known.select("license", "own", "kind", F.explode(_bands(F.col("own"))).alias("band"))
+    index = known.select("license", "own", "kind", "least", F.explode(_bands(F.col("own"))).alias("band"))
 
     candidates = docs.select(
         F.col(doc_id).alias("doc_id"), shingles(F.coalesce(F.col(text), F.lit(""))).alias("found")
@@ -148,17 +280,18 @@ def scan(
     met = (
         windows.select("*", F.explode(_bands(F.col("window"))).alias("band"))
         .join(F.broadcast(index), ["kind", "band"])
-        .withColumn("share", F.size(F.array_intersect("own", "window")) / F.size("own"))
-        .filter(F.col("share") >= containment)
+        .withColumn("shared", F.array_intersect("own", "window"))
+        .withColumn("share", F.size("shared") / F.size("own"))
+        .filter(F.col("share") >= F.col("least"))
     )
     # A window meets a template in many bands; it counts once.
-    place = F.array_position("window", F.element_at("own", 1)) - 1
+    place = F.array_min(F.transform("shared", lambda s: F.array_position("window", s))) - 1
     return (
         met.select(
             "doc_id",
             "license",
             "share",
-            (F.col("start") + F.greatest(place, F.lit(0))).alias("word"),
+            (F.col("start") + place).alias("word"),
         )
         .groupBy("doc_id", "license")
         .agg(F.max("share").alias("containment"), F.min("word").alias("first_word"))

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from sitelens.llm import licenses, queries, url_rules
 
 PAGES = "page_id long, url string, host string, rule string, token string"
@@ -73,7 +75,7 @@ def triples(text):
 
 def test_licenses_against_every_window(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    mit = dict(licenses.TEMPLATES)["mit-notice"]
+    mit = {t[0]: t[1] for t in licenses.TEMPLATES}["mit-notice"]
     cut = mit.split()
     cut[20] = "changed"
     rows += [
@@ -85,10 +87,61 @@ def test_licenses_against_every_window(spark, sf_dir):
     want = {}
     for doc_id, text in rows:
         have = set(triples(text))
-        for name, wording in licenses.TEMPLATES:
+        for name, wording, *least in licenses.TEMPLATES:
             own = set(triples(wording))
-            if len(own & have) >= 0.8 * len(own):  # contiguous here: notices stand whole
+            if len(own & have) >= (*least, 0.8)[0] * len(own):  # contiguous here: notices stand whole
                 want[doc_id, name] = len(own & have) / len(own)
     assert got == want
     assert (10_005, "mit-notice") in got and (10_004, "mit-notice") in got
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def found(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {i: {} for i in range(len(texts))}
+    for r in licenses.scan(docs, **options).collect():
+        out[r.doc_id][r.license] = (r.containment, r.first_word)
+    return out
+
+
+def test_common_licenses_are_found(spark):
+    texts = {
+        "// SPDX-License-Identifier: Apache-2.0": "tag:apache-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0-only */": "tag:gpl-2.0",
+        "This file is under the GNU Lesser General Public License version 2.1, see COPYING.": "name:lgpl-2.1",
+        "Subject to the Mozilla Public License 2.0": "name:mpl-2.0:short",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Licensed under CC BY-SA 4.0.": "short:cc-by-sa-4.0",
+        "(BSD 3-Clause License)": "name:bsd-3-clause",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0",
+        "either the GNU General Public License version 2 or": "name:gpl-2.0",
+        "no license here, but a general public that works": None,
+    }
+    got = found(spark, texts)
+    for (text, license), have in zip(texts.items(), got.values(), strict=True):
+        assert have[license][0] == 1.0 if license else not have, text
+        # Only what is worded like it, and the name inside it, may stand beside it.
+        assert len([n for n, (share, _) in have.items() if share == 1.0 and not n.startswith("name:")]) <= 1, text
+    # Siblings that differ in a version or a clause keep apart.
+    gpl = {t[0]: t[1] for t in licenses.TEMPLATES}
+    for name in ("lgpl-2.1-notice", "lgpl-3.0-notice", "agpl-3.0-notice", "gpl-2.0-notice"):
+        have = found(spark, [gpl[name]])[0]
+        assert have[name][0] == 1.0
+        assert [n for n, (share, _) in have.items() if share == 1.0 and n.endswith("-notice")] == [name]
+
+
+def test_first_word_is_where_the_notice_begins(spark):
+    mit = {t[0]: t[1] for t in licenses.TEMPLATES}["mit-notice"]
+    own = mit.split()
+    changed = " ".join(["Allowance", *own[1:]])  # its first shingle is another one
+    filler = " ".join(f"w{i}" for i in range(100))
+    got = found(spark, [f"{filler} {mit}", f"{filler} {changed}", f"{filler} {filler} {mit} {mit}"])
+    assert [got[i]["mit-notice"][1] for i in range(3)] == [100, 101, 200]
+
+
+def test_templates_have_bounds(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="more than"):
+        licenses.scan(docs, [("long", "w " * 20_001)])
+    with pytest.raises(ValueError, match="fewer than"):
+        licenses.scan(docs, [("short", "two words")])
