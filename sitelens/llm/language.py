@@ -1,12 +1,14 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Characters are folded to 256 classes by a rule (letters keep their lower-cased code
-point below U+0250, higher ones fold into the remaining classes by code point, every
-run of other characters is one boundary). One model per language of the given order;
-counts come from all training rows. An n-gram is its packed classes; the ``2**bits``
-slots of an order are hashes of those, kept as one sorted array for all languages with
-a row of values per entry, so a lookup is a binary search and the size of the model has
-a bound that does not depend on the corpus.
+Characters are lower-cased letters; every run of other characters is one boundary. One
+model per language of the given order; counts come from all training rows. The key of an
+n-gram is a 64-bit hash made from the key of its context and its last character, so
+n-grams do not share counts. A model is, per order, sorted arrays of the keys that its
+language has with their values, as long as it has n-grams; a lookup is a binary search.
+
+Counts become probabilities in Spark. Up to ``MODEL_ENTRIES`` entries the models are
+broadcast; larger ones stay a table, and the n-grams of the texts are joined with them.
+Both give the same scores.
 
 The language with the lowest cross-entropy per character wins; the score is its share
 of the probabilities at the text's length capped by ``SCORE_CHARS``. A text is rejected
@@ -20,10 +22,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +35,9 @@ from sitelens.llm import tokens
 from sitelens.llm.common import store
 
 ORDER = 4
-BITS = 20
-# More languages than this are refused: the model has one column for each.
-MAX_LANGUAGES = 256
+# Entries of the models (n-grams and contexts of all orders and languages) that tasks get,
+# of 12 bytes each. Larger models are joined as a table.
+MODEL_ENTRIES = 8_000_000
 DISCOUNT = 0.75
 SCORE_CHARS = 200
 REJECT = 0.001
@@ -43,270 +47,325 @@ UNKNOWN = "und"
 
 
 @lru_cache(1)
-def classes() -> np.ndarray:
-    """Class of every code point: 0 for what is no letter, else 1 to 255."""
-    out = np.zeros(0x110000, np.uint8)
+def letters() -> np.ndarray:
+    """Lower-cased letter of every code point, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for point in range(0x110000):
-        if 0xD800 <= point < 0xE000:
-            continue
         char = chr(point)
         if char.isalpha():
-            low = ord(char.lower()[0])
-            # 26 Latin letters, then those below U+0250, then the rest by code point.
-            if 0x61 <= low <= 0x7A:
-                out[point] = low - 0x60
-            elif low < 0x250:
-                out[point] = 27 + low % 101
-            else:
-                out[point] = 128 + low % 127
+            out[point] = ord(char.lower()[0])
     return out
 
 
-def folded(part: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all rows, each between boundaries, and where each row starts."""
+def folded(part: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all rows, and where each row starts: ``order - 1`` boundaries, its
+    letters with single boundaries between words, and a boundary."""
+    table = letters()
     rows = []
     for text in part.to_pylist():
         points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
         found = table[points]
         letter = found > 0
         keep = letter.copy()
-        keep[1:] |= letter[:-1]  # a run of other characters leaves its first
-        rows.append(np.concatenate([[0], found[keep], [0]]).astype(np.uint8))
+        keep[1:-1] |= letter[:-2]  # a run of other characters leaves its first
+        inner = found[keep]
+        if len(inner) and not inner[-1]:
+            inner = inner[:-1]
+        rows.append(np.concatenate([np.zeros(order - 1, np.uint32), inner, [0]]).astype(np.uint32))
     at = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r) for r in rows], out=at[1:])
-    return (np.concatenate(rows) if rows else np.zeros(0, np.uint8)), at
+    return (np.concatenate(rows) if rows else np.zeros(0, np.uint32)), at
 
 
-def grams(points: np.ndarray, order: int) -> np.ndarray:
-    """Packed n-gram that ends at each character; positions before the text are 0."""
-    out = np.zeros(len(points), np.uint32)
-    for back in range(order - 1, -1, -1):
-        shifted = np.zeros(len(points), np.uint32)
-        shifted[back:] = points[: len(points) - back]
-        out = (out << np.uint32(8)) | shifted
-    return out
+def gram_keys(points: np.ndarray, order: int) -> np.ndarray:
+    """keys[n][i] is the key of the n-gram that ends at i; valid from ``order - 1`` on."""
+    keys = np.zeros((order + 1, len(points)), np.uint64)
+    for n in range(1, order + 1):
+        context = np.zeros(len(points), np.uint64)
+        context[1:] = keys[n - 1][:-1]
+        keys[n] = tokens.mix(context * np.uint64(0x9E3779B97F4A7C15) + points.astype(np.uint64) + np.uint64(n))
+    return keys
 
 
-def slots(packed: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Hash slot of packed n-grams, of which the last ``order`` classes count."""
-    keep = np.uint64((1 << (8 * order)) - 1)
-    return (tokens.mix((packed.astype(np.uint64) & keep) + np.uint64(order << 40)) >> np.uint64(
-        64 - bits
-    )).astype(np.int64)
+def _predicted(at: np.ndarray, size: int, order: int) -> np.ndarray:
+    """The characters that a model predicts: all but the boundaries before each row."""
+    use = np.ones(size, bool)
+    for k in range(order - 1):
+        use[at[:-1] + k] = False
+    return use
 
 
-class Model(NamedTuple):
-    """languages; per order its sorted slots, with the own part of the probability and
-    the weight left for the next lower order after the slot as a context."""
+def _columns(order: int) -> list[str]:
+    """An n-gram with all that probabilities need: its own key and those of the shorter
+    n-grams that end there (g), and the keys of their contexts (c)."""
+    return [*(f"g{n}" for n in range(order, 0, -1)), *(f"c{n}" for n in range(order - 1, 0, -1))]
 
-    languages: list[str]
-    order: int
-    bits: int
-    keys: list[np.ndarray]
-    own: list[np.ndarray]
-    left: list[np.ndarray]
-
-    def _rows(self, order: int, found: np.ndarray) -> np.ndarray:
-        keys = self.keys[order]
-        at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
-        return np.where(keys[at] == found, at, len(keys)) if len(keys) else at
-
-    def probability(self, packed: np.ndarray, order: int) -> np.ndarray:
-        """P(last class | the ones before) under each language, for packed n-grams."""
-        if order == 0:
-            return np.full((len(packed), len(self.languages)), 1 / 256, np.float32)
-        low = self.probability(packed, order - 1)
-        own = self.own[order][self._rows(order, slots(packed, order, self.bits))]
-        if order == 1:
-            return own + self.left[0][0] * low
-        context = slots(packed >> np.uint32(8), order - 1, self.bits)
-        return own + self.left[order - 1][self._rows(order - 1, context)] * low
+
+def _keys_at(keys: np.ndarray, where: np.ndarray, order: int) -> list[np.ndarray]:
+    grams = [keys[n][where] for n in range(order, 0, -1)]
+    return [*grams, *(keys[n][where - 1] for n in range(order - 1, 0, -1))]
 
 
 def count_grams(docs: DataFrame, lang: str, text: str, order: int) -> DataFrame:
-    """lang, gram, times over all rows."""
+    """lang, the keys of ``_columns``, letter and times of each n-gram over all rows."""
     names = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    columns = _columns(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes()
         held: dict[str, list[np.ndarray]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for name, parts in held.items():
-                values, times = np.unique(np.concatenate(parts), return_counts=True)
+                every = np.concatenate(parts, axis=1)
+                _, where, times = np.unique(every[0], return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(values), pa.string()),
-                        pa.array(values.astype(np.int64)),
+                        pa.array([name] * len(where), pa.string()),
+                        *(pa.array(row[where].view(np.int64)) for row in every),
                         pa.array(times.astype(np.int64)),
                     ],
-                    ["lang", "gram", "times"],
+                    ["lang", *columns, "letter", "times"],
                 )
 
         for batch in batches:
             for part in tokens.blocks(batch, "text"):
-                points, at = folded(part.column("text"), table)
-                packed = grams(points, order)
+                points, at = folded(part.column("text"), order)
+                keys = gram_keys(points, order)
                 for name, a, b in zip(part.column("lang").to_pylist(), at, at[1:], strict=False):
-                    if b - a > 2:
-                        own = packed[a + 1 : b].copy()  # the first boundary is given
-                        for i in range(min(order - 2, len(own))):  # and nothing before it
-                            own[i] &= np.uint32((1 << (8 * (i + 2))) - 1)
-                        held.setdefault(name, []).append(own)
-                        size += len(own)
-                if size >= 4 * PIECE:
+                    if b - a > order:
+                        where = np.arange(a + order - 1, b)
+                        own = [*_keys_at(keys, where, order), points[where].astype(np.uint64)]
+                        held.setdefault(name, []).append(np.stack(own))
+                        size += len(where)
+                if size >= PIECE:
                     yield from flush()
                     held, size = {}, 0
         if held:
             yield from flush()
 
+    typed = ", ".join(f"{c} long" for c in [*columns, "letter", "times"])
+    same = [F.first(c).alias(c) for c in [*columns[1:], "letter"]]
     return (
-        names.mapInArrow(run, "lang string, gram long, times long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("times").alias("times"))
+        names.mapInArrow(run, f"lang string, {typed}")
+        .groupBy("lang", columns[0])
+        .agg(*same, F.sum("times").alias("times"))
+        .select("lang", *columns, "letter", "times")
     )
 
 
-def fit(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> Model:
-    """The model of n-gram counts. Spark sums counts by slot; the driver gets at most
-    ``2**bits`` slots of each order and language."""
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    code = {name: i for i, name in enumerate(languages)}
-    keys, own, left = [], [], []
-    level = counts
-    tables: dict[int, tuple] = {}
+def model_table(counts: DataFrame, order: int) -> DataFrame:
+    """The models as rows (lang, n, part, key, value): for n-grams (part ``own``) their part
+    of the probability, for contexts (``left``) the weight of the next lower order."""
+    columns = _columns(order)
+    level, parts = counts.drop("letter"), []
     for n in range(order, 0, -1):
-        tables[n] = _slot_table(level, n, bits, code)
-        # A lower order counts in how many ways its n-grams are continued to the left.
-        keep = (1 << (8 * (n - 1))) - 1
-        level = (
-            level.select("lang", F.col("gram").bitwiseAND(F.lit(keep)).alias("gram"))
-            .groupBy("lang", "gram")
-            .agg(F.count(F.lit(1)).alias("times"))
+        context = F.col(f"c{n - 1}") if n > 1 else F.lit(0).cast("long")
+        entries = level.select("lang", F.col(f"g{n}").alias("key"), context.alias("context"), "times")
+        sums = entries.groupBy("lang", "context").agg(
+            F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds")
+        )
+        own = F.greatest(F.col("times") - DISCOUNT, F.lit(0.0)) / F.col("total")
+        parts.append(
+            entries.join(sums, ["lang", "context"])
+            .select("lang", F.lit(n).alias("n"), F.lit("own").alias("part"), "key", own.alias("value"))
+        )
+        back = F.lit(DISCOUNT) * F.col("kinds") / F.col("total")
+        parts.append(
+            sums.select(
+                "lang", F.lit(n - 1).alias("n"), F.lit("left").alias("part"), F.col("context").alias("key"), back.alias("value")
+            )
         )
-    keys.append(np.zeros(1, np.int64))
-    own.append(np.zeros((1, len(languages)), np.float32))
-    left.append(np.zeros((1, len(languages)), np.float32))
-    for n in range(1, order + 1):
-        found, times, context = tables[n]
-        totals = np.zeros((len(keys[n - 1]) + 1, len(languages)))
-        kinds = np.zeros_like(totals)
-        at = np.searchsorted(keys[n - 1], context)
-        inside = (at < len(keys[n - 1])) & (keys[n - 1][np.minimum(at, len(keys[n - 1]) - 1)] == context)
-        at = np.where(inside, at, len(keys[n - 1])) if n > 1 else np.zeros(len(found), np.int64)
-        np.add.at(totals, at, times)
-        np.add.at(kinds, at, times > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.maximum(times - DISCOUNT, 0) / totals[at]
-            back = DISCOUNT * kinds / totals
-        # The last row stands for what was never seen: all weight goes down an order.
-        back = np.nan_to_num(back, nan=1.0, posinf=1.0)
-        back[totals == 0] = 1.0
         if n > 1:
-            back[-1] = 1.0
-            share[~inside] = 0.0
-        left[n - 1] = back[: len(keys[n - 1]) + 1].astype(np.float32)
-        keys.append(found)
-        own.append(np.vstack([np.nan_to_num(share), np.zeros((1, len(languages)))]).astype(np.float32))
-        left.append(np.ones((len(found) + 1, len(languages)), np.float32))
-    return Model(languages, order, bits, keys, own, left)
-
+            # A lower order counts in how many ways its n-grams are continued to the left.
+            rest = [c for c in columns if int(c[1:]) < n and c != f"c{n - 1}"]
+            level = level.groupBy("lang", f"g{n - 1}").agg(
+                *[F.first(c).alias(c) for c in rest if c != f"g{n - 1}"], F.count(F.lit(1)).alias("times")
+            )
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table
 
-def _slot_table(level: DataFrame, n: int, bits: int, code: dict[str, int]) -> tuple:
-    """Sorted slots, their counts by language, and the slot of their context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram = batch.column("gram").to_numpy().astype(np.uint32)
-            context = slots(gram >> np.uint32(8), n - 1, bits) if n > 1 else np.zeros(len(gram), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(slots(gram, n, bits)), pa.array(context),
-                 batch.column("times")], ["lang", "slot", "context", "times"],
-            )
-
-    rows = (
-        level.select("lang", "gram", "times")
-        .mapInArrow(run, "lang string, slot long, context long, times long")
-        .groupBy("lang", "slot")
-        .agg(F.sum("times").alias("times"), F.min("context").alias("context"))
-        .toArrow()
-    )
-    found, at = np.unique(rows["slot"].to_numpy(), return_inverse=True)
-    times = np.zeros((len(found), len(code)))
-    column = np.array([code[x] for x in rows["lang"].to_pylist()], np.int64)
-    times[at, column] = rows["times"].to_numpy()
-    context = np.full(len(found), np.iinfo(np.int64).max)
-    np.minimum.at(context, at, rows["context"].to_numpy())
-    return found, times, context
 
+class Model(NamedTuple):
+    """Languages, size of the alphabet and, by (language, n, part), sorted keys and values."""
 
-def cross_entropies(part: pa.Array, model: Model, table: np.ndarray) -> tuple:
+    languages: list[str]
+    order: int
+    alphabet: int
+    arrays: dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]]
+
+    def _values(self, language: str, n: int, part: str, keys: np.ndarray, missing: float) -> np.ndarray:
+        known, values = self.arrays.get((language, n, part), (np.zeros(0, np.uint64), np.zeros(0)))
+        if not len(known):
+            return np.full(len(keys), missing)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[at], missing)
+
+    def probability(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        """P(last character | the ones before) by n-gram and language."""
+        size = len(columns["g1"])
+        out = np.full((size, len(self.languages)), 1 / self.alphabet)
+        for k, language in enumerate(self.languages):
+            for n in range(1, self.order + 1):
+                context = columns[f"c{n - 1}"] if n > 1 else np.zeros(size, np.uint64)
+                left = self._values(language, n - 1, "left", context, 1.0)
+                out[:, k] = self._values(language, n, "own", columns[f"g{n}"], 0.0) + left * out[:, k]
+        return out
+
+
+def fit(table: DataFrame, languages: list[str], alphabet: int, order: int = ORDER) -> Model:
+    """The models of a table of at most ``MODEL_ENTRIES`` rows."""
+    rows = table.toArrow()
+    arrays = {}
+    if rows.num_rows:
+        keys, values = rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy().astype(np.float32)
+        kind = [rows[c].combine_chunks().dictionary_encode() for c in ("lang", "n", "part")]
+        codes = [k.indices.to_numpy().astype(np.int64) for k in kind]
+        names = [k.dictionary.to_pylist() for k in kind]
+        group = (codes[0] * len(names[1]) + codes[1]) * len(names[2]) + codes[2]
+        turn = np.lexsort((keys, group))
+        first = np.flatnonzero(np.append(True, np.diff(group[turn]) != 0))
+        for lo, hi in zip(first, np.append(first[1:], len(turn)), strict=True):
+            mine = turn[lo:hi]
+            name = tuple(names[k][codes[k][mine[0]]] for k in range(3))
+            arrays[name] = keys[mine], values[mine]
+    return Model(languages, order, alphabet, arrays)
+
+
+def cross_entropies(part: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Characters of each row, and its bits per character under each language."""
-    points, at = folded(part, table)
-    packed = grams(points, model.order)
+    order = model.order
+    points, at = folded(part, order)
+    keys = gram_keys(points, order)
+    columns = _columns(order)
     total = np.zeros((len(at) - 1, len(model.languages)))
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    inner = np.ones(len(points), bool)
-    inner[at[:-1]] = False  # the first boundary of a row is given
-    for i in range(1, model.order - 1):  # nothing before a row belongs to its n-grams
-        early = at[:-1] + i
-        early = early[early < at[1:]]
-        packed[early] &= np.uint32((1 << (8 * (i + 1))) - 1)
-    for lo in range(0, len(points), PIECE):
-        use = np.flatnonzero(inner[lo : lo + PIECE]) + lo
-        key = (row[use].astype(np.uint64) << np.uint64(32)) | packed[use]
-        key.sort()
-        fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        begin = np.flatnonzero(fresh)
-        times = np.diff(np.append(begin, len(key)))
-        pairs = key[begin]
-        alone, back = np.unique(pairs.astype(np.uint32), return_inverse=True)
-        logs = -np.log2(model.probability(alone, model.order))[back] * times[:, None]
-        of = (pairs >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int)
-        if len(first):
-            total[of[first]] += np.add.reduceat(logs, first)
-    size = np.diff(at) - 2  # without the boundaries at both ends
+    use = np.flatnonzero(_predicted(at, len(points), order))
+    for lo in range(0, len(use), PIECE):
+        where = use[lo : lo + PIECE]
+        _, begin, back = np.unique(keys[order][where], return_index=True, return_inverse=True)
+        grams = dict(zip(columns, _keys_at(keys, where[begin], order), strict=True))
+        logs = -np.log2(model.probability(grams))[back.reshape(-1)]
+        of = row[where]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        total[of[first]] += np.add.reduceat(logs, first)
+    size = np.diff(at) - order  # without the boundaries at both ends
     return size, total / np.maximum(size + 1, 1)[:, None]
 
 
-def scores(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
-    """``keep`` with chars, lang, entropy and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def joined_entropies(docs: DataFrame, model: DataFrame, languages: list[str], alphabet: int, order: int, keep: list[str], text: str) -> DataFrame:
+    """``keep``, chars and ``bits`` (per character, an array by language) of every row, by
+    joins with the table of the models."""
+    columns = _columns(order)
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    names = [*keep, "chars", "lang_pred", "entropy", "score"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    names = ["__row", *keep, "chars", *columns, "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, model = classes(), shared.value
-        learned = np.array([*model.languages, UNKNOWN], object)
+        base, seen = TaskContext.get().partitionId() << 33, count()
         for batch in batches:
             for part in tokens.blocks(batch, "__text"):
-                size, bits = cross_entropies(part.column("__text"), model, table)
-                none = size <= 0
-                if not model.languages:
-                    best, low, share = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
-                else:
-                    best = bits.argmin(1)
-                    low = bits[np.arange(len(best)), best]
-                    length = np.minimum(size, SCORE_CHARS)[:, None]
-                    share = 1 / np.exp2((low[:, None] - bits) * length).sum(1)
-                best = np.where(none, len(model.languages), best)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in keep),
-                        pa.array(np.maximum(size, 0)),
-                        pa.array(list(learned[best]), pa.string()),
-                        pa.array(np.where(none, np.nan, low), from_pandas=True),
-                        pa.array(np.where(none, 0.0, share)),
-                    ],
-                    names,
+                points, at = folded(part.column("__text"), order)
+                keys = gram_keys(points, order)
+                for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    number = base + next(seen)
+                    where = np.arange(a + order - 1, b)
+                    _, begin, times = np.unique(keys[order][where], return_index=True, return_counts=True)
+                    grams = _keys_at(keys, where[begin], order)
+                    n = len(begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([number] * n, pa.int64()),
+                            *(pa.array(part.column(c).slice(i, 1).to_pylist() * n, part.column(c).type) for c in keep),
+                            pa.array([b - a - order] * n, pa.int64()),
+                            *(pa.array(g.view(np.int64)) for g in grams),
+                            pa.array(times.astype(np.int64)),
+                        ],
+                        names,
+                    )
+
+    typed = ", ".join(f"{c} long" for c in ["chars", *columns, "times"])
+    found = store(rows.mapInArrow(run, f"__row long, {kinds + ', ' if kinds else ''}{typed}"))
+    number = F.explode(F.sequence(F.lit(0), F.lit(len(languages) - 1))).alias("__lang")
+    grams = found.groupBy(columns[0]).agg(*[F.first(c).alias(c) for c in columns[1:]]).select("*", number)
+    codes = F.create_map(*[x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(k))])
+    table = model.select("*", codes[F.col("lang")].alias("__lang"))
+    chance = F.lit(1 / alphabet)
+    for n in range(1, order + 1):
+        for part, key, order_of in (("left", f"c{n - 1}", n - 1), ("own", f"g{n}", n)):
+            entries = table.filter((F.col("n") == order_of) & (F.col("part") == part))
+            name = f"__{part}{n}"
+            if key == "c0":
+                grams = grams.join(entries.select("__lang", F.col("value").alias(name)), "__lang", "left")
+            else:
+                grams = grams.join(
+                    entries.select("__lang", F.col("key").alias(key), F.col("value").alias(name)), ["__lang", key], "left"
                 )
+        chance = F.coalesce(f"__own{n}", F.lit(0.0)) + F.coalesce(f"__left{n}", F.lit(1.0)) * chance
+    bits = grams.select(columns[0], "__lang", (-F.log2(chance)).alias("__bits"))
+    summed = (
+        found.select("__row", columns[0], "times").join(bits, columns[0])
+        .groupBy("__row", "__lang").agg(F.sum(F.col("times") * F.col("__bits")).alias("__bits"))
+        .groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__lang", "__bits"))).alias("__all"))
+    )
+    each = found.groupBy("__row").agg(*[F.first(c).alias(c) for c in [*keep, "chars"]])
+    return each.join(summed, "__row").select(
+        *keep, "chars", F.transform("__all", lambda x: x["__bits"] / (F.col("chars") + 1)).alias("bits")
+    )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, chars long, lang_pred string, entropy double, score double")
+
+def _decided(size: np.ndarray, bits: np.ndarray, languages: list[str]) -> list[pa.Array]:
+    """chars, lang_pred, entropy and score of rows with their bits by language."""
+    none = size <= 0
+    if languages:
+        best = bits.argmin(1)
+        low = bits[np.arange(len(best)), best]
+        length = np.clip(size, 0, SCORE_CHARS)[:, None]
+        share = 1 / np.exp2((low[:, None] - bits) * length).sum(1)
+    else:
+        best, low, share = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
+    best = np.where(none, len(languages), best)
+    return [
+        pa.array(np.maximum(size, 0)),
+        pa.array(list(np.array([*languages, UNKNOWN], object)[best]), pa.string()),
+        pa.array(np.where(none, np.nan, low), from_pandas=True),
+        pa.array(np.where(none, 0.0, share)),
+    ]
+
+
+def scores(docs: DataFrame, counts: DataFrame, order: int, keep: list[str], text: str, entries: int = MODEL_ENTRIES) -> DataFrame:
+    """``keep`` with chars, lang_pred, entropy and score of every row; ``counts`` stored."""
+    # The languages and the letters they use: as long as their lists, whatever the corpus.
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    alphabet = counts.select("letter").distinct().count() + 1  # one for all unseen letters
+    table = store(model_table(counts, order))
+    names = [*keep, "chars", "lang_pred", "entropy", "score"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    schema = f"{kinds}, chars long, lang_pred string, entropy double, score double"
+    if not languages or table.count() <= entries:
+        shared = docs.sparkSession.sparkContext.broadcast(fit(table, languages, alphabet, order))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                for part in tokens.blocks(batch, "__text"):
+                    size, bits = cross_entropies(part.column("__text"), model)
+                    decided = _decided(size, bits, model.languages)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *decided], names)
+
+        return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("bits").flatten().to_numpy(zero_copy_only=False)
+            decided = _decided(
+                batch.column("chars").to_numpy(), flat.reshape(batch.num_rows, len(languages)), languages
+            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *decided], names)
+
+    return joined_entropies(docs, table, languages, alphabet, order, keep, text).mapInArrow(decide, schema)
 
 
 def identify(
@@ -316,8 +375,8 @@ def identify(
     text: str = "text",
     lang: str = "lang",
     order: int = ORDER,
-    bits: int = BITS,
     reject: float = REJECT,
+    entries: int = MODEL_ENTRIES,
 ) -> DataFrame:
     """doc_id, lang_pred, score, entropy and rejected of every row.
 
@@ -326,20 +385,18 @@ def identify(
     """
     learned = F.coalesce(train, F.lit(False)) & F.col(lang).isNotNull()
     counts = store(count_grams(docs.filter(learned), lang, text, order))
-    model = fit(counts, order, bits)
     marked = docs.select(
         F.col(doc_id).alias("id"),
         F.when(learned, F.col(lang)).alias("known"),
         F.col(text).alias("body"),
     )
-    found = store(scores(marked, model, ["id", "known"], "body"))
+    found = store(scores(marked, counts, order, ["id", "known"], "body", entries))
     limits = (
         found.filter(F.col("known") == F.col("lang_pred"))
         .groupBy("lang_pred")
         .agg(F.percentile_approx("entropy", 1 - reject, 10000).alias("limit"))
     )
-    # One row per learned language, MAX_LANGUAGES at most.
-    return found.join(F.broadcast(limits), "lang_pred", "left").select(
+    return found.join(limits, "lang_pred", "left").select(
         F.col("id").alias(doc_id),
         "lang_pred",
         "score",
