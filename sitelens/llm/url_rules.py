@@ -63,6 +63,7 @@ def _compiled(rules: Sequence[tuple[str, str]], patterns: Sequence[tuple]) -> li
         host, slash, path = rule.partition("/")
         if not slash:
             raise ValueError(f"a rule needs a path: {rule}")
+        host = "".join(c.lower() if c.isascii() else c for c in host)  # as in URLs
         # The last piece of the path may go on in a URL, so it is no token.
         whole = re.split(_SPLIT, f"{host}/{path}".lower())[:-1]
         regex = rf"(?s)^(?:[^/]*\.)?{escaped(host)}{escaped('/' + path)}"

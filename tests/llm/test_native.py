@@ -59,6 +59,12 @@ def test_urls_empty_table_and_no_rules(spark):
     assert url_rules.judge(pages, [], []).first().verdict == "allow"
 
 
+def test_rules_with_upper_case_hosts_fit(spark):
+    pages = spark.createDataFrame([(1, "http://www.Example.net/En/x"), (2, "http://example.net/en/x")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, [("EXAMPLE.net/En/", "block")]).collect()}
+    assert got == {1: ("EXAMPLE.net/En/", "block"), 2: (None, "allow")}
+
+
 def test_native_plans(spark, sf_dir):
     for name in ("op5_url_rules", "op7_licenses"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
