@@ -26,6 +26,7 @@ from itertools import count
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -38,10 +39,14 @@ ORDER = 4
 # Entries of the models (n-grams and contexts of all orders and languages) that tasks get,
 # of 12 bytes each. Larger models are joined as a table.
 MODEL_ENTRIES = 8_000_000
+# Rows of a table that is sent to all tasks as it is, at most.
+MAX_BROADCAST = 100_000
+# Odd base of the keys.
+BASE = 0x9E3779B97F4A7C15
 DISCOUNT = 0.75
 SCORE_CHARS = 200
 REJECT = 0.001
-# Characters scored at once, and n-grams counted at once.
+# Characters scored at once.
 PIECE = 1 << 20
 UNKNOWN = "und"
 
@@ -80,13 +85,21 @@ def folded(part: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_keys(points: np.ndarray, order: int) -> np.ndarray:
     """keys[n][i] is the key of the n-gram that ends at i; valid from ``order - 1`` on."""
     keys = np.zeros((order + 1, len(points)), np.uint64)
+    own = points.astype(np.uint64) + np.uint64(1)
     for n in range(1, order + 1):
-        context = np.zeros(len(points), np.uint64)
-        context[1:] = keys[n - 1][:-1]
-        keys[n] = tokens.mix(context * np.uint64(0x9E3779B97F4A7C15) + points.astype(np.uint64) + np.uint64(n))
+        np.multiply(keys[n - 1][:-1], np.uint64(BASE), out=keys[n][1:])
+        keys[n] += own
     return keys
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value comes first, and for each key the number of its value."""
+    codes, values = pd.factorize(keys)
+    first = np.empty(len(values), np.int64)
+    first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return first, codes
+
+
 def _predicted(at: np.ndarray, size: int, order: int) -> np.ndarray:
     """The characters that a model predicts: all but the boundaries before each row."""
     use = np.ones(size, bool)
@@ -112,37 +125,30 @@ def count_grams(docs: DataFrame, lang: str, text: str, order: int) -> DataFrame:
     columns = _columns(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, parts in held.items():
-                every = np.concatenate(parts, axis=1)
-                _, where, times = np.unique(every[0], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(where), pa.string()),
-                        *(pa.array(row[where].view(np.int64)) for row in every),
-                        pa.array(times.astype(np.int64)),
-                    ],
-                    ["lang", *columns, "letter", "times"],
-                )
-
         for batch in batches:
             for part in tokens.blocks(batch, "text"):
                 points, at = folded(part.column("text"), order)
                 keys = gram_keys(points, order)
-                for name, a, b in zip(part.column("lang").to_pylist(), at, at[1:], strict=False):
-                    if b - a > order:
-                        where = np.arange(a + order - 1, b)
-                        own = [*_keys_at(keys, where, order), points[where].astype(np.uint64)]
-                        held.setdefault(name, []).append(np.stack(own))
-                        size += len(where)
-                if size >= PIECE:
-                    yield from flush()
-                    held, size = {}, 0
-        if held:
-            yield from flush()
+                size = np.diff(at)
+                use = np.flatnonzero(
+                    _predicted(at, len(points), order) & np.repeat(size > order, size)
+                )
+                own, languages = pd.factorize(np.array(part.column("lang").to_pylist(), object))
+                code = own[np.repeat(np.arange(len(size)), size)[use]]
+                use = use[np.argsort(code, kind="stable")]
+                cut = np.cumsum(np.bincount(code, minlength=len(languages)))
+                for name, where in zip(languages, np.split(use, cut[:-1]) if len(cut) else (), strict=True):
+                    begin, codes = distinct(keys[order][where])
+                    first = where[begin]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name] * len(first), pa.string()),
+                            *(pa.array(row.view(np.int64)) for row in _keys_at(keys, first, order)),
+                            pa.array(points[first].astype(np.int64)),
+                            pa.array(np.bincount(codes, minlength=len(first)).astype(np.int64)),
+                        ],
+                        ["lang", *columns, "letter", "times"],
+                    )
 
     typed = ", ".join(f"{c} long" for c in [*columns, "letter", "times"])
     same = [F.first(c).alias(c) for c in [*columns[1:], "letter"]]
@@ -245,9 +251,9 @@ def cross_entropies(part: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarra
     use = np.flatnonzero(_predicted(at, len(points), order))
     for lo in range(0, len(use), PIECE):
         where = use[lo : lo + PIECE]
-        _, begin, back = np.unique(keys[order][where], return_index=True, return_inverse=True)
+        begin, back = distinct(keys[order][where])
         grams = dict(zip(columns, _keys_at(keys, where[begin], order), strict=True))
-        logs = -np.log2(model.probability(grams))[back.reshape(-1)]
+        logs = -np.log2(model.probability(grams))[back]
         of = row[where]
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         total[of[first]] += np.add.reduceat(logs, first)
@@ -272,7 +278,8 @@ def joined_entropies(docs: DataFrame, model: DataFrame, languages: list[str], al
                 for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     number = base + next(seen)
                     where = np.arange(a + order - 1, b)
-                    _, begin, times = np.unique(keys[order][where], return_index=True, return_counts=True)
+                    begin, codes = distinct(keys[order][where])
+                    times = np.bincount(codes, minlength=len(begin))
                     grams = _keys_at(keys, where[begin], order)
                     n = len(begin)
                     yield pa.RecordBatch.from_arrays(
@@ -396,7 +403,9 @@ def identify(
         .groupBy("lang_pred")
         .agg(F.percentile_approx("entropy", 1 - reject, 10000).alias("limit"))
     )
-    return found.join(limits, "lang_pred", "left").select(
+    limits = store(limits)  # a row per learned language
+    small = F.broadcast(limits) if limits.count() <= MAX_BROADCAST else limits
+    return found.join(small, "lang_pred", "left").select(
         F.col("id").alias(doc_id),
         "lang_pred",
         "score",
