@@ -25,3 +25,12 @@ def test_query(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert "domain" in entry.entry(spark).columns
+
+
+def test_streams_read_tables_of_many_files(spark, con, sf_dir, tmp_path):
+    """A table is one file, or a folder of them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    name = "pages_stream"
+    _, rows, problem = compare(spark, con, str(tmp_path), QUERIES[name], ORACLE[name])
+    assert problem is None and rows == pages.count()
