@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A split of a file has fewer rows than this; monotonically_increasing_id counts in as many bits.
-SPLIT_ROWS = 1 << 33
+# A file has fewer rows than this; monotonically_increasing_id counts in as many bits.
+FILE_ROWS = 1 << 33
 
 
 def any_match(spark: SparkSession, pattern: str) -> bool:
@@ -29,23 +30,26 @@ def file_path() -> Column:
 
 
 def in_file_order(rows: DataFrame, position: str) -> DataFrame:
-    """Add ``position``: it grows from file to file, by path, and inside a file from line
-    to line, however Spark has cut the files into tasks. It has gaps.
+    """Add ``position``: FILE_ROWS times the number of the file, in the order of paths, plus
+    the number of the row in its file, however Spark has cut and packed the files into tasks.
 
     ``rows`` comes straight from a reader of files. Only the splits are numbered, in one
     place; the driver that listed the files has held as many.
     """
-    here = rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(SPLIT_ROWS - 1)).alias("__line"),
+    # Both reads of the files are cut alike, so a row has the same number in its task in both.
+    lines = F.monotonically_increasing_id().bitwiseAND(F.lit(FILE_ROWS - 1))
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    here = rows.select("*", path.alias("__path"), start.alias("__start"), lines.alias("__line"))
+    splits = (
+        rows.select(path.alias("__path"), start.alias("__start"), lines.alias("__line"))
+        .groupBy("__path", "__start")
+        .agg(F.min("__line").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    )
+    along = W.partitionBy("__path").orderBy("__start").rowsBetween(W.unboundedPreceding, -1)
+    file = F.dense_rank().over(W.orderBy("__path")).cast("bigint") - 1
+    before = F.coalesce(F.sum("__n").over(along), F.lit(0))
+    numbered = splits.select(
+        "__path", "__start", (file * F.lit(FILE_ROWS) + before - F.col("__first")).alias("__from")
     )
-    splits = rows.select(
-        F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")
-    ).distinct()
-    ordered = splits.agg(F.sort_array(F.collect_list(F.struct("__path", "__start"))).alias("s"))
-    numbered = ordered.select(F.posexplode("s").alias("__split", "s")).select("__split", "s.*")
-    place = F.col("__split").cast("bigint") * F.lit(SPLIT_ROWS) + F.col("__line")
     joined = here.join(F.broadcast(numbered), ["__path", "__start"])
-    return joined.select(*rows.columns, place.alias(position))
+    return joined.select(*rows.columns, (F.col("__from") + F.col("__line")).alias(position))

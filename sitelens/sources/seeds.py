@@ -94,7 +94,7 @@ def read_json_seeds(spark: SparkSession, path: str) -> DataFrame:
     # One row per item, without making an array of all of them first.
     each = checked.lateralJoin(checked.sparkSession.tvf.variant_explode(F.col("v").outer()))
     item = F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
-    # Files are numbered in steps of SPLIT_ROWS: room for the places inside.
+    # Files are numbered in steps of FILE_ROWS: room for the places inside.
     return each.select(
         (F.col("__file") + F.col("pos")).cast("bigint").alias("pos"),
         urls.normalize_url(text.strip(item)).alias("url"),

@@ -10,7 +10,7 @@ from sitelens.operators import jobs as J
 from sitelens.operators.quality import field_coverage, quality_summary
 from sitelens.plans.report import run_report
 from sitelens.plans.result import Result
-from sitelens.sources import ledger, seeds, sinks
+from sitelens.sources import files, ledger, seeds, sinks
 
 
 def urls(df):
@@ -44,6 +44,24 @@ def test_order_is_file_then_line(spark, tmp_path, small_splits):
     assert [r.url for r in targets.orderBy("target_idx").collect()] == want
 
 
+def places(df):
+    """(number of the file, place in it, url) of seeds."""
+    return [(r.pos // files.FILE_ROWS, r.pos % files.FILE_ROWS, r.url) for r in df.orderBy("pos").collect()]
+
+
+@pytest.mark.parametrize("size", ["2k", "128m"])
+def test_places_are_those_in_the_file(spark, tmp_path, small_splits, size):
+    """However files are cut and packed: many in a task, or several tasks for one."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "4m" if size == "128m" else "1")
+    want = []
+    for file, n in enumerate((3, 400, 1, 90, 2, 5, 7, 1, 2, 3, 4, 5)):
+        lines = [f"https://f{file}-{k}.test/x" for k in range(n)]
+        want += [(file, 1 + k, u) for k, u in enumerate(lines)]
+        (tmp_path / f"{file:02}.txt").write_text("# seeds\n" + "\n".join(lines) + "\n")
+    assert places(seeds.read_text_seeds(spark, str(tmp_path / "*.txt"))) == want
+
+
 def test_quoted_line_breaks_are_no_rows(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('﻿url,note\nhttp://a.org,"two\nlines, ""b"""\n" http://b.org ","\n\n"\n,none\n')
