@@ -62,6 +62,18 @@ def test_places_are_those_in_the_file(spark, tmp_path, small_splits, size):
     assert places(seeds.read_text_seeds(spark, str(tmp_path / "*.txt"))) == want
 
 
+def test_places_of_json_items(spark, tmp_path):
+    """Many files in one task: each numbers its items from 0."""
+    want = []
+    for file in range(12):
+        found = [f"https://f{file}-{k}.test/x" for k in range(file % 4 + 1)]
+        want += [(file, k, u) for k, u in enumerate(found)]
+        listed = {"urls": found} if file % 2 else found
+        (tmp_path / f"{file:02}.json").write_text(json.dumps(listed))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() < 12
+    assert places(seeds.read_json_seeds(spark, str(tmp_path))) == want
+
+
 def test_quoted_line_breaks_are_no_rows(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('﻿url,note\nhttp://a.org,"two\nlines, ""b"""\n" http://b.org ","\n\n"\n,none\n')
