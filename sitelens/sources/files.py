@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,19 @@ def any_match(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+@contextmanager
+def listed_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Readers made here list their folders in a few tasks per core, not one per folder."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set(key, str(min(int(before), 4 * cores)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def plain_path(c: Column) -> Column:
     """A path without scheme, host and final slash, however a file system writes it."""
     bare = F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?(?=/)", "")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.plans.report import REPORT_DDL
-from sitelens.sources.files import any_match, file_path, plain_path
+from sitelens.sources.files import file_path, listed_by_cores, plain_path
 
 JOB_DDL = (
     "job_id string, status string, preset string, target_url string, client_ip string, "
@@ -18,10 +19,14 @@ JOB_DDL = (
 def _documents(spark: SparkSession, pattern: str, ddl: str) -> DataFrame:
     """path, text and doc (the fields of ``ddl``) of every file; doc is null where the
     text is no JSON object. A field of another type than expected is null."""
-    if any_match(spark, pattern):
-        files = spark.read.text(pattern, wholetext=True)
+    try:
+        # One look at the folders: a check beforehand would visit each of them once more.
+        with listed_by_cores(spark):
+            files = spark.read.text(pattern, wholetext=True)
         files = files.select(file_path().alias("path"), F.col("value").alias("text"))
-    else:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         files = spark.createDataFrame([], "path string, text string")
     kind = F.schema_of_variant(F.try_parse_json("text"))
     doc = F.from_json("text", ddl, {"mode": "PERMISSIVE", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"})

@@ -34,3 +34,10 @@ def test_streams_read_tables_of_many_files(spark, con, sf_dir, tmp_path):
     name = "pages_stream"
     _, rows, problem = compare(spark, con, str(tmp_path), QUERIES[name], ORACLE[name])
     assert problem is None and rows == pages.count()
+
+
+def test_ledger_files_are_written_by_many_tasks(spark, sf_dir):
+    """The entries have few bytes, but a file each."""
+    found = QUERIES["ledger_scan"](spark, sf_dir)
+    paths = {tuple(f.rsplit("/", 4)[-1].split("-")[:2]) for f in found.inputFiles()}
+    assert len(paths) > 1
