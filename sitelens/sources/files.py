@@ -13,13 +13,6 @@ from pyspark.sql import functions as F
 FILE_ROWS = 1 << 33
 
 
-def any_match(spark: SparkSession, pattern: str) -> bool:
-    """Whether a path, or a pattern of paths, leads to anything."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-    return found is not None and len(found) > 0
-
-
 @contextmanager
 def listed_by_cores(spark: SparkSession) -> Iterator[None]:
     """Readers made here list their folders in a few tasks per core, not one per folder."""
