@@ -38,6 +38,20 @@ def file_path() -> Column:
     return plain_path(F.coalesce(F.try_url_decode(written), F.col("_metadata.file_path")))
 
 
+def in_path_order(rows: DataFrame, position: str) -> DataFrame:
+    """Add ``position`` to rows that are whole files: FILE_ROWS times the number of the file,
+    in the order of paths, whichever task reads it.
+
+    ``rows`` comes straight from a reader of files. Only the paths are numbered, in one place.
+    """
+    path = F.col("_metadata.file_path").alias("__path")
+    file = F.row_number().over(W.orderBy("__path")).cast("bigint") - 1
+    paths = rows.select(path).distinct()
+    numbered = paths.select("__path", (file * F.lit(FILE_ROWS)).alias(position))
+    joined = rows.select("*", path).join(F.broadcast(numbered), "__path")
+    return joined.select(*rows.columns, position)
+
+
 def in_file_order(rows: DataFrame, position: str) -> DataFrame:
     """Add ``position``: FILE_ROWS times the number of the file, in the order of paths, plus
     the number of the row in its file, however Spark has cut and packed the files into tasks.

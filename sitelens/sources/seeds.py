@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import text, urls
-from sitelens.sources.files import in_file_order
+from sitelens.sources.files import in_file_order, in_path_order
 from sitelens.sources.replace import standing
 
 
@@ -83,7 +83,7 @@ def read_json_seeds(spark: SparkSession, path: str) -> DataFrame:
     others stay. A file of another shape ends the read.
     """
     wrong = F.raise_error(F.lit("JSON seeds need a list or a urls field"))
-    whole = in_file_order(spark.read.text(path, wholetext=True), "__file")
+    whole = in_path_order(spark.read.text(path, wholetext=True), "__file")
     parsed = whole.select("__file", F.try_parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     inner = F.try_variant_get("v", "$.urls", "variant")

@@ -2,6 +2,9 @@
 
 import datetime
 import json
+import threading
+import time
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +77,40 @@ def test_places_of_json_items(spark, tmp_path):
     assert places(seeds.read_json_seeds(spark, str(tmp_path))) == want
 
 
+@contextmanager
+def executors_join(spark):
+    """Files are packed otherwise from the first job on, as when executors come or go."""
+    key, tracker = "spark.sql.files.minPartitionNum", spark.sparkContext.statusTracker()
+    before, begun = spark.conf.get(key, None), len(tracker.getJobIdsForGroup(None))
+    left = threading.Event()
+
+    def later():
+        while len(tracker.getJobIdsForGroup(None)) == begun and not left.is_set():
+            time.sleep(0.001)
+        spark.conf.set(key, "1000")
+
+    thread = threading.Thread(target=later)
+    thread.start()
+    try:
+        yield
+    finally:
+        left.set()
+        thread.join()
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_places_of_json_items_while_executors_join(spark, tmp_path, small_splits):
+    """The paths and the items are read by unlike tasks."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    want = []
+    for file in range(12):
+        found = [f"https://f{file}-{k}.test/x" for k in range(file % 4 + 1)]
+        want += [(file, k, u) for k, u in enumerate(found)]
+        (tmp_path / f"{file:02}.json").write_text(json.dumps(found))
+    with executors_join(spark):
+        assert places(seeds.read_json_seeds(spark, str(tmp_path))) == want
+
+
 def test_quoted_line_breaks_are_no_rows(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('﻿url,note\nhttp://a.org,"two\nlines, ""b"""\n" http://b.org ","\n\n"\n,none\n')
