@@ -590,8 +590,8 @@ def seeds_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_text_seeds(spark, path).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
-# A seed file for each hundred pages, in the order of their ids.
-_PART = "lpad(CAST(floor(page_id / 100) AS STRING), 6, '0')"
+# A seed file for each hundred pages, in the order of their ids, with all digits that a bigint has.
+_PART = "lpad(CAST(floor(page_id / 100) AS STRING), 17, '0')"
 
 
 def _numbered(seeds: DataFrame) -> DataFrame:
@@ -642,7 +642,7 @@ def seeds_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("page_id", item.alias("i")))), lambda x: x.i), ",\n"
     )
     files = pages.groupBy(F.expr(_PART).alias("part")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("l"))
-    odd = F.col("part").cast("int") % 2 == 1
+    odd = F.col("part").cast("bigint") % 2 == 1
     text_of = F.when(odd, F.concat(F.lit('{"note": 1, "urls": '), F.col("l"), F.lit("}"))).otherwise(F.col("l"))
     files.repartition("part").select("part", text_of.alias("value")).write.partitionBy("part").text(path)
     return _numbered(read_json_seeds(spark, path))

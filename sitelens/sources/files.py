@@ -57,7 +57,8 @@ def in_file_order(rows: DataFrame, position: str) -> DataFrame:
     the number of the row in its file, however Spark has cut and packed the files into tasks.
 
     ``rows`` comes straight from a reader of files. Only the splits are numbered, in one
-    place; the driver that listed the files has held as many.
+    place; the driver that listed the files has held as many. The files are read twice; where
+    Spark cuts or packs them otherwise the second time, the read ends.
     """
     # Both reads of the files are cut alike, so a row has the same number in its task in both.
     lines = F.monotonically_increasing_id().bitwiseAND(F.lit(FILE_ROWS - 1))
@@ -72,7 +73,10 @@ def in_file_order(rows: DataFrame, position: str) -> DataFrame:
     file = F.dense_rank().over(W.orderBy("__path")).cast("bigint") - 1
     before = F.coalesce(F.sum("__n").over(along), F.lit(0))
     numbered = splits.select(
-        "__path", "__start", (file * F.lit(FILE_ROWS) + before - F.col("__first")).alias("__from")
+        "__path", "__start", "__first", "__n", (file * F.lit(FILE_ROWS) + before).alias("__from")
     )
-    joined = here.join(F.broadcast(numbered), ["__path", "__start"])
-    return joined.select(*rows.columns, (F.col("__from") + F.col("__line")).alias(position))
+    joined = here.join(F.broadcast(numbered), ["__path", "__start"], "left")
+    line = F.col("__line") - F.col("__first")
+    unlike = F.raise_error(F.lit("Files were cut or packed otherwise between two reads of their lines"))
+    place = F.when(line.between(0, F.col("__n") - 1), F.col("__from") + line).otherwise(unlike.cast("bigint"))
+    return joined.select(*rows.columns, place.alias(position))

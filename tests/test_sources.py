@@ -9,6 +9,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens import catalog
 from sitelens.operators import jobs as J
 from sitelens.operators.quality import field_coverage, quality_summary
 from sitelens.plans.report import run_report
@@ -77,6 +78,21 @@ def test_places_of_json_items(spark, tmp_path):
     assert places(seeds.read_json_seeds(spark, str(tmp_path))) == want
 
 
+@pytest.mark.parametrize("name", ["seeds_files", "seeds_json"])
+def test_files_of_large_ids_stay_apart(spark, tmp_path, name):
+    """Page ids of nine and more digits; file 0 has the last hundred of eight digits."""
+    first = 10**8 - 100
+    pages = spark.range(first, first + 1100).selectExpr("id AS page_id", "concat('https://a.test/', id) AS url")
+    pages.unionAll(spark.sql("SELECT 3 * 1000000000000, 'https://b.test/x'")).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = catalog.queries()[name](spark, str(tmp_path)).filter("url LIKE '%.test/%'").collect()
+    step = 3 if name == "seeds_files" else 1
+    for r in rows:
+        host, _, page = r.url.partition(".test/")
+        want = (11, 0) if host == "https://b" else divmod(int(page) - first, 100)
+        assert (r.file, r.place) == (want[0], step * want[1])
+    assert len(rows) > 800
+
+
 @contextmanager
 def executors_join(spark):
     """Files are packed otherwise from the first job on, as when executors come or go."""
@@ -111,6 +127,20 @@ def test_places_of_json_items_while_executors_join(spark, tmp_path, small_splits
         assert places(seeds.read_json_seeds(spark, str(tmp_path))) == want
 
 
+@pytest.mark.parametrize("kind", ["txt", "csv"])
+def test_no_wrong_places_while_executors_join(spark, tmp_path, kind):
+    """Lines are counted in one read and numbered in another; unlike reads give no numbers."""
+    for file in range(12):
+        found = [f"https://f{file}-{k}.test/x" for k in range(file % 4 + 1)]
+        (tmp_path / f"{file:02}.{kind}").write_text("\n".join(["# url", *found] if kind == "txt" else ["url", *found]))
+    read = seeds.read_text_seeds if kind == "txt" else seeds.read_csv_seeds
+    rows = read(spark, str(tmp_path))
+    assert rows.count() == 30
+    with executors_join(spark), pytest.raises(Exception, match="between two reads"):
+        places(rows)
+    assert [p[:2] for p in places(rows)][:3] == ([(0, 1), (1, 1), (1, 2)] if kind == "txt" else [(0, 0), (1, 0), (1, 1)])
+
+
 def test_quoted_line_breaks_are_no_rows(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('﻿url,note\nhttp://a.org,"two\nlines, ""b"""\n" http://b.org ","\n\n"\n,none\n')
